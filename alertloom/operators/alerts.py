@@ -24,7 +24,7 @@ def rejected_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def typed_alerts(alerts: DataFrame, year: int, zone: str = "+00:00", keep: tuple[str, ...] = ()) -> DataFrame:
     """Alerts with an instant, numeric ports and the parts of the signature."""
-    port = lambda name: F.col(name).try_cast("int").alias(name)
+    port = lambda name: F.col(name).try_cast("long").alias(name)
     return alerts.select(
         *keep,
         parsing.event_time(F.col("timestamp"), year, zone).alias("event_ts"),
@@ -39,10 +39,14 @@ def file_counts(df: DataFrame, file: str = "file") -> DataFrame:
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:
-    """Alerts per signature, protocol and port, with their sources and time span."""
-    return alerts.groupBy("signature_id", "message", "protocol", "dest_port").agg(
+    """Typed alerts counted per rule, protocol and port, with their sources and time span.
+
+    Counts and instants have a fixed width, so both aggregation steps hash.
+    """
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return alerts.groupBy("gid", "sid", "rev", "message", "protocol", "dest_port").agg(
         F.count(F.lit(1)).alias("alerts"),
         F.countDistinct("source_ip").alias("sources"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
+        iso(F.min("event_ts")).alias("first_seen"),
+        iso(F.max("event_ts")).alias("last_seen"),
     )

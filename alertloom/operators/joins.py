@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.functions.hashing import row_hash
 from alertloom.functions.network import cidr_bounds, ip_number
-from alertloom.runtime import broadcast_if_small, is_small
+from alertloom.runtime import BROADCAST_ROWS, broadcast_if_small, is_small
 
 HOME_NET = {"HOME_NET": "192.168.1.0/24"}
 ANY_PORT = -1
@@ -94,7 +94,8 @@ def suppress(alerts: DataFrame, suppressions: DataFrame, source: str = "source_i
     """
     has = lambda c: F.col(c).isNotNull()
     tracked = F.when(has("ip"), F.col("track"))
-    forms = suppressions.select(has("gid").alias("gid"), has("sid").alias("sid"), tracked.alias("ip")).distinct()
+    form_of = [has("gid").alias("gid"), has("sid").alias("sid"), tracked.alias("ip")]
+    forms = suppressions.groupBy(*form_of).agg(F.count(F.lit(1)).alias("n"))
     out = alerts
     # Twelve forms can exist: with or without gid and sid, times no address, by_src, by_dst.
     for form in sorted(forms.limit(12).collect(), key=str):
@@ -106,9 +107,10 @@ def suppress(alerts: DataFrame, suppressions: DataFrame, source: str = "source_i
         rows = suppressions.where(
             (has("gid") == F.lit(form["gid"])) & (has("sid") == F.lit(form["sid"])) & tracked.eqNullSafe(F.lit(form["ip"]))
         )
-        small = rows.select(*[c.alias(f"_{k}") for k, c in keys.items()]).distinct()
+        listed = rows.select(*[c.alias(f"_{k}") for k, c in keys.items()])
+        listed = F.broadcast(listed) if form["n"] <= BROADCAST_ROWS else listed
         condition = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys])
-        out = out.join(broadcast_if_small(small), condition, "left_anti")
+        out = out.join(listed, condition, "left_anti")
     return out
 
 

@@ -20,11 +20,11 @@ def _in_slices(df: DataFrame, ts: str, seconds: int, slices: int) -> DataFrame:
     """
     length = seconds * MICROS * slices
     t = F.col("_t")
-    own = F.floor(t / F.lit(length)).cast("long")
-    ahead = F.pmod(t, F.lit(length)) >= F.lit(length - seconds * MICROS)
-    copies = F.when(ahead, F.array(F.struct(own.alias("s"), F.lit(True).alias("o")),
-                                   F.struct((own + 1).alias("s"), F.lit(False).alias("o"))))
-    copies = copies.otherwise(F.array(F.struct(own.alias("s"), F.lit(True).alias("o"))))
+    within = F.pmod(t, F.lit(length))
+    start = t - within
+    own = F.struct(start.alias("s"), F.lit(True).alias("o"))
+    ahead = F.struct((start + length).alias("s"), F.lit(False).alias("o"))
+    copies = F.when(within >= F.lit(length - seconds * MICROS), F.array(own, ahead)).otherwise(F.array(own))
     return (
         df.withColumn("_t", _micros(ts))
         .withColumn("_copy", F.explode(copies))
@@ -86,7 +86,8 @@ def event_filter(
     """
     if kind not in ("limit", "both"):
         raise ValueError(f"unknown event filter {kind!r}")
-    interval = F.floor(_micros(ts) / F.lit(seconds * MICROS))
+    t = _micros(ts)
+    interval = t - F.pmod(t, F.lit(seconds * MICROS))
     per = Window.partitionBy(track, "_interval").orderBy(*order)
     ranked = alerts.where(_of_rule(gid, sid)).withColumn("_interval", interval)
     ranked = ranked.withColumn("_rank", F.row_number().over(per)).where(F.col("_rank") <= count)

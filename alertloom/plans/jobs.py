@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from alertloom.functions import parsing
 from alertloom.operators import alerts as A, joins
 
 
-def alerts_job(lines: DataFrame, suppressions: DataFrame) -> DataFrame:
+def alerts_job(lines: DataFrame, suppressions: DataFrame, year: int, zone: str = "+00:00") -> DataFrame:
     """Alert lines to the summary of what remains after suppression."""
-    alerts = A.parse_alerts(lines)
-    keyed = alerts.withColumns(
-        {name: parsing.signature_part(F.col("signature_id"), i) for i, name in enumerate(("gid", "sid"))}
-    )
-    return A.alert_summary(joins.suppress(keyed, suppressions))
+    typed = A.typed_alerts(A.parse_alerts(lines), year, zone)
+    return A.alert_summary(joins.suppress(typed, suppressions))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -41,17 +42,19 @@ def read_alert_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         empty = "value string, file string, block long, seq long, file_index int"
         return spark.createDataFrame([], empty)
     lines = with_position(spark.read.schema(LINES).text(present), F.make_valid_utf8("value").alias("value"))
+    origin = F.regexp_replace("file", r"\A(\w+):/+", "$1:/")
     order = F.lit(len(present))
     for i, path in reversed(list(enumerate(present))):
-        order = F.when(F.startswith("file", F.lit(_as_uri(spark, path))), F.lit(i)).otherwise(order)
+        root = _qualified(spark, path)
+        order = F.when((origin == root) | F.startswith(origin, F.lit(root + "/")), F.lit(i)).otherwise(order)
     return lines.withColumn("file_index", order)
 
 
-def _as_uri(spark: SparkSession, path: str) -> str:
+def _qualified(spark: SparkSession, path: str) -> str:
+    """Full path with its scheme, in the spelling of the scan's file paths."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    qualified = p.makeQualified(fs.getUri(), fs.getWorkingDirectory())
-    return qualified.toUri().toString().replace("file:/", "file:///", 1) if fs.getScheme() == "file" else qualified.toUri().toString()
+    return re.sub(r"\A(\w+):/+", r"\1:/", p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
 
 
 def write_alerts(df: DataFrame, path: str, fmt: str = "csv") -> bool:

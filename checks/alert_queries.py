@@ -115,18 +115,21 @@ def a2(spark, sf):
     return A.file_counts(A.parse_alerts(inputs.alert_lines(spark, sf), keep=("file",)))
 
 
-SUMMARY = """SELECT signature_id, message, protocol, dest_port, count(*) AS alerts, count(DISTINCT source_ip) AS sources,
-    min("timestamp") AS first_seen, max("timestamp") AS last_seen FROM {} GROUP BY ALL"""
+SUMMARY = """SELECT 1::BIGINT AS gid, split_part(signature_id, ':', 2)::BIGINT AS sid, 1::BIGINT AS rev, message, protocol,
+    dest_port::BIGINT AS dest_port, count(*) AS alerts, count(DISTINCT source_ip) AS sources,
+    strftime(min(event_ts), '%Y-%m-%dT%H:%M:%S.%f') AS first_seen, strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_seen
+    FROM (SELECT a.*, make_timestamp(epoch_us(ts) + CASE WHEN pos % 2 = 0 THEN 21600000000 ELSE 0 END) AS event_ts
+      FROM {} a JOIN events ON event_id = pos) GROUP BY ALL"""
 
 
 @query("A6_alert_summary", sql(SUMMARY.format("alerts"), "alerts"))
 def a6(spark, sf):
-    return A.alert_summary(A.parse_alerts(inputs.alert_lines(spark, sf)))
+    return A.alert_summary(A.typed_alerts(A.parse_alerts(inputs.alert_lines(spark, sf)), 2024))
 
 
 @query("C1_alerts_job", sql(SUMMARY.format("kept_alerts"), "alerts", "kept_alerts"))
 def c1(spark, sf):
-    return alerts_job(inputs.alert_lines(spark, sf), inputs.suppressions(spark))
+    return alerts_job(inputs.alert_lines(spark, sf), inputs.suppressions(spark), 2024)
 
 
 @query("J2_suppress", sql(f"SELECT {NOTED} FROM kept_alerts", "alerts", "kept_alerts"))
@@ -148,7 +151,7 @@ def d1(spark, sf):
 # Rule checks: one per user, the rule number and the start follow from the user.
 EXPECTED = """expected AS (SELECT DISTINCT 1000001 + user_id % 6 AS sid, TIMESTAMP '2024-01-01' + to_hours(user_id::BIGINT % 700) AS since,
     60 * (1 + user_id % 40) AS wait_seconds FROM events)"""
-ARRIVED = """arrived AS (SELECT l.pos, value AS line, split_part(signature_id, ':', 2)::BIGINT AS sid,
+ARRIVED = """arrived AS (SELECT l.pos, l.value AS line, split_part(signature_id, ':', 2)::BIGINT AS sid,
     make_timestamp(epoch_us(ts) + CASE WHEN l.pos % 2 = 0 THEN 21600000000 ELSE 0 END) AS event_ts
     FROM lines l JOIN alerts a USING (pos) JOIN events e ON e.event_id = l.pos)"""
 VERDICTS = """SELECT sid::BIGINT AS sid, epoch(since)::BIGINT AS since_s, wait_seconds::BIGINT AS wait_seconds, count(line) > 0 AS passed,
