@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
 RULE_ACTIONS = ("alert", "log", "drop", "reject", "pass")
 SID_OPTION = r"sid:\s*\d+;"
 REV_OPTION = r"rev:\s*\d+;"
+HELD = "\uFDD0"  # a noncharacter that holds the place of a number
 PAYLOAD_MARK = "payload="
 UNKNOWN_HINT = "unknown"
 
@@ -101,33 +104,36 @@ def _squeeze(text: Column) -> Column:
     return F.regexp_replace(text, " +", " ")
 
 
-def sanitise_packet_rule(response: Column) -> tuple[Column, Column]:
-    """(rule, reject_reason) of a raw response; exactly one of the two is null."""
-    found = F.regexp_extract(_one_line(response), r"(?d)(alert\s+.*\))", 1)
-    closed = F.when(F.endswith(found, F.lit(";)")), found).otherwise(F.regexp_replace(found, r"\)\z", ";)"))
-    odd_quotes = (F.length(closed) - F.length(F.replace(closed, F.lit('"'), F.lit("")))) % 2 != 0
-    no_rule = response.isNull() | (found == "")
-    reason = F.when(no_rule, F.lit("no rule")).when(odd_quotes, F.lit("unbalanced quotes"))
-    return F.when(reason.isNull(), closed), reason
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sanitise_packet_rule(response: Column) -> Column:
+    """Struct (rule, reject_reason) of a raw response; exactly one of the two is null."""
+
+    def judge(rule: Column) -> Column:
+        odd_quotes = (F.length(rule) - F.length(F.replace(rule, F.lit('"'), F.lit("")))) % 2 != 0
+        reason = F.when(rule == "", F.lit("no rule")).when(odd_quotes, F.lit("unbalanced quotes"))
+        return let(reason, lambda r: F.struct(F.when(r.isNull(), rule).alias("rule"), r.alias("reject_reason")))
+
+    found = F.regexp_extract(_one_line(F.coalesce(response, F.lit(""))), r"(?d)(alert\s+.*\))", 1)
+    return let(F.regexp_replace(found, r"(?<!;)\)\z", ";)"), judge)
 
 
 def with_sid(rule: Column, sid: Column) -> Column:
     """Give a packet rule its number: replace the one it has, else add one at the end."""
     text = sid.cast("string")
-    head = F.regexp_extract(rule, r"\A(.*)\)", 1)
-    added = F.concat(F.regexp_replace(head, r";+\s*\z", ""), F.lit("; sid:"), text, F.lit("; rev:1;)"))
-    replaced = _replace_sid(rule, text)
+    # Regular expressions only mark the places, so the number may be a column.
+    replaced = F.replace(F.regexp_replace(rule, SID_OPTION, HELD), F.lit(HELD), F.concat(F.lit("sid:"), text, F.lit(";")))
+    ending = F.concat(F.lit("; sid:"), text, F.lit("; rev:1;)"))
+    added = F.replace(F.regexp_replace(rule, r"[;\s]*\)\z", HELD), F.lit(HELD), ending)
     return F.when(F.contains(rule, F.lit("sid:")), replaced).otherwise(added)
 
 
-def _replace_sid(rule: Column, text: Column) -> Column:
-    # The regular expression only marks the places, so the number may be a column.
-    return F.replace(F.regexp_replace(rule, SID_OPTION, "\uFDD0"), F.lit("\uFDD0"), F.concat(F.lit("sid:"), text, F.lit(";")))
-
-
 def without_identity(rule: Column) -> Column:
     """Rule text without its number and revision: the same rule gives the same text."""
-    bare = F.regexp_replace(F.regexp_replace(rule, SID_OPTION, ""), REV_OPTION, "")
+    bare = F.regexp_replace(rule, r"(?<=[;(])\s*(?:sid|rev):\s*\d+;", "")
     return F.trim(_squeeze(F.regexp_replace(bare, r";[\s;]*;", ";")))
 
 
@@ -152,10 +158,8 @@ def with_mined_sid(rule: Column, sid: Column, mode: str = "last") -> Column:
     if mode == "reference":
         return F.replace(bare, F.lit(")"), ending)
     bare = F.regexp_replace(bare, REV_OPTION, "")
-    head = F.regexp_extract(bare, r"(?s)\A(.*)\)", 1)
-    tail = F.regexp_extract(bare, r"(?s)\A.*\)(.*)\z", 1)
-    numbered = F.concat(F.regexp_replace(head, r"[;\s]+\z", ""), ending, tail)
-    return F.when(F.contains(bare, F.lit(")")), numbered).otherwise(bare)
+    # Greedy up to the last parenthesis; what follows it stays.
+    return F.replace(F.regexp_replace(bare, r"(?s)\A(.*?)[;\s]*\)([^)]*)\z", f"$1{HELD}$2"), F.lit(HELD), ending)
 
 
 def sanitise_suggestion(body: Column, mode: str = "last") -> Column:
@@ -166,5 +170,4 @@ def sanitise_suggestion(body: Column, mode: str = "last") -> Column:
     flat = _squeeze(_one_line(F.trim(body, F.lit(" \t\n\r\x0b\x0c"))))
     rule = F.regexp_extract(flat, r"(?d)\b(?:" + "|".join(RULE_ACTIONS) + r")\b.*", 0)
     end = r"\);" if mode == "reference" else r";\)"
-    cut = F.regexp_extract(rule, r"(?d)\A(.*" + end + ")", 1)
-    return F.when(rule != "", F.when(cut != "", cut).otherwise(rule))
+    return F.nullif(F.regexp_replace(rule, r"(?d)\A(.*" + end + r").*\z", "$1"), F.lit(""))

@@ -179,10 +179,10 @@ def new_lines(expected_failed: DataFrame, alerts: DataFrame, bucket_seconds: int
 
 def tag_service(flows: DataFrame, bindings: DataFrame, protocol: str = "protocol", port: str = "dst_port") -> DataFrame:
     """Add the service bound to (protocol, port), null where none is."""
-    pairs = bindings.select(
-        F.col("proto").alias("_proto"),
-        F.explode(F.split(F.trim("ports"), r"\s+")).try_cast("int").alias("_port"),
-        "service",
-    ).groupBy("_proto", "_port").agg(F.min("service").alias("service"))
+    listed = bindings.select(F.col("proto").alias("_proto"), F.explode(F.split(F.trim("ports"), r"\s+")).alias("_port"), "service")
+    pairs = (
+        listed.withColumn("_port", F.col("_port").try_cast("int"))
+        .groupBy("_proto", "_port").agg(F.min("service").alias("service"))
+    )
     hit = (F.col(protocol) == F.col("_proto")) & (F.col(port) == F.col("_port"))
     return flows.join(broadcast_if_small(pairs), hit, "left").drop("_proto", "_port")

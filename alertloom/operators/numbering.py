@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from alertloom.runtime import broadcast_if_small
+from alertloom.runtime import settle
 
 BUCKETS = 64
 
@@ -16,17 +16,22 @@ def by_quantile(df: DataFrame, key: str, buckets: int = BUCKETS) -> Column:
     every later evaluation agrees on them.
     """
     bounds = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.002)))
-    bucket = F.lit(0)
-    for bound in bounds:
-        bucket = bucket + (F.col(key) > F.lit(bound)).cast("int")
-    return bucket
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) <= F.lit(bounds[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    return place(0, len(bounds))
 
 
 def number_rows(df: DataFrame, order: list[str], bucket: Column, start: int, name: str) -> DataFrame:
     """Add ``name``: start, start + 1, … in the order of the ``order`` columns.
 
-    ``bucket`` must not decrease along that order. Rows are numbered inside their
-    bucket; the rows of all lower buckets are added from one small histogram.
+    ``bucket`` must not decrease along that order and has at most 256 values, which
+    bounds the histogram that is broadcast. Rows are numbered inside their bucket;
+    the rows of all lower buckets are added from the histogram.
     """
     keyed = df.withColumn("_bucket", bucket)
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -35,7 +40,7 @@ def number_rows(df: DataFrame, order: list[str], bucket: Column, start: int, nam
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_bucket").orderBy(*order)
     return (
-        keyed.join(broadcast_if_small(offsets), "_bucket")
+        keyed.join(F.broadcast(offsets), "_bucket")
         .withColumn(name, F.row_number().over(inside).cast("long") + F.col("_before") + F.lit(start - 1))
         .drop("_bucket", "_before")
     )
@@ -46,7 +51,7 @@ def number_texts(df: DataFrame, text: str, start: int, name: str) -> DataFrame:
 
     The leading hex digits of a digest are a uniform bucket; equal texts get one number.
     """
-    values = df.select(text).distinct().withColumn("_digest", F.md5(text))
+    values = settle(df.select(text).distinct(), "texts").withColumn("_digest", F.md5(text))
     bucket = F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int")
     numbered = number_rows(values, ["_digest"], bucket, start, name).select(text, name)
     return df.join(numbered, text)

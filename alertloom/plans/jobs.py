@@ -2,12 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from alertloom.operators import alerts as A, joins
+from alertloom.functions import rule_text
+from alertloom.operators import alerts as A, dedup, filters, joins, numbering, thresholds
+from alertloom.runtime import settle
 
 
 def alerts_job(lines: DataFrame, suppressions: DataFrame, year: int, zone: str = "+00:00") -> DataFrame:
     """Alert lines to the summary of what remains after suppression."""
     typed = A.typed_alerts(A.parse_alerts(lines), year, zone)
     return A.alert_summary(joins.suppress(typed, suppressions))
+
+
+def detection_job(packets: DataFrame, rules: DataFrame, suppressions: DataFrame, variables: dict | None = None) -> DataFrame:
+    """Packets to alerts: rule match, per-rule thresholds, suppression.
+
+    The payload is dropped right after the match, so no later shuffle carries it.
+    Matches are written once, because each distinct threshold reads them.
+    """
+    matched = joins.match_rules(packets, rules, variables).drop("payload")
+    alerts = thresholds.detection_filters(settle(matched, "matches")).withColumn("gid", F.lit(1).cast("long"))
+    return joins.suppress(alerts, suppressions, source="src_ip", dest="dst_ip")
+
+
+def mining_prompts(alerts: DataFrame, order: str = "pos") -> DataFrame:
+    """One prompt per distinct, informative attack; ``prompt_id`` is the place of its first alert."""
+    attacks = filters.informative(dedup.distinct_attacks(filters.malicious(alerts), order))
+    hint = rule_text.payload_hint(F.col("message"))
+    return attacks.select(
+        F.col(order).alias("prompt_id"), "message", "dest_port",
+        rule_text.mining_prompt(F.col("message"), F.col("dest_port"), hint).alias("prompt"),
+    )
+
+
+def mining_job(prompts: DataFrame, responses: DataFrame, first_sid: int = 1000100) -> DataFrame:
+    """Answers to the mining prompts, cleaned and numbered in the order of the prompts.
+
+    ``responses`` is (prompt_id, response). Only valid rules take a number.
+    """
+    answered = prompts.select("prompt_id", "message").join(responses, "prompt_id")
+    cleaned = answered.select("prompt_id", "message", rule_text.sanitise_mined_rule(F.col("response")).alias("rule"))
+    valid = settle(cleaned.where(rule_text.is_mined_rule(F.col("rule"))), "mined")
+    bucket = numbering.by_quantile(valid, "prompt_id")
+    numbered = numbering.number_rows(valid, ["prompt_id"], bucket, first_sid, "sid")
+    return numbered.withColumn("rule", rule_text.with_mined_sid(F.col("rule"), F.col("sid")))
+
+
+def packet_suggestions(responses: DataFrame, first_sid: int, known: DataFrame | None = None) -> DataFrame:
+    """Answers to packet prompts as numbered rules that are not known yet.
+
+    Rules that differ in number only are one rule, so it gets one number however
+    many packets led to it. ``known`` is (rule_key, …).
+    """
+    cleaned = responses.select(rule_text.sanitise_packet_rule(F.col("response"))["rule"].alias("rule")).where("rule IS NOT NULL")
+    keyed = cleaned.groupBy(rule_text.without_identity(F.col("rule")).alias("rule_key")).agg(F.min("rule").alias("rule"))
+    fresh = dedup.drop_known_rules(keyed, known) if known is not None else keyed
+    numbered = numbering.number_texts(settle(fresh, "suggested"), "rule_key", first_sid, "sid")
+    return numbered.withColumn("rule", rule_text.with_sid(F.col("rule"), F.col("sid")))
+
+
+def approval_job(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Stored suggestions, cleaned, that a person approved: (suggestion_id, rule, sid)."""
+    cleaned = suggestions.select("suggestion_id", rule_text.sanitise_suggestion(F.col("body")).alias("rule"))
+    approved = joins.apply_decisions(cleaned.where("rule IS NOT NULL"), decisions)
+    sid = F.regexp_extract("rule", r"sid:\s*(\d+);", 1).try_cast("long")
+    return approved.withColumn("sid", sid)

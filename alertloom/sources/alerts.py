@@ -57,6 +57,10 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return re.sub(r"\A(\w+):/+", r"\1:/", p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
 
 
+# Cells keep their outer spaces, and quotes inside a cell are doubled.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_alerts(df: DataFrame, path: str, fmt: str = "csv") -> bool:
     """Write the eight fields; an empty table writes nothing. Says whether it wrote."""
     table = df.select(*parsing.FIELDS)
@@ -64,7 +68,7 @@ def write_alerts(df: DataFrame, path: str, fmt: str = "csv") -> bool:
         log.warning("no alerts to save")
         return False
     if fmt == "csv":
-        table.write.option("header", True).option("escape", '"').csv(path)
+        table.write.options(**CSV_OPTIONS).csv(path)
     else:
         table.write.format(fmt).save(path)
     return True
@@ -72,7 +76,7 @@ def write_alerts(df: DataFrame, path: str, fmt: str = "csv") -> bool:
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     # inferSchema stays off: every cell is read as text, so ports and labels keep their spelling.
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+    return spark.read.options(**CSV_OPTIONS).csv(path)
 
 
 def read_alert_table(spark: SparkSession, path: str, default_label: int = 1) -> DataFrame:
