@@ -11,7 +11,7 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _in_slices(df: DataFrame, ts: str, seconds: int, slices: int) -> DataFrame:
+def in_slices(df: DataFrame, ts: str, seconds: int, slices: int) -> DataFrame:
     """Cut each group into time slices so that no group is one task.
 
     A slice is ``slices`` windows long. Rows of the last window of a slice are
@@ -41,7 +41,7 @@ def detection_filter(
     Equal timestamps count for each other. A source with very many matches is
     spread over the slices of its time span; at most one row in ``slices`` is copied.
     """
-    cut = _in_slices(matches, ts, seconds, slices)
+    cut = in_slices(matches, ts, seconds, slices)
     back = (
         Window.partitionBy(rule, track, "_slice").orderBy("_t").rangeBetween(-(seconds * MICROS - 1), Window.currentRow)
     )
@@ -106,7 +106,7 @@ def rate_filter(
     (t - seconds, t]; the new action holds for alerts in [t, t + timeout).
     """
     # The look-back covers the held crossing and the alerts that led to it.
-    cut = _in_slices(alerts.where(_of_rule(gid, sid)), ts, seconds + timeout, slices)
+    cut = in_slices(alerts.where(_of_rule(gid, sid)), ts, seconds + timeout, slices)
     key = [track, "_slice"]
     recent = Window.partitionBy(*key).orderBy("_t").rangeBetween(-(seconds * MICROS - 1), Window.currentRow)
     held = Window.partitionBy(*key).orderBy("_t").rangeBetween(-(timeout * MICROS - 1), Window.currentRow)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from alertloom.functions import rule_text
-from alertloom.operators import alerts as A, dedup, filters, joins, numbering, thresholds
-from alertloom.runtime import settle
+from alertloom.functions import features, rule_text
+from alertloom.models.detector import Detector, score_packets
+from alertloom.models.training import train_detector
+from alertloom.operators import alerts as A, dedup, filters, joins, numbering, reports, sampling, thresholds
+from alertloom.operators.union import union_datasets
+from alertloom.runtime import require_rows, settle
 
 
 def alerts_job(lines: DataFrame, suppressions: DataFrame, year: int, zone: str = "+00:00") -> DataFrame:
@@ -68,3 +71,42 @@ def approval_job(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     approved = joins.apply_decisions(cleaned.where("rule IS NOT NULL"), decisions)
     sid = F.regexp_extract("rule", r"sid:\s*(\d+);", 1).try_cast("long")
     return approved.withColumn("sid", sid)
+
+
+def labelled_features(flows: DataFrame, label_mode: str = "reference") -> DataFrame:
+    """Flow rows as feature rows; the file position stays as the row key."""
+    named = flows.select(
+        "file", "block", "seq", "dest_port",
+        features.message_from_dataset(F.col("headerless"), F.col("attack_cat"), F.col("raw_label")).alias("message"),
+        features.binarise_label(F.col("raw_label"), label_mode).alias("label"),
+    )
+    return features.engineer_features(named, keep=("file", "block", "seq", "label"))
+
+
+def training_job(
+    datasets: dict[str, DataFrame | None], rate: float = 0.05, threshold: int = 50_000, label_mode: str = "reference",
+    seed: int = 42, **options,
+) -> tuple[Detector, DataFrame, DataFrame]:
+    """(detector, report, class distribution) from flow data sets and, under ``alerts``, an alert table.
+
+    Each flow data set is sampled per large file, turned into feature rows and joined
+    to one table, which is written once because training reads it several times.
+    """
+    parts: dict[str, DataFrame | None] = {}
+    for name, df in datasets.items():
+        if df is not None and name != "alerts":
+            df = labelled_features(sampling.sample_large_files(df, rate, threshold, seed), label_mode)
+        parts[name] = df
+    rows = require_rows(settle(union_datasets(parts), "training"), "training data")
+    distribution = reports.class_distribution(rows)
+    detector, report = train_detector(rows, ("dataset", "file", "block", "seq"), seed, **options)
+    return detector, report, distribution
+
+
+def inspection_job(
+    detector: Detector, packets: DataFrame, responses: DataFrame, first_sid: int, known: DataFrame | None = None, mode: str = "either"
+) -> tuple[DataFrame, DataFrame]:
+    """(alerting packets with prompts, numbered new rules); ``responses`` is (prompt_id, response)."""
+    alerts = settle(score_packets(detector, packets, mode), "scored")
+    answered = responses.join(alerts.select(F.col("packet_id").alias("prompt_id")), "prompt_id", "left_semi")
+    return alerts, packet_suggestions(answered, first_sid, known)
