@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from alertloom.models.detector import Detector, score_packets
 from alertloom.operators.alerts import parse_alerts, typed_alerts
 from alertloom.operators.joins import alerts_in_wait
-from alertloom.operators.thresholds import MICROS, in_slices
+from alertloom.operators.thresholds import MICROS, detection_filter
 from alertloom.runtime import broadcast_if_small, existing_paths
 from alertloom.sources.alerts import LINES
 from alertloom.sources.suggestions import write_suggestions
@@ -38,52 +34,72 @@ def stream_score(detector: Detector, packets: DataFrame, mode: str = "either") -
     return score_packets(detector, packets, mode)
 
 
-def _passing(count: int, seconds: int, columns: list[str]):
-    """State function of the threshold: the last ``count - 1`` instants of a key."""
-    span = seconds * MICROS
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # Narrow rows of one key, one time slice and one trigger.
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["_t", "row_id"], kind="stable")
-        recent = list(state.get[0]) if state.exists else []
-        times = pd.Series([*recent, *rows["_t"]], dtype="int64")
-        # Equal instants count for each other, so the last of them decides.
-        last = pd.Series(range(len(times))).groupby(times).transform("max")
-        nth = last - (count - 1)
-        then = times.reindex(nth.clip(lower=0)).to_numpy()
-        hit = (nth >= 0).to_numpy() & (times.to_numpy() - then < span)
-        state.update((times.tolist()[-(count - 1):] if count > 1 else [],))
-        state.setTimeoutTimestamp(max(int(times.max()) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows[hit[len(recent):] & rows["_own"].to_numpy()][columns]
-
-    return step
-
-
-def stream_detection_filter(
-    matches: DataFrame, track: str, count: int, seconds: int, delay: str = "0 seconds", rule: str = "sid", ts: str = "ts",
-    row_id: str = "packet_id", slices: int = 4,
-) -> DataFrame:
-    """Matches (rule, source, row_id) that reach the threshold, judged as they arrive.
-
-    State is kept per rule, source and time slice, so the backlog of a very busy
-    source is spread as in the batch filter. It holds the last ``count - 1``
-    instants and is dropped once the watermark passes the newest by ``seconds``.
-    Rows later than the watermark are dropped and counted by the query's progress.
-    Equal to the batch filter when rows arrive in order and equal instants arrive
-    together.
+class ThresholdStream:
+    """The per-source threshold over arriving matches, exact for all rows that are not late.
+
+    Each batch is judged by the batch operator's own window over the new rows and
+    a small context table: for each rule and source the last ``count - 1`` rows
+    that still lie within reach, and the rows that wait for the watermark. The
+    watermark is the newest instant seen minus the delay. Rows older than the
+    watermark of earlier batches are dropped and counted.
+
+    Batch n reads context n - 1 and overwrites context n and result n, so a
+    replayed batch changes nothing. No row goes through Python.
     """
-    columns = [rule, track, "row_id"]
-    narrow = matches.select(rule, track, F.col(row_id).alias("row_id"), F.col(ts).cast("timestamp").alias("_ts"))
-    timed = in_slices(narrow.withWatermark("_ts", delay), "_ts", seconds, slices)
-    types = {f.name: f.dataType.simpleString() for f in timed.schema}
-    out = ", ".join(f"`{c}` {types[c]}" for c in columns)
-    passing = timed.groupBy(rule, track, "_slice").applyInPandasWithState(
-        _passing(count, seconds, columns), out, "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return passing.withColumnRenamed("row_id", row_id)
+
+    def __init__(self, store: str, track: str, count: int, seconds: int, delay_seconds: int = 0, rule: str = "sid", ts: str = "ts"):
+        self.store, self.track, self.count, self.seconds = store, track, count, seconds
+        self.delay, self.rule, self.ts = delay_seconds * MICROS, rule, ts
+
+    def _path(self, table: str, version: int) -> str:
+        return f"{self.store}/{table}/version={version:09d}"
+
+    def judge(self, batch: DataFrame, version: int) -> None:
+        # The batch is read by each write below; a lost block is read again from the source.
+        kept = batch.persist()
+        try:
+            self._judge(kept, version)
+        finally:
+            kept.unpersist()
+
+    def _judge(self, batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("_t", F.unix_micros(F.col(self.ts).cast("timestamp")))
+        known = existing_paths(spark, [self._path("marks", version - 1)])[0]
+        mark = spark.read.parquet(known[0]).first() if known else None
+        before = mark["watermark"] if mark else None
+        late = F.lit(False) if before is None else F.col("_t") < F.lit(before)
+        seen = rows.agg(F.max("_t").alias("newest"), F.count_if(late).alias("late")).first()
+        if seen["newest"] is None:
+            now, lost = before, mark["late"] if mark else 0
+        else:
+            now = max(seen["newest"] - self.delay, before if before is not None else seen["newest"] - self.delay)
+            lost = seen["late"] + (mark["late"] if mark else 0)
+        table = rows.where(~late).withColumn("_waiting", F.lit(True))
+        if mark:
+            table = table.unionByName(spark.read.schema(table.schema).parquet(self._path("context", version - 1)))
+        reached = F.col("_t") <= F.lit(now)
+        # Rows beyond the watermark cannot count for rows up to it.
+        judged = detection_filter(table.where(reached), self.track, self.count, self.seconds, self.rule, self.ts)
+        judged.where("_waiting").select(*batch.columns).write.mode("overwrite").parquet(self._path("passed", version))
+        newest_first = Window.partitionBy(self.rule, self.track).orderBy(F.desc("_t"))
+        in_reach = table.where(reached & (F.col("_t") > F.lit((now or 0) - self.seconds * MICROS)))
+        recent = in_reach.withColumn("_i", F.row_number().over(newest_first)).where(F.col("_i") <= self.count - 1)
+        context = table.where(~reached).unionByName(recent.drop("_i").withColumn("_waiting", F.lit(False)))
+        context.write.mode("overwrite").parquet(self._path("context", version))
+        marks = spark.createDataFrame([(now, lost)], "watermark long, late long")
+        marks.coalesce(1).write.mode("overwrite").parquet(self._path("marks", version))
+
+    def start(self, matches: DataFrame, checkpoint: str) -> StreamingQuery:
+        writer = matches.writeStream.foreachBatch(self.judge).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+
+    def passed(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.store}/passed").drop("version")
+
+    def late_rows(self, spark: SparkSession) -> int:
+        newest = spark.read.parquet(f"{self.store}/marks").orderBy(F.desc("version")).first()
+        return newest["late"]
 
 
 def stream_suggest(rules: DataFrame, store: str, checkpoint: str) -> StreamingQuery:

@@ -65,9 +65,9 @@ def in_time_order(spark, sf):
 def t3(spark, sf):
     path, schema = in_time_order(spark, sf)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = scratch_path(spark, "passed")
-    finish(jobs.run_available(jobs.stream_detection_filter(stream, "src_ip", 2, 43200), out, scratch_path(spark, "progress")))
-    return spark.read.parquet(out).select("packet_id", "sid", "src_ip")
+    threshold = jobs.ThresholdStream(scratch_path(spark, "threshold"), "src_ip", 2, 43200)
+    finish(threshold.start(stream, scratch_path(spark, "progress")))
+    return threshold.passed(spark).select("packet_id", "sid", "src_ip")
 
 
 @query(
