@@ -10,21 +10,30 @@ from pyspark.sql import Column, functions as F
 PRINTABLE = r"\A[\x20-\x7e\t\n\r\x0b\x0c]+\z"
 
 
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4 = rf"\A(?:{OCTET}\.){{3}}{OCTET}\z"
+
+
 def ip_number(ip: Column) -> Column:
     """IPv4 text as a number; null for anything else."""
-    parts = F.split(ip, r"\.")
-    octet = lambda i: F.get(parts, F.lit(i)).try_cast("long")
-    number = octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
-    in_range = lambda o: o.between(0, 255)
-    valid = (F.size(parts) == 4) & in_range(octet(0)) & in_range(octet(1)) & in_range(octet(2)) & in_range(octet(3))
-    return F.when(valid, number)
+    zero = F.lit(0).cast("long")
+    number = F.aggregate(F.split(ip, r"\."), zero, lambda so_far, octet: so_far * 256 + octet.cast("long"))
+    return F.when(ip.rlike(IPV4), number)
 
 
 def in_cidr(ip: Column, net: str) -> Column:
-    """True when the IPv4 text lies in the network."""
+    """True when the IPv4 text lies in the network.
+
+    Whole octets of the prefix are compared as text first, which settles most
+    addresses without reading them as numbers.
+    """
     network = ipaddress.ip_network(net)
     low, high = int(network.network_address), int(network.broadcast_address)
-    return F.coalesce(ip_number(ip).between(low, high), F.lit(False))
+    whole = str(network.network_address).split(".")[: network.prefixlen // 8]
+    inside = ip_number(ip).between(low, high)
+    if whole:
+        inside = F.startswith(ip, F.lit(".".join(whole) + ("." if len(whole) < 4 else ""))) & inside
+    return F.coalesce(inside, F.lit(False))
 
 
 def cidr_bounds(net: Column) -> tuple[Column, Column]:

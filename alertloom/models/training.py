@@ -29,13 +29,14 @@ def train_detector(
     if train_cap is not None:
         rows = cap_rows(rows, train_cap, keys, seed)
     train, test = stratified_split(rows, label="label", keys=keys, seed=seed)
-    train = settle(train, "train")
+    # Training reads its rows many times, so they are dealt out evenly once.
+    train = settle(train.repartition(*keys), "train")
     classifier = train_classifier(train, trees, max_depth, seed, terms, text)
     report = classification_report(classify(classifier, test), prediction="rf")
     normal = benign(rows)
     if normal.isEmpty():
         return Detector(classifier), report
-    normal = settle(cap_rows(normal, BENIGN_CAP, keys, seed), "benign")
+    normal = settle(cap_rows(normal, BENIGN_CAP, keys, seed).repartition(*keys), "benign")
     vectoriser = fit_vectoriser(normal, terms, text)
     nodes = settle(train_anomaly(vectorised(vectoriser, normal), keys, seed=seed), "forest")
     return Detector(classifier, vectoriser, nodes), report

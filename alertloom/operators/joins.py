@@ -42,7 +42,8 @@ def _rule_holds() -> Column:
     contents = F.forall(
         "r_contents",
         lambda c: no(
-            F.when(c["nocase"], F.contains(F.col("_lower"), F.lower(c["text"]))).otherwise(
+            # Lower case is made only where a rule asks for it and its header already fits.
+            F.when(c["nocase"], F.contains(F.lower("_text"), F.lower(c["text"]))).otherwise(
                 F.contains(F.col("_text"), c["text"])
             )
         ),
@@ -63,13 +64,7 @@ def match_rules(packets: DataFrame, rules: DataFrame, variables: dict[str, str]
     """
     table = _resolved(rules, variables or HOME_NET)
     text = F.col("payload").cast("string")
-    probes = packets.withColumns(
-        {
-            "_text": F.coalesce(text, F.lit("")),
-            "_lower": F.lower(F.coalesce(text, F.lit(""))),
-            "_dst": ip_number(F.col("dst_ip")),
-        }
-    ).withColumn("_port", F.explode(F.array(F.coalesce(F.col("dst_port"), F.lit(ANY_PORT - 1)), F.lit(ANY_PORT))))
+    probes = packets.withColumns({"_text": F.coalesce(text, F.lit("")), "_dst": ip_number(F.col("dst_ip"))}).withColumn("_port", F.explode(F.array(F.coalesce(F.col("dst_port"), F.lit(ANY_PORT - 1)), F.lit(ANY_PORT))))
     on = (F.col("protocol") == F.col("r_proto")) & (F.col("_port") == F.col("r_port"))
     if is_small(table):
         table = F.broadcast(table)

@@ -41,6 +41,16 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a table out to all cores when it has fewer files than cores.
+
+    A file written as one row group is one task however large the cluster is. A
+    table in many files is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def measured_size(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes of the cell texts), computed by one distributed aggregate."""
     width = F.lit(0).cast("long")

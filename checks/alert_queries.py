@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions import parsing
 from alertloom.operators import alerts as A, dedup, joins, thresholds
-from alertloom.runtime import scratch_path
+from alertloom.runtime import scratch_path, settle
 from alertloom.sources.alerts import read_alert_lines, read_alert_table, read_alerts_for_mining, write_alerts
 from alertloom.plans.jobs import alerts_job
 from checks import inputs
@@ -186,7 +186,7 @@ def j4(spark, sf):
     AND epoch_us(event_ts) <= (since_s + wait_seconds) * 1000000""",
 )
 def j4_lines(spark, sf):
-    alerts = arrived_alerts(spark, sf)
+    alerts = settle(arrived_alerts(spark, sf))
     failed = joins.verify_rules(expected_rules(spark, sf), alerts).where("NOT passed")
     found = joins.new_lines(failed, alerts)
     return found.select(F.col("expected_sid").alias("sid"), F.unix_seconds("since").alias("since_s"), "pos")

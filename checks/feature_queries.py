@@ -193,7 +193,7 @@ def u4(spark, sf):
 def write_flows(spark, sf):
     """Flow files written from the events: two headed spellings, one unusable, one headerless set."""
     path = scratch_path(spark, "flows")
-    e = inputs.table(spark, sf, "events").select("event_id", "event_type", inputs.port_texts().alias("port"), inputs.raw_labels().alias("raw"))
+    e = inputs.spread_table(spark, sf, "events", "event_id").select("event_id", "event_type", inputs.port_texts().alias("port"), inputs.raw_labels().alias("raw"))
     options = CSV_OPTIONS | {"encoding": "ISO-8859-1"}
     e.where("event_id % 2 = 0").select(
         F.col("event_id").alias("Flow ID"), F.col("port").alias(" Destination Port"), F.col("raw").alias("Label")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertloom.functions import features, parsing
+from alertloom.runtime import spread
 from alertloom.sources.rules import rules_from_lines
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row."""
+    return spread(table(spark, sf, name), key)
+
+
 def pick(index: Column, values: tuple) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -57,7 +63,7 @@ def true_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """One alert per event, with every field known, before it is written as a line."""
     icmp = i() % 7 == 0
     stamp = F.date_format("ts", ISO)
-    return table(spark, sf, "events").select(
+    return spread_table(spark, sf, "events", "event_id").select(
         i().alias("pos"),
         F.concat(F.lit("log"), (i() % 3).cast("string")).alias("file"),
         F.when(i() % 2 == 0, F.concat(stamp, F.lit("-06:00"))).otherwise(F.date_format("ts", "MM/dd-HH:mm:ss.SSSSSS")).alias("timestamp"),
@@ -92,7 +98,7 @@ def packets(spark: SparkSession, sf: str) -> DataFrame:
     """One packet per event; the payload is the whole text of a document."""
     documents = table(spark, sf, "documents")
     n = documents.count()
-    e = table(spark, sf, "events").withColumn("doc_id", i() % n)
+    e = spread_table(spark, sf, "events", "event_id").withColumn("doc_id", i() % n)
     joined = e.join(documents.select("doc_id", "text"), "doc_id", "left")
     proto = F.when(i() % 5 <= 2, "tcp").when(i() % 5 == 3, "udp").otherwise("icmp")
     icmp = i() % 5 == 4
@@ -132,7 +138,7 @@ def suppressions(spark: SparkSession) -> DataFrame:
 
 def labelled(spark: SparkSession, sf: str, label: str = "toxic") -> DataFrame:
     """Documents with a label; the port is the document number modulo 1024."""
-    joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    joined = spread_table(spark, sf, "documents", "doc_id").join(table(spark, sf, "labels"), "doc_id")
     return joined.select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("message"), (F.col("doc_id") % 1024).alias("dest_port"),
         F.col(label).alias("label"),
@@ -140,7 +146,7 @@ def labelled(spark: SparkSession, sf: str, label: str = "toxic") -> DataFrame:
 
 
 def page_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.col("html").alias("message"), (F.col("page_id") % 1024).alias("dest_port"))
+    return spread_table(spark, sf, "pages", "page_id").select("page_id", F.col("html").alias("message"), (F.col("page_id") % 1024).alias("dest_port"))
 
 
 def page_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,7 +33,7 @@ WORDS = """words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p
 
 
 def documents(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", F.col("text").alias("message"))
+    return inputs.spread_table(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("message"))
 
 
 @query("W5_top_terms", f"WITH {WORDS} SELECT term, uses, \"rows\" FROM terms")
@@ -71,7 +71,7 @@ def m2(spark, sf):
 
 
 def document_features(spark, sf):
-    d = inputs.table(spark, sf, "documents").select("doc_id", F.col("text").alias("message"), (F.col("doc_id") % 1024).alias("dest_port"))
+    d = inputs.spread_table(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("message"), (F.col("doc_id") % 1024).alias("dest_port"))
     return engineer_features(d, keep=("doc_id",))
 
 

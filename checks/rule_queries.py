@@ -15,7 +15,7 @@ from checks.tables import sql
 
 
 def events(spark, sf):
-    return inputs.table(spark, sf, "events")
+    return inputs.spread_table(spark, sf, "events", "event_id")
 
 
 @query("P16_payload_hint", sql("SELECT event_id, hint FROM hinted", "mined_messages", "hinted"))
