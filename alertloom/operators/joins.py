@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from alertloom.functions.hashing import row_hash
 from alertloom.functions.network import cidr_bounds, ip_number
 from alertloom.runtime import BROADCAST_ROWS, broadcast_if_small, is_small
 
@@ -70,7 +69,7 @@ def match_rules(packets: DataFrame, rules: DataFrame, variables: dict[str, str]
         table = F.broadcast(table)
     else:
         table = table.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        probes = probes.withColumn("_salt", (row_hash(0, F.col("packet_id")) % salts).cast("int"))
+        probes = probes.withColumn("_salt", F.pmod(F.xxhash64("packet_id"), F.lit(salts)).cast("int"))
         on = on & (F.col("_salt") == F.col("r_salt"))
     renamed = {
         "sid": "r_sid", "rev": "r_rev", "msg": "r_msg",

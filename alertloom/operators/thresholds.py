@@ -52,21 +52,25 @@ def detection_filter(
     )
 
 
-def detection_filters(matches: DataFrame, src: str = "src_ip", dst: str = "dst_ip", ts: str = "ts") -> DataFrame:
+TERMS = ("df_track", "df_count", "df_seconds")
+
+
+def rule_thresholds(rules: DataFrame) -> list[tuple]:
+    """The distinct (track, count, seconds) of a rule table."""
+    return [tuple(r) for r in rules.where(F.col("df_count").isNotNull()).select(*TERMS).distinct().collect()]
+
+
+def detection_filters(matches: DataFrame, terms: list[tuple], src: str = "src_ip", dst: str = "dst_ip", ts: str = "ts") -> DataFrame:
     """Apply each matched rule's own threshold; rules without one pass unchanged.
 
     Rules that share a threshold are filtered together, so there is one branch
-    per distinct (track, count, seconds) and none per rule.
+    per distinct (track, count, seconds) and none per rule. ``matches`` should be
+    a written table: every branch reads its own part of it.
     """
-    terms = ["df_track", "df_count", "df_seconds"]
     out = matches.where(F.col("df_count").isNull())
-    for row in matches.select(*terms).where(F.col("df_count").isNotNull()).distinct().collect():
-        same = matches.where(
-            (F.col("df_track") == row["df_track"]) & (F.col("df_count") == row["df_count"])
-            & (F.col("df_seconds") == row["df_seconds"])
-        )
-        track = dst if row["df_track"] == "by_dst" else src
-        out = out.unionByName(detection_filter(same, track, row["df_count"], row["df_seconds"], ts=ts))
+    for track, count, seconds in terms:
+        same = matches.where((F.col("df_track") == track) & (F.col("df_count") == count) & (F.col("df_seconds") == seconds))
+        out = out.unionByName(detection_filter(same, dst if track == "by_dst" else src, count, seconds, ts=ts))
     return out
 
 

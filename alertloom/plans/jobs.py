@@ -25,7 +25,8 @@ def detection_job(packets: DataFrame, rules: DataFrame, suppressions: DataFrame,
     Matches are written once, because each distinct threshold reads them.
     """
     matched = joins.match_rules(packets, rules, variables).drop("payload")
-    alerts = thresholds.detection_filters(settle(matched, "matches")).withColumn("gid", F.lit(1).cast("long"))
+    terms = thresholds.rule_thresholds(rules)
+    alerts = thresholds.detection_filters(settle(matched, "matches"), terms).withColumn("gid", F.lit(1).cast("long"))
     return joins.suppress(alerts, suppressions, source="src_ip", dest="dst_ip")
 
 

@@ -90,7 +90,7 @@ def j1(spark, sf):
 @query("W1_thresholds_of_rules", sql("SELECT packet_id, sid FROM detected", "packets", "matches", "detected"))
 def w1_rules(spark, sf):
     matched = joins.match_rules(inputs.packets(spark, sf), inputs.rules(spark)).drop("payload")
-    return thresholds.detection_filters(settle(matched)).select("packet_id", "sid")
+    return thresholds.detection_filters(settle(matched), thresholds.rule_thresholds(inputs.rules(spark))).select("packet_id", "sid")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-KIND = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END"
+KIND = "(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END)::BIGINT"
 SOURCE = "'10.0.' || (user_id // 256) || '.' || (user_id % 256)"
 ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
 
@@ -53,10 +53,10 @@ CTES = {
         WHERE protocol IN ('tcp', 'udp') AND dst_port NOT IN (22, 514) AND text IS NOT NULL AND length(text) >= 5
           AND regexp_full_match(text, '[\x20-\x7e\t\n\r\x0b\x0c]+')""",
     "matches": r"""
-        SELECT packet_id, ts, src_ip, sid, rev, msg, df_count, df_seconds FROM packets JOIN (VALUES
+        SELECT packet_id, ts, src_ip, sid::BIGINT AS sid, rev, msg, df_count, df_seconds FROM packets JOIN (VALUES
           (1000002, 1, 'Word on port 22', 5, 259200), (1000001, 1, 'FIN only', NULL, NULL), (1000004, 1, 'Ping', 2, 43200),
           (1000005, 2, 'Two words', NULL, NULL), (1000006, 1, 'Line end', NULL, NULL)) r(sid, rev, msg, df_count, df_seconds)
-        ON dst_ip = '192.168.1.44' AND CASE sid
+        ON dst_ip = '192.168.1.44' AND CASE r.sid
           WHEN 1000002 THEN protocol = 'tcp' AND dst_port = 22 AND to_server AND established AND contains(lower(raw_text), ' the ')
           WHEN 1000001 THEN protocol = 'tcp' AND tcp_flags = 'F'
           WHEN 1000004 THEN protocol = 'icmp'
