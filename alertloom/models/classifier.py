@@ -7,6 +7,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom.models.vectorise import MAX_TERMS, fit_vectoriser
+from alertloom.runtime import settle
 
 TREES = 100
 MAX_DEPTH = 30  # the deepest that Spark grows; the reference sets no limit
@@ -17,7 +18,8 @@ def train_classifier(
 ) -> PipelineModel:
     """Fit the vectoriser and a random forest on feature rows with a ``label``."""
     vectoriser = fit_vectoriser(train, terms, text)
-    rows = vectoriser.transform(train).select("features", F.col("label").cast("double").alias("label"))
+    # Growing the forest passes over its rows several times; the texts are tokenised for it once.
+    rows = settle(vectoriser.transform(train).select("features", F.col("label").cast("double").alias("label")), "vectors")
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, seed=seed, featuresCol="features", labelCol="label", maxMemoryInMB=1024,
         cacheNodeIds=True, checkpointInterval=10, featureSubsetStrategy="sqrt",

@@ -48,28 +48,28 @@ def inverse_frequency(n: Column, rows: Column) -> Column:
     return F.log((1 + n) / (1 + rows)) + 1
 
 
-def standard_scales(df: DataFrame) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of each numeric feature; a zero deviation counts as 1."""
+def summarise(df: DataFrame) -> tuple[int, dict[str, tuple[float, float]]]:
+    """Rows, and mean and population deviation of each numeric feature; a zero deviation counts as 1."""
     row = df.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES],
     ).first()
-    return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in FEATURES}
+    return row["n"], {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in FEATURES}
 
 
 def standardise(df: DataFrame, scales: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Add ``z_<feature>`` columns with zero mean and unit variance."""
-    scales = scales or standard_scales(df)
+    scales = scales or summarise(df)[1]
     return df.withColumns({f"z_{c}": (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scales.items()})
 
 
-def _standardiser(df: DataFrame) -> SQLTransformer:
-    scaled = ", ".join(f"(`{c}` - {m!r}D) / {s!r}D AS `z_{c}`" for c, (m, s) in standard_scales(df).items())
+def _standardiser(scales: dict[str, tuple[float, float]]) -> SQLTransformer:
+    scaled = ", ".join(f"(`{c}` - {m!r}D) / {s!r}D AS `z_{c}`" for c, (m, s) in scales.items())
     return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
 
 
-def tfidf_stages(df: DataFrame, n: int = MAX_TERMS) -> list:
-    """Tokens, counts, weights and unit length. The vocabulary is at most ``n`` collected rows."""
-    total = df.count()
+def tfidf_stages(df: DataFrame, total: int, n: int = MAX_TERMS) -> list:
+    """Tokens, counts, weights and unit length over ``total`` rows. The vocabulary is at most ``n`` collected rows."""
     chosen = top_terms(df, n).select("term", inverse_frequency(F.lit(total), F.col("rows")).alias("idf")).collect()
     if not chosen:
         raise ValueError("no message holds a term")
@@ -87,10 +87,11 @@ def fit_vectoriser(df: DataFrame, n: int = MAX_TERMS, text: bool = True) -> Pipe
 
     ``text=False`` leaves the text block out.
     """
-    stages = [_standardiser(df)]
+    total, scales = summarise(df)
+    stages = [_standardiser(scales)]
     inputs = [f"z_{c}" for c in FEATURES]
     if text:
-        stages += tfidf_stages(df, n)
+        stages += tfidf_stages(df, total, n)
         inputs.append("text_vector")
     return PipelineModel(stages + [VectorAssembler(inputCols=inputs, outputCol="features")])
 

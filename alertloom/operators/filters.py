@@ -16,7 +16,7 @@ FACILITY = "local5"
 
 
 def from_outside(src_ip: Column, subnet: str = LOCAL_SUBNET, allowed: str = ALLOWED_SOURCE) -> Column:
-    return ~in_cidr(src_ip, subnet) | (src_ip == allowed)
+    return src_ip.isNotNull() & (~in_cidr(src_ip, subnet) | (src_ip == allowed))
 
 
 def is_transport(protocol: Column) -> Column:

@@ -90,13 +90,15 @@ def training_job(
 ) -> tuple[Detector, DataFrame, DataFrame]:
     """(detector, report, class distribution) from flow data sets and, under ``alerts``, an alert table.
 
-    Each flow data set is sampled per large file, turned into feature rows and joined
-    to one table, which is written once because training reads it several times.
+    Each flow data set is read from its files once and written as a table of its few
+    columns, so that row positions stay what they were for the sampling passes. It is
+    sampled per large file, turned into feature rows and joined to one table, which is
+    written because training reads it several times.
     """
     parts: dict[str, DataFrame | None] = {}
     for name, df in datasets.items():
         if df is not None and name != "alerts":
-            df = labelled_features(sampling.sample_large_files(df, rate, threshold, seed), label_mode)
+            df = labelled_features(sampling.sample_large_files(settle(df, name), rate, threshold, seed), label_mode)
         parts[name] = df
     rows = require_rows(settle(union_datasets(parts), "training"), "training data")
     distribution = reports.class_distribution(rows)

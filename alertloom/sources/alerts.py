@@ -8,10 +8,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from alertloom.functions import parsing
-from alertloom.runtime import existing_paths
+from alertloom.runtime import broadcast_if_small, existing_paths
 
 log = logging.getLogger(__name__)
 
+SCHEME = r"\A(\w+):/+"
 LINES = T.StructType([T.StructField("value", T.StringType())])
 ALERTS = T.StructType([T.StructField(name, T.StringType()) for name in parsing.FIELDS])
 
@@ -30,6 +31,22 @@ def with_position(df: DataFrame, *columns) -> DataFrame:
     )
 
 
+def with_order(df: DataFrame) -> DataFrame:
+    """Replace (file, block, seq) by one number ``pos`` that orders all rows of a scan.
+
+    Files follow each other by name. The number has a fixed width, so a minimum of
+    it is combined by hashing before any shuffle.
+    """
+    files = sorted({_plain(f) for f in df.inputFiles()})
+    index = df.sparkSession.createDataFrame(list(enumerate(files)), "_index long, _file string")
+    named = df.withColumn("_file", F.regexp_replace("file", SCHEME, "$1:/"))
+    part = lambda c, power: c.cast("decimal(38,0)") * F.lit(str(10**power)).cast("decimal(38,0)")
+    in_task = F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
+    pos = part(F.col("_index"), 24) + part(F.col("block"), 10) + in_task.cast("decimal(38,0)")
+    ordered = named.join(broadcast_if_small(index), "_file").withColumn("pos", pos.cast("decimal(38,0)"))
+    return ordered.drop("_file", "_index", "file", "block", "seq")
+
+
 def read_alert_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines of the logs that exist; ``file_index`` keeps the order of the list.
 
@@ -42,7 +59,7 @@ def read_alert_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         empty = "value string, file string, block long, seq long, file_index int"
         return spark.createDataFrame([], empty)
     lines = with_position(spark.read.schema(LINES).text(present), F.make_valid_utf8("value").alias("value"))
-    origin = F.regexp_replace("file", r"\A(\w+):/+", "$1:/")
+    origin = F.regexp_replace("file", SCHEME, "$1:/")
     order = F.lit(len(present))
     for i, path in reversed(list(enumerate(present))):
         root = _qualified(spark, path)
@@ -54,7 +71,12 @@ def _qualified(spark: SparkSession, path: str) -> str:
     """Full path with its scheme, in the spelling of the scan's file paths."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return re.sub(r"\A(\w+):/+", r"\1:/", p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
+    return _plain(p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
+
+
+def _plain(path: str) -> str:
+    """One spelling for ``file:/x`` and ``file:///x``."""
+    return re.sub(SCHEME, r"\1:/", path)
 
 
 # Cells keep their outer spaces, and quotes inside a cell are doubled.
@@ -88,9 +110,9 @@ def read_alert_table(spark: SparkSession, path: str, default_label: int = 1) ->
 
 
 def read_alerts_for_mining(spark: SparkSession, path: str) -> DataFrame:
-    """Alerts for mining: column names normalised, label 1 only where none is given."""
+    """Alerts for mining: column names normalised, label 1 only where none is given, ``pos`` in file order."""
     raw = _read_csv(spark, path)
-    table = with_position(raw, *[F.col(f"`{c}`").alias(c.lower().strip()) for c in raw.columns])
+    table = with_order(with_position(raw, *[F.col(f"`{c}`").alias(c.lower().strip()) for c in raw.columns]))
     if "message" not in table.columns:
         raise ValueError("the alert table has no message column")
     return table if "label" in table.columns else table.withColumn("label", F.lit(1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.functions.rule_text import without_identity
 from alertloom.operators.dedup import drop_known_rules
-from alertloom.runtime import existing_paths
+from alertloom.runtime import existing_paths, settle
 from alertloom.sources.alerts import with_position
 
 # The line before each suggestion, and the head of the mined-rules file.
@@ -41,10 +41,11 @@ def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
     The marker is the record separator of the scan, so a file of any size is
     split over tasks. The record before the first marker of a file is no block.
     """
-    records = with_position(
+    blocks = with_position(
         spark.read.option("lineSep", MARKER).text(path),
         F.trim("value", F.lit(" \t\n\r\x0b\x0c")).alias("body"),
     )
+    records = settle(blocks, "blocks")
     heads = records.where("block = 0").groupBy("file").agg(F.min("seq").alias("seq"))
     return records.join(heads, ["file", "seq"], "left_anti").where("body <> ''").select(
         F.lit(MARKER).alias("desc"), "body", "file", "block", "seq"

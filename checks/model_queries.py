@@ -62,7 +62,7 @@ def m2(spark, sf):
 
     df = documents(spark, sf)
     values = F.unwrap_udt("text_vector")["values"]
-    vectors = PipelineModel(vectorise.tfidf_stages(df)).transform(df).select("doc_id", values.alias("v"))
+    vectors = PipelineModel(vectorise.tfidf_stages(df, df.count())).transform(df).select("doc_id", values.alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return vectors.select(
         "doc_id", F.size("v").cast("long").alias("terms"), F.round(total, 5).alias("weight"),

@@ -80,3 +80,31 @@ def test_nothing_is_written_for_no_alerts(spark, tmp_path):
     empty = parse_alerts(spark.createDataFrame([("noise",)], "value string"))
     assert write_alerts(empty, str(tmp_path / "out")) is False
     assert not (tmp_path / "out").exists()
+
+
+def test_mining_reads_in_file_order(spark, tmp_path):
+    from alertloom.plans.jobs import mining_job, mining_prompts
+    from alertloom.sources.alerts import read_alerts_for_mining
+
+    names = ["zeta", "alpha payload=x y", "Generic x", "mid", "zeta", "alpha payload=x y", "mid"]
+    text = " Message,Dest_Port \n" + "".join(f"{n},{80 + k % 2}\n" for k, n in enumerate(names))
+    (tmp_path / "a.csv").write_text(text)
+    prompts = mining_prompts(read_alerts_for_mining(spark, str(tmp_path / "a.csv")))
+    rows = prompts.orderBy("prompt_id").collect()
+    assert [(r["message"], r["dest_port"]) for r in rows] == [("zeta", "80"), ("alpha payload=x y", "81"), ("mid", "81"), ("mid", "80")]
+    assert '"x"' in rows[1]["prompt"]
+    answers = prompts.select("prompt_id", F.concat(F.lit("alert tcp ("), "message", F.lit(";)")).alias("response"))
+    rules = {r["message"] + r["rule"][-20:]: r["sid"] for r in mining_job(prompts, answers).collect()}
+    assert sorted(rules.values()) == [1000100, 1000101, 1000102, 1000103]
+    first = [r["message"] for r in mining_job(prompts, answers).orderBy("sid").collect()]
+    assert first == ["zeta", "alpha payload=x y", "mid", "mid"]
+
+
+def test_order_over_part_files(spark, tmp_path):
+    from alertloom.sources.alerts import with_order, with_position
+
+    for k in range(4):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"{k * 100 + i:04d}\n" for i in range(100)))
+    lines = spark.read.option("maxPartitionBytes", 64).text(str(tmp_path))
+    got = [r["value"] for r in with_order(with_position(lines, "value")).orderBy("pos").collect()]
+    assert got == [f"{k:04d}" for k in range(400)]
