@@ -35,6 +35,8 @@ FAST = (
     FAST_STAMP + MARKER + SIGNATURE + MESSAGE + f"(?:{MARKER})?" + METADATA + PROTOCOL + ENDPOINT + r"\s+->\s+" + ENDPOINT
 )
 
+FORMATS = (SYSLOG, FAST)
+
 # A Unicode noncharacter never occurs in interchanged text; a stray one is
 # treated like any other undecodable input.
 SEPARATOR = "\uFDD0"
@@ -76,9 +78,9 @@ def parse_fast_alert(line: Column) -> Column:
     return _alert_struct(line, (FAST,))
 
 
-def matching_fields(line: Column) -> Column:
-    """Both formats; meant to be exploded so that the match runs once per line."""
-    return _fields_of(line, (SYSLOG, FAST))
+def matching_fields(line: Column, formats: tuple[str, ...] = FORMATS) -> Column:
+    """Zero or one field list; meant to be exploded so that the match runs once per line."""
+    return _fields_of(line, formats)
 
 
 def named_fields(parts: Column) -> list[Column]:

@@ -29,8 +29,9 @@ def train_detector(
     if train_cap is not None:
         rows = cap_rows(rows, train_cap, keys, seed)
     train, test = stratified_split(rows, label="label", keys=keys, seed=seed)
-    # Training reads its rows many times, so they are dealt out evenly once.
-    train = settle(train.repartition(*keys), "train")
+    # Training reads its rows many times, so they are dealt out evenly once. The forest
+    # draws its samples by row order, so the order is fixed too.
+    train = settle(train.repartition(*keys).sortWithinPartitions(*keys), "train")
     classifier = train_classifier(train, trees, max_depth, seed, terms, text)
     report = classification_report(classify(classifier, test), prediction="rf")
     normal = benign(rows)

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from alertloom.functions import parsing
 
 
-def parse_alerts(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_alerts(
+    lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), formats: tuple[str, ...] = parsing.FORMATS
+) -> DataFrame:
     """The eight fields of every line that is an alert; other lines drop out.
 
-    The match is exploded, not filtered, so Catalyst cannot evaluate it a second
-    time in a pushed-down predicate.
+    ``formats`` are tried in order. The match is exploded, not filtered, so
+    Catalyst cannot evaluate it a second time in a pushed-down predicate.
     """
-    hits = lines.select(*keep, F.explode(parsing.matching_fields(F.col(line))).alias("_parts"))
+    hits = lines.select(*keep, F.explode(parsing.matching_fields(F.col(line), formats)).alias("_parts"))
     return hits.select(*keep, *parsing.named_fields(F.col("_parts")))
 
 

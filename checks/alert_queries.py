@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertloom.functions import parsing
-from alertloom.operators import alerts as A, dedup, joins, thresholds
+from alertloom.operators import alerts as A, dedup, joins, numbering, thresholds
 from alertloom.runtime import scratch_path, settle
 from alertloom.sources.alerts import read_alert_lines, read_alert_table, read_alerts_for_mining, write_alerts
 from alertloom.plans.jobs import alerts_job
@@ -54,14 +54,12 @@ def s5_mining(spark, sf):
 
 @query("P1_parse_syslog_alert", sql(f"SELECT {NOTED} FROM alerts WHERE pos % 2 = 0", "alerts"))
 def p1(spark, sf):
-    parsed = inputs.alert_lines(spark, sf).select("pos", parsing.parse_syslog_alert(F.col("value")).alias("a"))
-    return parsed.where("a IS NOT NULL").select("pos", "a.*")
+    return A.parse_alerts(inputs.alert_lines(spark, sf), keep=("pos",), formats=(parsing.SYSLOG,))
 
 
 @query("P2_parse_fast_alert", sql(f"SELECT {NOTED} FROM alerts WHERE pos % 2 = 1", "alerts"))
 def p2(spark, sf):
-    parsed = inputs.alert_lines(spark, sf).select("pos", parsing.parse_fast_alert(F.col("value")).alias("a"))
-    return parsed.where("a IS NOT NULL").select("pos", "a.*")
+    return A.parse_alerts(inputs.alert_lines(spark, sf), keep=("pos",), formats=(parsing.FAST,))
 
 
 @query("P3_parse_alerts", sql(f"SELECT {NOTED} FROM alerts", "alerts"))
@@ -105,8 +103,8 @@ def p3_typed(spark, sf):
 @query("P24_format_alert", sql("SELECT pos, value FROM lines WHERE pos % 10 <> 9 AND pos % 2 = 0", "lines"))
 def p24(spark, sf):
     """Parse the lines and write the syslog ones again."""
-    parsed = inputs.alert_lines(spark, sf).select("pos", parsing.parse_syslog_alert(F.col("value")).alias("a")).where("a IS NOT NULL")
-    fields = [F.col(f"a.{f}") for f in parsing.FIELDS]
+    parsed = A.parse_alerts(inputs.alert_lines(spark, sf), keep=("pos",), formats=(parsing.SYSLOG,))
+    fields = [F.col(f) for f in parsing.FIELDS]
     return parsed.select("pos", parsing.format_alert(fields[0], F.lit("kali"), *fields[1:]).alias("value"))
 
 
@@ -242,3 +240,9 @@ def f10(spark, sf):
 
     tagged = inputs.table(spark, sf, "events").withColumn("facility", F.concat(F.lit("local"), (F.col("event_id") % 3 + 4).cast("string")))
     return of_facility(tagged).select("event_id", "event_type")
+
+
+@query("W4_sequence_numbers", "SELECT event_id, 1000100 - 1 + row_number() OVER (ORDER BY event_id) AS sid FROM events")
+def w4(spark, sf):
+    events = inputs.table(spark, sf, "events").select("event_id")
+    return numbering.number_rows(events, ["event_id"], numbering.by_quantile(events, "event_id"), 1000100, "sid")

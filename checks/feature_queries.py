@@ -32,6 +32,14 @@ def p9(spark, sf):
     return inputs.page_messages(spark, sf).select("page_id", features.keyword_count(F.col("message")).alias("keyword_count"))
 
 
+@query("P6_find_column", "SELECT event_type AS label, count(*) AS n FROM events GROUP BY event_type")
+def p6(spark, sf):
+    """The label column is found by a name that differs in case, space and underscore."""
+    events = inputs.table(spark, sf, "events")
+    found = features.find_column(events.columns, ["class", "Event Type", "props"])
+    return events.groupBy(F.col(found).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 PORT = r"""CASE WHEN regexp_full_match(trim(port_text), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
     THEN coalesce(TRY_CAST(trunc(TRY_CAST(replace(trim(port_text), '+', '') AS DOUBLE)) AS BIGINT), 0) ELSE 0 END"""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from alertloom.functions.features import FEATURES, engineer_features
 from alertloom.models import anomaly, classifier, detector as D, vectorise
@@ -133,9 +135,15 @@ def m7(spark, sf):
     )
 
 
+@cache
+def _trained(application: str, sf: str):
+    rows = settle(labelled(SparkSession.active(), sf))
+    return train_detector(rows, ("row_id",), trees=20, max_depth=10)
+
+
 def small_detector(spark, sf):
-    """Both models on the labelled documents; few trees keep the check short, all rows are used."""
-    return train_detector(settle(labelled(spark, sf)), ("row_id",), trees=20, max_depth=10)
+    """Both models on all labelled documents, trained once per session for the queries that apply them."""
+    return _trained(spark.sparkContext.applicationId, sf)
 
 
 @query(

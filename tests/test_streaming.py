@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from alertloom.functions.parsing import FIELDS
 from alertloom.operators.alerts import parse_alerts
 from alertloom.operators.thresholds import detection_filter
@@ -60,3 +62,34 @@ def test_alert_stream_equals_batch(spark, sf, tmp_path):
     finish(jobs.run_available(jobs.stream_alerts(spark, str(tmp_path / "in"), 2), str(tmp_path / "out"), str(tmp_path / "progress")))
     rows = lambda df: sorted(map(tuple, df.select(*FIELDS).collect()))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(parse_alerts(lines))
+
+
+def test_scoring_stream_equals_batch(spark, sf, tmp_path):
+    from alertloom.models.detector import score_packets
+    from alertloom.models.training import train_detector
+    from alertloom.sources.packets import read_packets, stream_packets
+    from checks.model_queries import labelled
+
+    rows = labelled(spark, sf).withColumn("label", F.contains("message", F.lit(" the ")).cast("int"))
+    detector, _ = train_detector(rows, ("row_id",), trees=3, max_depth=3, terms=50)
+    inputs.packets(spark, sf).withColumn("src_ip", F.lit("8.8.8.8")).repartition(4).write.parquet(str(tmp_path / "in"))
+    scored = jobs.stream_score(detector, stream_packets(spark, str(tmp_path / "in"), 2))
+    finish(jobs.run_available(scored, str(tmp_path / "out"), str(tmp_path / "progress")))
+    texts = lambda df: sorted(map(str, df.collect()))
+    batch = score_packets(detector, read_packets(spark, str(tmp_path / "in")))
+    assert texts(spark.read.parquet(str(tmp_path / "out"))) == texts(batch) and batch.count() > 0
+
+
+def test_suggestions_survive_a_replay(spark, tmp_path):
+    from alertloom.sources.suggestions import write_suggestions
+
+    rules = spark.createDataFrame([("alert tcp (a; sid:1;)",), ("alert tcp (a; sid:2;)",), ("alert tcp (b;)",)], "rule string")
+    store = str(tmp_path / "store")
+    write_suggestions(rules, store)
+    write_suggestions(rules, store)
+    assert sorted(r["rule_key"] for r in spark.read.parquet(store).collect()) == ["alert tcp (a;)", "alert tcp (b;)"]
+
+
+def test_verdicts_before_anything_arrived(spark, tmp_path):
+    expected = spark.createDataFrame([(1, at(0), 5)], "sid long, since timestamp, wait_seconds int")
+    assert [r["passed"] for r in jobs.verdicts(expected, str(tmp_path / "none")).collect()] == [False]
