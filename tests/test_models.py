@@ -133,5 +133,6 @@ def test_cap(spark):
     df = spark.range(0, 500).withColumnRenamed("id", "k")
     assert sampling.cap_rows(df, 1000, ("k",)).count() == 500
     assert sampling.cap_rows(df, 123, ("k",)).count() == 123
+    assert sampling.cap_rows(df, 0, ("k",)).count() == 0
     part = sampling.sample_fraction(df, 0.2, ("k",)).count()
     assert 60 < part < 140
