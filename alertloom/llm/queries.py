@@ -36,3 +36,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     from alertloom.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf, "documents"), keep="largest")
+
+
+@query("op2_simhash_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from alertloom.llm.simhash_dedup import simhash_groups
+
+    return simhash_groups(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
