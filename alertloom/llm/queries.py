@@ -43,3 +43,24 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     from alertloom.llm.simhash_dedup import simhash_groups
 
     return simhash_groups(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+END_ID = 2
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_token_output")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from alertloom.llm.token_output import read_token_ids, write_token_ids
+    from alertloom.runtime import scratch_path
+
+    path = scratch_path(spark, "token-ids")
+    write_token_ids(table(spark, sf, "documents"), path, tokenizer_file(), END_ID)
+    return read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
