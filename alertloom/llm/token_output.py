@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,25 +25,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alertloom.llm.common import bound_batches, settled
 
 MAX_BITS = 16
+_SPACE = re.compile(r"\s")
 RUN = 128
 #: Ids after which a block ends; a longer document is a block of its own.
 BLOCK = 1 << 16
-#: Pieces of text whose ids a task remembers.
-CACHE = 400_000
+#: Words and pieces whose ids a worker remembers, some 200 bytes each.
+CACHE = 700_000
 #: Characters of a text that are cut into pieces at a time.
 PIECE = 1 << 20
 
 # Characters for which case, composition and class are the same in every library.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-į]*")
+_PLAIN_CHARS = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x130)) if c != 0xAD]
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f]*")
+
+
+def _plain_class(kind: str) -> str:
+    """The plain characters of a Unicode class, as the inside of a bracket expression."""
+    return "".join(re.escape(c) for c in _PLAIN_CHARS if unicodedata.category(c)[0] == kind)
+
+
+# Byte-level files write the printable Latin-1 characters as they are, and the other bytes from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Encoder:
-    """``tokenizers`` with a memory for pieces.
+    """``tokenizers`` with a memory for words and pieces.
 
-    A byte-level BPE file cuts a text into pieces and encodes each by itself, so each
-    distinct piece goes through the library once. A text with characters on which regular
-    expression libraries may differ, or with one of the file's special strings, and any
-    text of a file of another build, goes through the library whole.
+    A byte-level BPE file cuts a text into pieces, none of which spans white space, and
+    encodes each by itself, so each distinct piece goes through the library's model once
+    while it is remembered. A text with characters on which libraries may differ, or with one of the file's special
+    strings, and any text of a file of another build, goes through the library whole.
     """
 
     def __init__(self, source: str):
@@ -52,64 +65,82 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(source)
-        self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.size = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.width = f"<u{self.size}"
         spec = json.loads(source)
         self.special = [t["content"].lower() for t in spec.get("added_tokens") or []]
         self.cut = self._pieces_of(spec)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def _pieces_of(spec: dict):
-        import regex
-
+        """The file's own expression for pieces, over plain characters; None for files of another build."""
         steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if steps != ["NFC", "Replace", "Lowercase"] or [s.get("type") for s in pre] != ["Split", "ByteLevel"]:
             return None
         if pre[0]["behavior"] != "Removed" or not pre[0]["invert"] or pre[1]["add_prefix_space"] or pre[1]["use_regex"]:
             return None
-        return regex.compile(pre[0]["pattern"]["Regex"])
+        pattern = pre[0]["pattern"]["Regex"].replace(r"\p{L}", _plain_class("L")).replace(r"\p{N}", _plain_class("N"))
+        return None if r"\p" in pattern else re.compile(pattern)
 
-    def _ids(self, text: str) -> bytes:
+    def _bytes(self, encoding) -> bytes:
         import numpy as np
 
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+        return np.array(encoding.ids, self.width).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = self.known[piece] = self._ids(piece)
-        return found
+    def _learn(self, words: list[str]) -> None:
+        """Encode the pieces of words that have not been seen."""
+        cuts = {w: self.cut.findall(w) for w in words}
+        model, known = self.library.model, self.pieces
+        for w, found in cuts.items():
+            for piece in found:
+                if piece not in known:
+                    # The model's alphabet is the file's byte-level one: a character for each byte.
+                    spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                    known[piece] = b"".join([t.id.to_bytes(self.size, "little") for t in model.tokenize(spelled)])
+            self.words[w] = b"".join([known[p] for p in found])
 
     def encode(self, text: str) -> bytes:
-        if self.cut is None or not _PLAIN.fullmatch(text):
-            return self._ids(text)
         lower = text.lower()
-        if any(s in lower for s in self.special):
-            return self._ids(text)
+        if self.cut is None or not _PLAIN.fullmatch(text) or any(s in lower for s in self.special):
+            return self._bytes(self.library.encode(text, add_special_tokens=False))
         parts, at = [], 0
         while at < len(lower):
             end = len(lower)
-            if at + PIECE < end and (space := re.compile(r"\s").search(lower, at + PIECE)):
-                end = space.start()
-            pieces = self.cut.findall(lower, at, end)
-            known = self.known
-            try:
-                parts.append(b"".join([known[p] for p in pieces]))
-            except KeyError:
-                parts.append(b"".join([self._piece(p) for p in pieces]))
+            if at + PIECE < end:
+                space = _SPACE.search(lower, at + PIECE)
+                end = space.start() if space else end
+            words = lower[at:end].split()
+            distinct = set(words)
+            if missing := [w for w in distinct if w not in self.words]:
+                if len(self.words) + len(missing) > CACHE:
+                    self.words, self.pieces, missing = {}, {}, list(distinct)
+                self._learn(missing)
+            parts.append(b"".join([self.words[w] for w in words]))
             at = end
         return b"".join(parts)
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(source: str) -> Encoder:
+    """The encoder of this worker process, which outlives a task."""
+    key = hash(source)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(source)
+    return _ENCODERS[key]
+
+
 def _tokenise(source, end_id: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        encoder = Encoder(source.value)
+        encoder = encoder_of(source.value)
         end = np.array([end_id], encoder.width).tobytes()
         for batch in batches:
             ids = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
