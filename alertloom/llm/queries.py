@@ -64,3 +64,14 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     write_token_ids(table(spark, sf, "documents"), path, tokenizer_file(), END_ID)
     return read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from alertloom.llm.quality import fit_quality, held_out, score_quality
+
+    docs = table(spark, sf, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -49,6 +49,20 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+class _Memory(dict):
+    """Ids by text; what is missing is made, and a full memory starts anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 class Encoder:
     """``tokenizers`` with a memory for words and pieces.
 
@@ -70,8 +84,8 @@ class Encoder:
         spec = json.loads(source)
         self.special = [t["content"].lower() for t in spec.get("added_tokens") or []]
         self.cut = self._pieces_of(spec)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        pieces = _Memory(self._piece)
+        self.words = _Memory(lambda word: b"".join([pieces[p] for p in self.cut.findall(word)]))
 
     @staticmethod
     def _pieces_of(spec: dict):
@@ -85,23 +99,16 @@ class Encoder:
         pattern = pre[0]["pattern"]["Regex"].replace(r"\p{L}", _plain_class("L")).replace(r"\p{N}", _plain_class("N"))
         return None if r"\p" in pattern else re.compile(pattern)
 
+    def _piece(self, piece: str) -> bytes:
+        # The model's alphabet is the file's byte-level one: a character for each byte.
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return b"".join([t.id.to_bytes(self.size, "little") for t in self.library.model.tokenize(spelled)])
+
     def _bytes(self, encoding) -> bytes:
         import numpy as np
 
         return np.array(encoding.ids, self.width).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode the pieces of words that have not been seen."""
-        cuts = {w: self.cut.findall(w) for w in words}
-        model, known = self.library.model, self.pieces
-        for w, found in cuts.items():
-            for piece in found:
-                if piece not in known:
-                    # The model's alphabet is the file's byte-level one: a character for each byte.
-                    spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
-                    known[piece] = b"".join([t.id.to_bytes(self.size, "little") for t in model.tokenize(spelled)])
-            self.words[w] = b"".join([known[p] for p in found])
-
     def encode(self, text: str) -> bytes:
         lower = text.lower()
         if self.cut is None or not _PLAIN.fullmatch(text) or any(s in lower for s in self.special):
@@ -113,12 +120,8 @@ class Encoder:
                 space = _SPACE.search(lower, at + PIECE)
                 end = space.start() if space else end
             words = lower[at:end].split()
-            distinct = set(words)
-            if missing := [w for w in distinct if w not in self.words]:
-                if len(self.words) + len(missing) > CACHE:
-                    self.words, self.pieces, missing = {}, {}, list(distinct)
-                self._learn(missing)
-            parts.append(b"".join([self.words[w] for w in words]))
+            known = self.words
+            parts.append(b"".join([known[w] for w in words]))
             at = end
         return b"".join(parts)
 
