@@ -113,3 +113,41 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "chats")
     format_chats(turns).write.parquet(path)
     return chat_digests(read_chats(spark.read.parquet(path)))
+
+
+def _license_sql() -> str:
+    import math
+
+    from alertloom.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES, template_words
+
+    word = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
+    places = " UNION ALL ".join(
+        f"SELECT row, i, '{label}' AS label FROM w, unnest(range(len(words) - {phrase.count(' ')})) AS u(i) WHERE "
+        + " AND ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
+        for phrase, label in PHRASES.items()
+    )
+    sets = ", ".join(
+        f"('{label}', {template_words(text)!r}, {max(1, math.ceil(CONTAINMENT * len(template_words(text)) - 1e-9))})" for label, text in TEMPLATES
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+    w AS (SELECT row, regexp_extract_all(x, '{word}') AS words FROM d),
+    p AS ({places}),
+    base AS (SELECT row, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY row),
+    b AS (SELECT row, list_distinct(regexp_extract_all(block, '{word}')) AS words FROM d, unnest(regexp_split_to_array(x, '[.!?]+[\\x09-\\x0D\\x20]+|[\\n\\r]+')) AS u(block)),
+    t(label, tokens, need) AS (VALUES {sets}),
+    m AS (SELECT row, label, len(list_intersect(words, tokens)) AS shared, len(tokens) AS size FROM b, t WHERE len(words) >= need AND len(list_intersect(words, tokens)) >= need),
+    more AS (SELECT row, list(DISTINCT label) AS labels, max(shared / size) AS contained FROM m GROUP BY row)
+    SELECT doc_id, len(words) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word,
+        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+        CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(contained, 0) END::DOUBLE AS score
+    FROM d JOIN w USING (row) LEFT JOIN base USING (row) LEFT JOIN more USING (row)
+    """
+
+
+@query("op9_license_scan", _license_sql())
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from alertloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf, "documents"))
