@@ -151,3 +151,25 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from alertloom.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf, "documents"))
+
+
+_SHINGLE_SQL = """
+    SELECT DISTINCT id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i + 1 : i + 5], ' ') END AS s
+    FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM %s), unnest(range(greatest(len(words) - 4, 1))) AS u(i)
+    WHERE len(words) > 0
+"""
+
+
+@query(
+    "op7_decontaminate",
+    f"""
+    WITH d AS ({_SHINGLE_SQL % "(SELECT doc_id AS id, text FROM documents)"}), b AS ({_SHINGLE_SQL % "(SELECT item_id AS id, text FROM benchmark)"}),
+    n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+    SELECT d.id AS doc_id, b.id AS item_id, any_value(n)::INTEGER AS n_shingles, count(*)::INTEGER AS shared, count(*) / any_value(n) AS containment
+    FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
+    """,
+)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from alertloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("row")
