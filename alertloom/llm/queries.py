@@ -173,3 +173,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     from alertloom.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("row")
+
+
+@query("op10_repeats")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from alertloom.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
