@@ -184,3 +184,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from alertloom.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
