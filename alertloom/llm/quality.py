@@ -43,7 +43,7 @@ class _Buckets(dict):
 _BUCKETS = _Buckets()
 
 
-def _terms(text: str) -> Iterator[tuple]:
+def word_terms(text: str) -> Iterator[tuple]:
     """(word buckets, shape buckets) of a text, a bounded piece at a time."""
     import numpy as np
 
@@ -79,7 +79,7 @@ def _contexts(batches):
     index_w, index_s = _index_vectors(WORD_BUCKETS, 1), _index_vectors(SHAPE_BUCKETS, 2)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for w, s in _terms(text or ""):
+            for w, s in word_terms(text or ""):
                 own = index_w[w] + index_s[s]
                 around = np.zeros_like(own)
                 for k in range(1, WINDOW + 1):
@@ -107,7 +107,7 @@ class QualityModel:
         import numpy as np
 
         sums, squares, shapes, like, n, steps, before = np.zeros(DIM), 0.0, np.zeros(SHAPE_BUCKETS), 0.0, 0, 0, None
-        for w, s in _terms(text):
+        for w, s in word_terms(text):
             rows = self.words[w]
             sums += rows.sum(axis=0)
             shapes += np.bincount(s, minlength=SHAPE_BUCKETS)

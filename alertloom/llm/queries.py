@@ -193,3 +193,19 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     from alertloom.llm.line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents' language as their domain."""
+    return docs.select("doc_id", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from alertloom.llm.common import settled
+    from alertloom.llm.mixing import document_rates, domain_posteriors, fit_domains, fit_rates
+
+    docs = table(spark, sf, "documents")
+    model = fit_domains(docs, domain_labels(docs, table(spark, sf, "labels")), "lang")
+    posteriors = settled(domain_posteriors(docs, model), "posteriors")
+    return document_rates(posteriors, fit_rates(posteriors, model))
