@@ -10,8 +10,8 @@ from alertloom.llm.common import bound_batches, settled
 from alertloom.llm.quality import word_terms
 
 #: Labelled rows that the classifier is fitted on at most; the least hashes of the identifiers are taken.
-TRAIN_ROWS = 6000
-BUCKETS = 1 << 12
+TRAIN_ROWS = 4000
+BUCKETS = 1 << 11
 #: Posteriors are whole numbers of this part of one.
 PARTS = 256
 #: Domains at most: their matrix of moments is held by the driver.
@@ -65,19 +65,19 @@ class MixModel:
         return rate
 
 
-def _fit_softmax(x, y, k: int, rounds: int = 300, decay: float = 1e-4):
+def _fit_softmax(x, y, k: int, rounds: int = 150, decay: float = 1e-4):
     """Multinomial logistic regression by accelerated gradient steps."""
     import numpy as np
 
-    weights, bias, target = np.zeros((x.shape[1], k)), np.zeros(k), np.eye(k)[y]
-    step, ahead, old = 4.0, 0.0, weights
+    weights, bias, target = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32), np.eye(k, dtype=np.float32)[y]
+    step, ahead, old = np.float32(4), 0.0, weights
     for _ in range(rounds):
         ahead_next = (1 + np.sqrt(1 + 4 * ahead * ahead)) / 2
-        look = weights + (ahead - 1) / ahead_next * (weights - old) if ahead else weights
+        look = weights + np.float32((ahead - 1) / ahead_next) * (weights - old) if ahead else weights
         z = x @ look + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (p / p.sum(axis=1, keepdims=True) - target) / len(x)
-        old, weights, bias, ahead = weights, look - step * (x.T @ error + decay * look), bias - step * error.sum(axis=0), ahead_next
+        error = (p / p.sum(axis=1, keepdims=True) - target) / np.float32(len(x))
+        old, weights, bias, ahead = weights, look - step * (x.T @ error + np.float32(decay) * look), bias - step * error.sum(axis=0), ahead_next
     return weights, bias
 
 
