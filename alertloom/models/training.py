@@ -13,18 +13,16 @@ from alertloom.operators.reports import classification_report
 from alertloom.operators.sampling import cap_rows, stratified_split
 from alertloom.runtime import settle
 
-BENIGN_CAP = 500_000
-
 
 def train_detector(
     rows: DataFrame, keys: tuple[str, ...], seed: int = 42, trees: int = TREES, max_depth: int = MAX_DEPTH,
-    terms: int = MAX_TERMS, text: bool = True, train_cap: int | None = None,
+    terms: int = MAX_TERMS, text: bool = True, train_cap: int | None = None, benign_cap: int | None = None,
 ) -> tuple[Detector, DataFrame]:
     """(detector, classification report) of feature rows with ``label``; ``keys`` identify a row.
 
     The anomaly detector has its own vectoriser, fitted on benign rows only. It is
-    left out when there are none. ``train_cap`` limits the rows of both models
-    (the reference offers 5,000,000); Spark needs no limit.
+    left out when there are none. ``train_cap`` limits the rows of both models and
+    ``benign_cap`` those of the anomaly detector; by default there is no limit.
     """
     if train_cap is not None:
         rows = cap_rows(rows, train_cap, keys, seed)
@@ -37,7 +35,8 @@ def train_detector(
     normal = benign(rows)
     if normal.isEmpty():
         return Detector(classifier), report
-    normal = settle(cap_rows(normal, BENIGN_CAP, keys, seed).repartition(*keys), "benign")
+    normal = normal if benign_cap is None else cap_rows(normal, benign_cap, keys, seed)
+    normal = settle(normal.repartition(*keys), "benign")
     vectoriser = fit_vectoriser(normal, terms, text)
     nodes = settle(train_anomaly(vectorised(vectoriser, normal), keys, seed=seed), "forest")
     return Detector(classifier, vectoriser, nodes), report

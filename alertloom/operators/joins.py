@@ -80,19 +80,33 @@ def match_rules(packets: DataFrame, rules: DataFrame, variables: dict[str, str]
     )
 
 
+def _side(track: str):
+    """by_src or by_dst, however it is spaced or cased; null for anything else."""
+    name = F.lower(F.trim(F.col(track)))
+    return F.when(name.isin("by_src", "by_dst"), name)
+
+
+def bad_suppressions(suppressions: DataFrame) -> DataFrame:
+    """Entries that name an address without a side, with the reason."""
+    reason = F.when(F.col("track").isNull(), "address without track").otherwise("unknown track")
+    return suppressions.where(F.col("ip").isNotNull() & _side("track").isNull()).withColumn("reject_reason", reason)
+
+
 def suppress(alerts: DataFrame, suppressions: DataFrame, source: str = "source_ip", dest: str = "dest_ip") -> DataFrame:
     """Drop alerts named by (gid, sid), by (gid, sid, tracked address) or by tracked address.
 
     A null in the list means any. Each form that the list holds is one anti-join
-    on plain keys; no form needs a nested loop.
+    on plain keys; no form needs a nested loop. Entries that name an address without
+    saying which side it stands on do nothing; :func:`bad_suppressions` lists them.
     """
     has = lambda c: F.col(c).isNotNull()
+    suppressions = suppressions.withColumn("track", _side("track")).where(~has("ip") | has("track"))
     tracked = F.when(has("ip"), F.col("track"))
     form_of = [has("gid").alias("gid"), has("sid").alias("sid"), tracked.alias("ip")]
     forms = suppressions.groupBy(*form_of).agg(F.count(F.lit(1)).alias("n"))
     out = alerts
-    # Twelve forms can exist: with or without gid and sid, times no address, by_src, by_dst.
-    for form in sorted(forms.limit(12).collect(), key=str):
+    # No more than twelve can exist: with or without gid and sid, times no address, by_src, by_dst.
+    for form in sorted(forms.collect(), key=str):
         keys = {k: F.col(k) for k in ("gid", "sid") if form[k]}
         if form["ip"]:
             keys[dest if form["ip"] == "by_dst" else source] = F.col("ip")
@@ -138,14 +152,14 @@ def alerts_in_wait(expected: DataFrame, alerts: DataFrame, mode: str = "parsed")
 
 
 def verify_rules(expected: DataFrame, alerts: DataFrame, mode: str = "parsed") -> DataFrame:
-    """Per expected rule: did it fire in its window, and with which line first.
+    """Per expected rule: did it fire in its window, and with which line first, by time and then by text.
 
-    ``expected`` has (sid, since, wait_seconds), ``alerts`` (sid, event_ts, line, pos).
+    ``expected`` has (sid, since, wait_seconds), ``alerts`` (sid, event_ts, line).
     """
     first = (
         alerts_in_wait(expected, alerts, mode)
         .groupBy("expected_sid", "since", "wait_seconds")
-        .agg(F.min_by("line", "pos").alias("first_line"))
+        .agg(F.min_by("line", F.struct("event_ts", "line")).alias("first_line"))
         .withColumnRenamed("expected_sid", "sid")
     )
     keys = ["sid", "since", "wait_seconds"]

@@ -70,14 +70,14 @@ def classification_report(
 
 
 def rule_inventory(rules: DataFrame) -> DataFrame:
-    """Rules, duplicates and option chains, then the rules by protocol and port side."""
+    """Rules and duplicates, then the rules by protocol and port side."""
     per_text = rules.groupBy("rule_text").agg(F.count(F.lit(1)).alias("copies"))
     totals = per_text.agg(
-        F.sum("copies").alias("total"), F.sum(F.col("copies") - 1).alias("duplicates"), F.count(F.lit(1)).alias("option_chains")
+        F.sum("copies").alias("total"), F.sum(F.col("copies") - 1).alias("duplicates")
     ).select(
         F.explode(F.map_from_arrays(
-            F.array(F.lit("total rules"), F.lit("duplicate rules"), F.lit("option chains")),
-            F.array("total", "duplicates", "option_chains"),
+            F.array(F.lit("total rules"), F.lit("duplicate rules")),
+            F.array("total", "duplicates"),
         )).alias("item", "rule_count")
     )
     src, dst = F.col("src_port") != "any", F.col("dst_port_text") != "any"

@@ -10,6 +10,7 @@ from alertloom.models.training import train_detector
 from alertloom.operators import alerts as A, dedup, filters, joins, numbering, reports, sampling, thresholds
 from alertloom.operators.union import union_datasets
 from alertloom.runtime import require_rows, settle
+from alertloom.sources.rules import append_rules
 
 
 def alerts_job(lines: DataFrame, suppressions: DataFrame, year: int, zone: str = "+00:00") -> DataFrame:
@@ -66,12 +67,19 @@ def packet_suggestions(responses: DataFrame, first_sid: int, known: DataFrame |
     return numbered.withColumn("rule", rule_text.with_sid(F.col("rule"), F.col("sid")))
 
 
-def approval_job(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Stored suggestions, cleaned, that a person approved: (suggestion_id, rule, sid)."""
+def approval_job(suggestions: DataFrame, decisions: DataFrame, store: str | None = None) -> DataFrame:
+    """Stored suggestions, cleaned, that a person approved: (suggestion_id, rule, sid).
+
+    With ``store`` the approved rules are appended to that rule store.
+    """
     cleaned = suggestions.select("suggestion_id", rule_text.sanitise_suggestion(F.col("body")).alias("rule"))
     approved = joins.apply_decisions(cleaned.where("rule IS NOT NULL"), decisions)
     sid = F.regexp_extract("rule", r"sid:\s*(\d+);", 1).try_cast("long")
-    return approved.withColumn("sid", sid)
+    approved = approved.withColumn("sid", sid)
+    if store is not None:
+        approved = settle(approved, "approved")
+        append_rules(approved, store)
+    return approved
 
 
 def labelled_features(flows: DataFrame, label_mode: str = "reference") -> DataFrame:
@@ -84,21 +92,35 @@ def labelled_features(flows: DataFrame, label_mode: str = "reference") -> DataFr
     return features.engineer_features(named, keep=("file", "block", "seq", "label"))
 
 
+def alert_features(alerts: DataFrame) -> DataFrame:
+    """Alert rows as feature rows with label 1; their content is the row key."""
+    named = alerts.select(
+        F.lit("alerts").alias("file"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in alerts.columns]).alias("block"),
+        F.monotonically_increasing_id().alias("seq"), "message", "dest_port", F.lit(1).alias("label"),
+    )
+    return features.engineer_features(settle(named, "alerts"), keep=("file", "block", "seq", "label"))
+
+
 def training_job(
-    datasets: dict[str, DataFrame | None], rate: float = 0.05, threshold: int = 50_000, label_mode: str = "reference",
+    datasets: dict[str, DataFrame | None], rate: float = 1.0, threshold: int = 50_000, label_mode: str = "reference",
     seed: int = 42, **options,
 ) -> tuple[Detector, DataFrame, DataFrame]:
     """(detector, report, class distribution) from flow data sets and, under ``alerts``, an alert table.
 
     Each flow data set is read from its files once and written as a table of its few
-    columns, so that row positions stay what they were for the sampling passes. It is
-    sampled per large file, turned into feature rows and joined to one table, which is
-    written because training reads it several times.
+    columns, so that row positions stay what they were for the sampling passes. With a
+    ``rate`` below one, files of over ``threshold`` rows are sampled; by default every row
+    is used. The rows become feature rows in one table, which is written because training
+    reads it several times. The alert table (see ``read_alert_table``) joins as attacks.
     """
     parts: dict[str, DataFrame | None] = {}
     for name, df in datasets.items():
         if df is not None and name != "alerts":
-            df = labelled_features(sampling.sample_large_files(settle(df, name), rate, threshold, seed), label_mode)
+            df = settle(df, name)
+            df = df if rate >= 1 else sampling.sample_large_files(df, rate, threshold, seed)
+            df = labelled_features(df, label_mode)
+        elif df is not None:
+            df = alert_features(df)
         parts[name] = df
     rows = require_rows(settle(union_datasets(parts), "training"), "training data")
     distribution = reports.class_distribution(rows)

@@ -62,7 +62,14 @@ class ThresholdStream:
         finally:
             kept.unpersist()
 
-    def _judge(self, batch: DataFrame, version: int) -> None:
+    def flush(self, spark: SparkSession) -> None:
+        """Judge the rows that still wait, when no more will come."""
+        newest = spark.read.parquet(f"{self.store}/marks").orderBy(F.desc("version")).first()
+        if newest is not None:
+            context = spark.read.parquet(self._path("context", newest["version"]))
+            self._judge(context.drop("_t", "_waiting").limit(0), newest["version"] + 1, flush=True)
+
+    def _judge(self, batch: DataFrame, version: int, flush: bool = False) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("_t", F.unix_micros(F.col(self.ts).cast("timestamp")))
         known = existing_paths(spark, [self._path("marks", version - 1)])[0]
@@ -78,7 +85,8 @@ class ThresholdStream:
         table = rows.where(~late).withColumn("_waiting", F.lit(True))
         if mark:
             table = table.unionByName(spark.read.schema(table.schema).parquet(self._path("context", version - 1)))
-        reached = F.col("_t") <= F.lit(now)
+        # More rows of the watermark's own instant may still come, so that instant waits too.
+        reached = F.col("_t") < F.lit(now) if not flush else F.lit(True)
         # Rows beyond the watermark cannot count for rows up to it.
         judged = detection_filter(table.where(reached), self.track, self.count, self.seconds, self.rule, self.ts)
         judged.where("_waiting").select(*batch.columns).write.mode("overwrite").parquet(self._path("passed", version))
@@ -90,9 +98,9 @@ class ThresholdStream:
         marks = spark.createDataFrame([(now, lost)], "watermark long, late long")
         marks.coalesce(1).write.mode("overwrite").parquet(self._path("marks", version))
 
-    def start(self, matches: DataFrame, checkpoint: str) -> StreamingQuery:
+    def start(self, matches: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         writer = matches.writeStream.foreachBatch(self.judge).option("checkpointLocation", checkpoint)
-        return writer.trigger(availableNow=True).start()
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def passed(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.store}/passed").drop("version")
@@ -102,32 +110,31 @@ class ThresholdStream:
         return newest["late"]
 
 
-def stream_suggest(rules: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def stream_suggest(rules: DataFrame, store: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append each new rule once; rules of earlier batches are known from the store.
 
     A replayed batch finds its own rules in the store, so a restart adds nothing twice.
     """
     writer = rules.writeStream.foreachBatch(lambda batch, _: write_suggestions(batch, store))
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_verify(expected: DataFrame, lines: DataFrame, year: int, table: str, checkpoint: str, pos: str = "value") -> StreamingQuery:
+def stream_verify(expected: DataFrame, lines: DataFrame, year: int, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keep the first line of each expected rule that fires in its window.
 
     The state is one row per expected rule. The table is rewritten under a new
     version with each batch that brings a hit; :func:`verdicts` reads the newest.
     """
-    parsed = parse_alerts(lines.withColumn("line", F.col("value")), keep=("line",) if pos == "value" else ("line", pos))
-    alerts = typed_alerts(parsed, year, keep=("line",) if pos == "value" else ("line", pos))
-    order = F.col("line") if pos == "value" else F.col(pos)
-    hits = alerts_in_wait(expected, alerts.withColumn("pos", order))
+    parsed = parse_alerts(lines.withColumn("line", F.col("value")), keep=("line",))
+    alerts = typed_alerts(parsed, year, keep=("line",)).withColumn("pos", F.struct("event_ts", "line"))
+    hits = alerts_in_wait(expected, alerts)
     first = hits.groupBy("expected_sid", "since", "wait_seconds").agg(F.min_by("line", "pos").alias("first_line"))
 
     def save(batch: DataFrame, version: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/version={version:09d}")
 
     writer = first.writeStream.outputMode("complete").foreachBatch(save)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 FIRST = "expected_sid long, since timestamp, wait_seconds int, first_line string, version long"

@@ -153,7 +153,7 @@ ARRIVED = """arrived AS (SELECT l.pos, l.value AS line, split_part(signature_id,
     make_timestamp(epoch_us(ts) + CASE WHEN l.pos % 2 = 0 THEN 21600000000 ELSE 0 END) AS event_ts
     FROM lines l JOIN alerts a USING (pos) JOIN events e ON e.event_id = l.pos)"""
 VERDICTS = """SELECT sid::BIGINT AS sid, epoch(since)::BIGINT AS since_s, wait_seconds::BIGINT AS wait_seconds, count(line) > 0 AS passed,
-    arg_min(line, pos) AS first_line FROM expected LEFT JOIN (SELECT sid AS asid, event_ts, line, pos FROM arrived) ON asid = sid
+    arg_min(line, (event_ts, line)) AS first_line FROM expected LEFT JOIN (SELECT sid AS asid, event_ts, line, pos FROM arrived) ON asid = sid
     AND event_ts > since AND event_ts <= since + to_seconds(wait_seconds) GROUP BY 1, 2, 3"""
 
 

@@ -138,7 +138,7 @@ def m7(spark, sf):
 @cache
 def _trained(application: str, sf: str):
     rows = settle(labelled(SparkSession.active(), sf))
-    return train_detector(rows, ("row_id",), trees=20, max_depth=10)
+    return train_detector(rows, ("row_id",))
 
 
 def small_detector(spark, sf):
@@ -200,7 +200,7 @@ def c2_features(spark, sf):
 @query("C2_training_job")
 def c2(spark, sf):
     """Report of a classifier trained on all flow rows; the label text leaks into the message, as in the reference."""
-    _, report, _ = jobs.training_job(flow_sets(spark, sf), trees=20, max_depth=10)
+    _, report, _ = jobs.training_job(flow_sets(spark, sf))
     return report.select("name", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 

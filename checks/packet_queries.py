@@ -173,7 +173,6 @@ def s6(spark, sf):
 INVENTORY = f"""WITH r AS (SELECT *, md5(concat_ws('|', sid, rev, proto, dst_port, msg, contents, df_count)) AS rule_text FROM ({PARSED})),
     t AS (SELECT count(*) AS total, count(DISTINCT rule_text) AS chains FROM r)
     SELECT 'total rules' AS item, total AS rule_count FROM t UNION ALL SELECT 'duplicate rules', total - chains FROM t
-    UNION ALL SELECT 'option chains', chains FROM t
     UNION ALL SELECT proto || CASE WHEN msg LIKE 'FIN%' THEN ' src' WHEN dst_port IS NULL THEN ' any' ELSE ' dst' END, count(*) FROM r GROUP BY 1"""
 
 

@@ -232,13 +232,26 @@ def s9(spark, sf):
     return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S12_append_rules", "SELECT DISTINCT event_id % 100 AS sid FROM events")
+APPENDED = """WITH r AS (SELECT DISTINCT event_id % 100 AS k FROM events),
+    t AS (SELECT k, format('alert tcp any any -> any 80 (msg:"m{}";', k) AS head, CASE WHEN k % 7 = 0 THEN NULL ELSE k % 10 END AS sid FROM r),
+    a AS (SELECT *, md5(head || ' rev:1;)') AS digest, sid IS NOT NULL AND head = min(head) OVER (PARTITION BY sid) AS own FROM t WHERE k < 60),
+    first AS (SELECT head, CASE WHEN own THEN sid ELSE 9 + row_number() OVER (PARTITION BY own ORDER BY md5(head || ')')) END AS sid FROM a),
+    more AS (SELECT head, (SELECT max(sid) FROM first) + row_number() OVER (ORDER BY md5(head || ')')) AS sid FROM t WHERE k >= 60)
+    SELECT sid, format('{} sid:{}; rev:1;)', head, sid) AS rule FROM (FROM first UNION ALL FROM more)"""
+
+
+@query("S12_append_rules", APPENDED)
 def s12(spark, sf):
+    """Rules share numbers or lack one, and come twice."""
     store = scratch_path(spark, "rules")
-    approved = events(spark, sf).select((F.col("event_id") % 100).alias("sid"), F.concat(F.lit("alert "), (F.col("event_id") % 100).cast("string")).alias("rule"))
-    rules.append_rules(approved.where("sid < 60"), store)
+    k = F.col("event_id") % 100
+    head = F.concat(F.lit('alert tcp any any -> any 80 (msg:"m'), k.cast("string"), F.lit('";'))
+    sid = F.when(k % 7 != 0, k % 10)
+    rule = F.concat(head, F.coalesce(F.concat(F.lit(" sid:"), sid.cast("string"), F.lit("; rev:1;)")), F.lit(")")))
+    approved = events(spark, sf).select(k.alias("k"), sid.alias("sid"), rule.alias("rule"))
+    rules.append_rules(approved.where("k < 60"), store)
     rules.append_rules(approved, store)
-    return spark.read.parquet(store).select("sid")
+    return spark.read.parquet(store)
 
 
 def mining_alerts(spark, sf):
