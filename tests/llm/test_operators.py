@@ -242,9 +242,9 @@ def test_lines_odd(spark, odd_docs, stored):
 def test_line_widths(spark):
     import xxhash
 
-    lines = [" ".join(f"w{k * k % (n + 3)}" for k in range(n)) for n in (1, 5, 127, 128, 400, 33_000)]
+    lines = [" ".join(f"w{k * k % (n + 3)}" for k in range(n)) for n in (1, 5, 128, 400, 33_000)]
     df = spark.createDataFrame([(x, len(x.split())) for x in lines], "x string, n int")
-    for r in line_dedup.with_simhash(df, "x", "n").collect():
+    for r in line_dedup.with_simhash(df, ["x"], "x", "n").collect():
         hashes = [xxhash.xxh64_intdigest(w, 42) for w in r.x.split()]
         assert r.fp & 2**64 - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
