@@ -9,19 +9,48 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom.functions.network import cidr_bounds, ip_number
 from alertloom.runtime import BROADCAST_ROWS, broadcast_if_small, is_small
 
-HOME_NET = {"HOME_NET": "192.168.1.0/24"}
+HOME_NET = {"HOME_NET": "192.168.1.0/24", "EXTERNAL_NET": "any"}
+#: The protocols that a rule for ``ip`` covers.
+IP_PROTOCOLS = ("tcp", "udp", "icmp")
 ANY_PORT = -1
 SALTS = 64
 
 
-def _resolved(rules: DataFrame, variables: dict[str, str]) -> DataFrame:
-    """Networks as number bounds (null = any) and the port as a join key."""
-    net = F.col("dst_net")
+def _network(side: str, variables: dict[str, str]) -> Column:
+    """The rule's network with variables replaced."""
+    net = F.col(side)
     for name, value in variables.items():
-        net = F.when(F.col("dst_net") == f"${name}", F.lit(value)).otherwise(net)
-    known = net.rlike(r"\A\d+\.\d+\.\d+\.\d+(/\d+)?\z")
-    low, high = cidr_bounds(F.when(known, net))
-    return rules.where(known | (net == "any")).select(
+        net = F.when(F.col(side) == f"${name}", F.lit(value)).otherwise(net)
+    return net
+
+
+def _is_address(net: Column) -> Column:
+    return net.rlike(r"\A\d+\.\d+\.\d+\.\d+(/\d+)?\z")
+
+
+def _with_reason(rules: DataFrame, variables: dict[str, str]) -> DataFrame:
+    """Rules with both sides and ``_reason``, why a rule cannot be matched; a table without source columns means any."""
+    missing = {c: F.lit("any") for c in ("src_net", "src_port") if c not in rules.columns}
+    rules = rules.withColumns(missing) if missing else rules
+    known = lambda side: _is_address(_network(side, variables)) | (_network(side, variables) == "any")
+    given = F.col("reject_reason") if "reject_reason" in rules.columns else F.lit(None).cast("string")
+    strange = F.when(~F.coalesce(known("src_net") & known("dst_net"), F.lit(False)), "unknown network")
+    return rules.withColumn("_reason", F.coalesce(given, strange))
+
+
+def unusable_rules(rules: DataFrame, variables: dict[str, str] | None = None) -> DataFrame:
+    """Rules that :func:`match_rules` leaves out: (sid, rule_text, reason)."""
+    return _with_reason(rules, variables or HOME_NET).where("_reason IS NOT NULL").select("sid", "rule_text", F.col("_reason").alias("reason"))
+
+
+def _resolved(rules: DataFrame, variables: dict[str, str]) -> DataFrame:
+    """Networks as number bounds (null = any), the port as a join key and one row per protocol; usable rules only."""
+    usable = _with_reason(rules, variables).where("_reason IS NULL")
+    bounds = lambda side: cidr_bounds(F.when(_is_address(_network(side, variables)), _network(side, variables)))
+    (low, high), (src_low, src_high) = bounds("dst_net"), bounds("src_net")
+    protocols = F.when(F.col("proto") == "ip", F.array(*map(F.lit, IP_PROTOCOLS))).otherwise(F.array("proto"))
+    return usable.withColumn("proto", F.explode(protocols)).select(
+        src_low.alias("r_src_low"), src_high.alias("r_src_high"), F.col("src_port").try_cast("int").alias("r_src_port"),
         F.col("sid").alias("r_sid"), F.col("rev").alias("r_rev"), F.col("msg").alias("r_msg"),
         F.col("proto").alias("r_proto"), F.coalesce(F.col("dst_port"), F.lit(ANY_PORT)).alias("r_port"),
         low.alias("r_low"), high.alias("r_high"),
@@ -38,6 +67,7 @@ def _rule_holds() -> Column:
     no = lambda c: F.coalesce(c, F.lit(False))
     wanted = lambda rule, packet: F.col(rule).isNull() | no(F.col(rule) == F.col(packet))
     in_net = F.col("r_low").isNull() | no(F.col("_dst").between(F.col("r_low"), F.col("r_high")))
+    in_net &= F.col("r_src_low").isNull() | no(F.col("_src").between(F.col("r_src_low"), F.col("r_src_high")))
     contents = F.forall(
         "r_contents",
         lambda c: no(
@@ -48,7 +78,7 @@ def _rule_holds() -> Column:
         ),
     )
     flow = (~F.col("r_to_server") | no(F.col("to_server"))) & (~F.col("r_established") | no(F.col("established")))
-    header = in_net & wanted("r_flags", "tcp_flags") & wanted("r_itype", "itype") & wanted("r_icode", "icode") & flow
+    header = in_net & wanted("r_src_port", "src_port") & wanted("r_flags", "tcp_flags") & wanted("r_itype", "itype") & wanted("r_icode", "icode") & flow
     return header & contents
 
 
@@ -63,7 +93,7 @@ def match_rules(packets: DataFrame, rules: DataFrame, variables: dict[str, str]
     """
     table = _resolved(rules, variables or HOME_NET)
     text = F.col("payload").cast("string")
-    probes = packets.withColumns({"_text": F.coalesce(text, F.lit("")), "_dst": ip_number(F.col("dst_ip"))}).withColumn("_port", F.explode(F.array(F.coalesce(F.col("dst_port"), F.lit(ANY_PORT - 1)), F.lit(ANY_PORT))))
+    probes = packets.withColumns({"_text": F.coalesce(text, F.lit("")), "_dst": ip_number(F.col("dst_ip")), "_src": ip_number(F.col("src_ip"))}).withColumn("_port", F.explode(F.array(F.coalesce(F.col("dst_port"), F.lit(ANY_PORT - 1)), F.lit(ANY_PORT))))
     on = (F.col("protocol") == F.col("r_proto")) & (F.col("_port") == F.col("r_port"))
     if is_small(table):
         table = F.broadcast(table)

@@ -96,7 +96,8 @@ def alert_features(alerts: DataFrame) -> DataFrame:
     """Alert rows as feature rows with label 1; their content is the row key."""
     named = alerts.select(
         F.lit("alerts").alias("file"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in alerts.columns]).alias("block"),
-        F.monotonically_increasing_id().alias("seq"), "message", "dest_port", F.lit(1).alias("label"),
+        F.monotonically_increasing_id().alias("seq"), "message", "dest_port",
+        (F.col("label") if "label" in alerts.columns else F.lit(1)).alias("label"),
     )
     return features.engineer_features(settle(named, "alerts"), keep=("file", "block", "seq", "label"))
 

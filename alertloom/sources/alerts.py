@@ -83,16 +83,16 @@ def _plain(path: str) -> str:
 CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_alerts(df: DataFrame, path: str, fmt: str = "csv") -> bool:
-    """Write the eight fields; an empty table writes nothing. Says whether it wrote."""
+def write_alerts(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> bool:
+    """Write the eight fields, in place of what the path holds; an empty table writes nothing. Says whether it wrote."""
     table = df.select(*parsing.FIELDS)
     if table.isEmpty():
         log.warning("no alerts to save")
         return False
     if fmt == "csv":
-        table.write.options(**CSV_OPTIONS).csv(path)
+        table.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     else:
-        table.write.format(fmt).save(path)
+        table.write.mode(mode).format(fmt).save(path)
     return True
 
 

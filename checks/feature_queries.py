@@ -36,7 +36,8 @@ def p9(spark, sf):
 def p6(spark, sf):
     """The label column is found by a name that differs in case, space and underscore."""
     events = inputs.table(spark, sf, "events")
-    found = features.find_column(events.columns, ["class", "Event Type", "props"])
+    at, _ = features.header_roles(events.columns, {"label": ["class", "Event Type", "props"]})
+    found = events.columns[at["label"]]
     return events.groupBy(F.col(found).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 

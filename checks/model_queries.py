@@ -13,7 +13,7 @@ from alertloom.models.training import train_detector
 from alertloom.plans import jobs
 from alertloom.runtime import scratch_path, settle
 from alertloom.sources import flows
-from alertloom.sources.alerts import CSV_OPTIONS
+from alertloom.sources.alerts import CSV_OPTIONS, read_alert_table, write_alerts
 from checks import inputs
 from checks.registry import query
 from checks.tables import sql
@@ -167,6 +167,15 @@ def m8(spark, sf):
     return D.score_packets(model, inputs.packets(spark, sf))
 
 
+def written_alerts(spark, sf):
+    """An alert table of the events' lines."""
+    from alertloom.operators.alerts import parse_alerts
+
+    path = scratch_path(spark, "alerts")
+    write_alerts(parse_alerts(inputs.alert_lines(spark, sf)), path)
+    return path
+
+
 def flow_sets(spark, sf):
     """Two headed files and the headerless set from the events, and the alerts."""
     from checks.feature_queries import write_flows
@@ -176,6 +185,7 @@ def flow_sets(spark, sf):
         "headed": flows.read_flow_csv(spark, f"{path}/headed", "headed"),
         "headerless": flows.read_headerless_flows(spark, f"{path}/headerless", "headerless"),
         "absent": None,
+        "alerts": read_alert_table(spark, written_alerts(spark, sf)),
     }
 
 
@@ -186,14 +196,17 @@ def flow_sets(spark, sf):
         SELECT 'headed' AS dataset, CASE WHEN contains(lower(coalesce(raw_label, 'nan')), 'benign') OR contains(lower(coalesce(raw_label, 'nan')), 'normal')
           OR contains(coalesce(raw_label, 'nan'), '0') THEN 0 ELSE 1 END AS label, coalesce(raw_label, 'nan') AS message, length(coalesce(raw_label, 'nan')) AS message_length FROM raw_labels
         UNION ALL SELECT 'headerless', CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END, CASE WHEN event_id % 4 <> 0 THEN event_type ELSE 'Unknown Attack' END,
-          length(CASE WHEN event_id % 4 <> 0 THEN event_type ELSE 'Unknown Attack' END) FROM events) GROUP BY ALL""",
+          length(CASE WHEN event_id % 4 <> 0 THEN event_type ELSE 'Unknown Attack' END) FROM events
+        UNION ALL SELECT 'alerts', 1, event_type, length(event_type) FROM events WHERE event_id % 10 <> 9) GROUP BY ALL""",
         "raw_labels",
     ),
 )
 def c2_features(spark, sf):
     from alertloom.operators.union import union_datasets
 
-    sets = {k: jobs.labelled_features(v) if v is not None else None for k, v in flow_sets(spark, sf).items()}
+    sets = flow_sets(spark, sf)
+    sets |= {k: jobs.labelled_features(v) for k, v in sets.items() if v is not None and k != "alerts"}
+    sets["alerts"] = jobs.alert_features(sets["alerts"])
     return union_datasets(sets).groupBy("dataset", "label", "message").agg(F.count(F.lit(1)).alias("n"), F.sum("message_length").alias("chars"))
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertloom.functions import features, network
-from alertloom.functions.features import find_column
+from alertloom.functions.features import header_roles
 from alertloom.operators.filters import inspectable
 from alertloom.sources.flows import LABEL_NAMES, PORT_NAMES, read_flow_csv
 from alertloom.sources.packets import PACKETS
@@ -36,11 +36,12 @@ def test_counts(spark):
     assert column(spark, ["é😀"], "string", features.message_length) == [2]
 
 
-def test_find_column():
-    assert find_column(["Flow", "Dst Port", "Label"], PORT_NAMES) == "Dst Port"
-    assert find_column([" dst_port", "DSTPORT"], PORT_NAMES) == "DSTPORT"
-    assert find_column(["attack_cat", "Label"], LABEL_NAMES) == "Label"
-    assert find_column(["a"], PORT_NAMES) is None
+def test_header_roles():
+    roles = lambda header: header_roles(header, {"port": PORT_NAMES, "label": LABEL_NAMES})
+    assert roles(["Flow", "Dst Port", "Label"]) == ({"port": 1, "label": 2}, None)
+    assert roles([" dst_port", "DSTPORT", "attack_cat", "Label"]) == ({"port": 1, "label": 3}, None)
+    assert roles(["a", "class"]) == ({"label": 1}, "no column for port")
+    assert roles([]) == ({}, "no column for label, port")
 
 
 def test_headed_files(spark, tmp_path):
