@@ -52,26 +52,34 @@ def detection_filter(
     )
 
 
-TERMS = ("df_track", "df_count", "df_seconds")
-
-
-def rule_thresholds(rules: DataFrame) -> list[tuple]:
-    """The distinct (track, count, seconds) of a rule table."""
-    return [tuple(r) for r in rules.where(F.col("df_count").isNotNull()).select(*TERMS).distinct().collect()]
-
-
-def detection_filters(matches: DataFrame, terms: list[tuple], src: str = "src_ip", dst: str = "dst_ip", ts: str = "ts") -> DataFrame:
+def detection_filters(matches: DataFrame, src: str = "src_ip", dst: str = "dst_ip", ts: str = "ts", slices: int = 4) -> DataFrame:
     """Apply each matched rule's own threshold; rules without one pass unchanged.
 
-    Rules that share a threshold are filtered together, so there is one branch
-    per distinct (track, count, seconds) and none per rule. ``matches`` should be
-    a written table: every branch reads its own part of it.
+    Count and seconds stay columns, so the plan is one pass however many thresholds the
+    rules have. Rows are numbered by time within (rule, source, slice), a slice being as
+    long as the row's own seconds ask for; a row passes if the row that lies ``count - 1``
+    places before the last one of its instant is inside the seconds. The two meet by an
+    equi-join on that number.
     """
-    out = matches.where(F.col("df_count").isNull())
-    for track, count, seconds in terms:
-        same = matches.where((F.col("df_track") == track) & (F.col("df_count") == count) & (F.col("df_seconds") == seconds))
-        out = out.unionByName(detection_filter(same, dst if track == "by_dst" else src, count, seconds, ts=ts))
-    return out
+    columns = matches.columns
+    window = F.col("df_seconds").cast("long") * MICROS
+    bounded = matches.where(F.col("df_count").isNotNull()).withColumns({"_t": _micros(ts), "_who": F.when(F.col("df_track") == "by_dst", F.col(dst)).otherwise(F.col(src))})
+    start = F.col("_t") - F.pmod("_t", window * slices)
+    own, ahead = F.struct(start.alias("s"), F.lit(True).alias("o")), F.struct((start + window * slices).alias("s"), F.lit(False).alias("o"))
+    copies = F.when(F.pmod("_t", window * slices) >= window * (slices - 1), F.array(own, ahead)).otherwise(F.array(own))
+    cut = bounded.withColumn("_copy", F.explode(copies)).withColumns({"_slice": F.col("_copy.s"), "_own": F.col("_copy.o")})
+    group = ["sid", "df_track", "_who", "df_count", "df_seconds", "_slice"]
+    by_time = Window.partitionBy(*group).orderBy("_t")
+    numbered = cut.withColumns({
+        "_place": F.row_number().over(by_time),
+        "_upto": F.count(F.lit(1)).over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    earlier = numbered.select(*[F.col(c).alias(f"_e{c}") for c in group], F.col("_place").alias("_e_place"), F.col("_t").alias("_e_t"))
+    on = F.col("_upto") - F.col("df_count") + 1 == F.col("_e_place")
+    for c in group:
+        on &= F.col(c).eqNullSafe(F.col(f"_e{c}"))
+    passed = numbered.where("_own").join(earlier, on).where(F.col("_e_t") > F.col("_t") - F.col("df_seconds").cast("long") * MICROS)
+    return matches.where(F.col("df_count").isNull()).unionByName(passed.select(*columns))
 
 
 def _of_rule(gid: int, sid: int) -> Column:

@@ -23,11 +23,10 @@ def detection_job(packets: DataFrame, rules: DataFrame, suppressions: DataFrame,
     """Packets to alerts: rule match, per-rule thresholds, suppression.
 
     The payload is dropped right after the match, so no later shuffle carries it.
-    Matches are written once, because each distinct threshold reads them.
+    Matches are written once, because the thresholds read them twice.
     """
     matched = joins.match_rules(packets, rules, variables).drop("payload")
-    terms = thresholds.rule_thresholds(rules)
-    alerts = thresholds.detection_filters(settle(matched, "matches"), terms).withColumn("gid", F.lit(1).cast("long"))
+    alerts = thresholds.detection_filters(settle(matched, "matches")).withColumn("gid", F.lit(1).cast("long"))
     return joins.suppress(alerts, suppressions, source="src_ip", dest="dst_ip")
 
 

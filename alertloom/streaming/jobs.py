@@ -40,8 +40,10 @@ class ThresholdStream:
     Each batch is judged by the batch operator's own window over the new rows and
     a small context table: for each rule and source the last ``count - 1`` rows
     that still lie within reach, and the rows that wait for the watermark. The
-    watermark is the newest instant seen minus the delay. Rows older than the
-    watermark of earlier batches are dropped and counted.
+    watermark is the newest instant seen minus the delay. Rows up to the
+    watermark of earlier batches are judged already; later rows of that time, of its very
+    instant too, are late: they are dropped and counted. Where an instant may arrive in
+    parts, give a delay, and :meth:`flush` when no more will come.
 
     Batch n reads context n - 1 and overwrites context n and result n, so a
     replayed batch changes nothing. No row goes through Python.
@@ -75,7 +77,7 @@ class ThresholdStream:
         known = existing_paths(spark, [self._path("marks", version - 1)])[0]
         mark = spark.read.parquet(known[0]).first() if known else None
         before = mark["watermark"] if mark else None
-        late = F.lit(False) if before is None else F.col("_t") < F.lit(before)
+        late = F.lit(False) if before is None else F.col("_t") <= F.lit(before)
         seen = rows.agg(F.max("_t").alias("newest"), F.count_if(late).alias("late")).first()
         if seen["newest"] is None:
             now, lost = before, mark["late"] if mark else 0
@@ -85,8 +87,7 @@ class ThresholdStream:
         table = rows.where(~late).withColumn("_waiting", F.lit(True))
         if mark:
             table = table.unionByName(spark.read.schema(table.schema).parquet(self._path("context", version - 1)))
-        # More rows of the watermark's own instant may still come, so that instant waits too.
-        reached = F.col("_t") < F.lit(now) if not flush else F.lit(True)
+        reached = F.lit(True) if flush else F.col("_t") <= F.lit(now)
         # Rows beyond the watermark cannot count for rows up to it.
         judged = detection_filter(table.where(reached), self.track, self.count, self.seconds, self.rule, self.ts)
         judged.where("_waiting").select(*batch.columns).write.mode("overwrite").parquet(self._path("passed", version))
@@ -119,15 +120,18 @@ def stream_suggest(rules: DataFrame, store: str, checkpoint: str, trigger: dict
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_verify(expected: DataFrame, lines: DataFrame, year: int, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def stream_verify(expected: DataFrame, lines: DataFrame, year: int, table: str, checkpoint: str, pos: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Keep the first line of each expected rule that fires in its window.
 
-    The state is one row per expected rule. The table is rewritten under a new
-    version with each batch that brings a hit; :func:`verdicts` reads the newest.
+    ``pos`` names a column of ``lines`` that carries their order; without one the first
+    line is the earliest, and of several the first by text. The state is one row per
+    expected rule. The table is rewritten under a new version with each batch that brings
+    a hit; :func:`verdicts` reads the newest.
     """
-    parsed = parse_alerts(lines.withColumn("line", F.col("value")), keep=("line",))
-    alerts = typed_alerts(parsed, year, keep=("line",)).withColumn("pos", F.struct("event_ts", "line"))
-    hits = alerts_in_wait(expected, alerts)
+    keep = ("line",) if pos is None else ("line", pos)
+    alerts = typed_alerts(parse_alerts(lines.withColumn("line", F.col("value")), keep=keep), year, keep=keep)
+    order = F.struct("event_ts", "line") if pos is None else F.col(pos)
+    hits = alerts_in_wait(expected, alerts.withColumn("pos", order))
     first = hits.groupBy("expected_sid", "since", "wait_seconds").agg(F.min_by("line", "pos").alias("first_line"))
 
     def save(batch: DataFrame, version: int) -> None:

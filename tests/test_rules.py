@@ -191,3 +191,42 @@ def test_event_filter_plan_cuts_ranks_early(spark):
     assert "WindowGroupLimit" in plan
     with pytest.raises(ValueError):
         thresholds.event_filter(df, 1, 1, "x", "src_ip", 2, 60)
+
+
+def test_rules_that_cannot_be_judged(spark):
+    texts = [
+        'alert tcp any any -> any [80,443] (msg:"a"; sid:1;)', 'alert tcp any any -> any 1:1024 (msg:"a"; sid:2;)', 'alert tcp any any <> any 80 (msg:"a"; sid:3;)',
+        'alert tcp any any -> any 80 (content:!"abc"; sid:4;)', 'alert tcp any any -> any 80 (detection_filter: track by_src, count 2; sid:5;)',
+        'alert tcp any any -> $OTHER_NET 80 (msg:"a"; sid:6;)', 'alert ip $EXTERNAL_NET any -> any any (msg:"a"; sid:7;)', 'alert tcp 10.9.9.9 any -> any 80 (msg:"a"; sid:8;)',
+    ]
+    table = rules_io.rules_from_lines(spark.createDataFrame([(t,) for t in texts], "value string"))
+    reasons = {r.sid: r.reason for r in joins.unusable_rules(table).collect()}
+    assert reasons == {
+        1: "port list or range", 2: "port list or range", 3: "both directions", 4: "negated content", 5: "incomplete threshold", 6: "unknown network"
+    }
+    packets = spark.createDataFrame(
+        [(1, "tcp", "10.9.9.9", 5, "1.2.3.4", 80), (2, "tcp", "10.9.9.8", 5, "1.2.3.4", 80), (3, "udp", "10.0.0.1", 5, "1.2.3.4", 9)],
+        "packet_id long, protocol string, src_ip string, src_port int, dst_ip string, dst_port int",
+    ).selectExpr("*", "cast('' as binary) payload", "'PA' tcp_flags", "0 itype", "0 icode", "true to_server", "true established")
+    assert sorted((r.packet_id, r.sid) for r in joins.match_rules(packets, table).collect()) == [(1, 7), (1, 8), (2, 7), (3, 7)]
+
+
+def test_suppression_entries(spark):
+    alerts = spark.createDataFrame([(1, 5, f"10.0.0.{k}", "d") for k in range(4)], "gid long, sid long, source_ip string, dest_ip string")
+    odd = [(1, 5, f"odd{k}", "10.0.0.1") for k in range(14)] + [(1, 5, None, "10.0.0.2"), (1, 5, " BY_SRC ", "10.0.0.3")]
+    listed = spark.createDataFrame(odd, "gid long, sid long, track string, ip string")
+    assert sorted(r.source_ip[-1] for r in joins.suppress(alerts, listed).collect()) == ["0", "1", "2"]
+    assert joins.bad_suppressions(listed).count() == 15
+
+
+def test_many_thresholds_in_one_plan(spark):
+    rows = [(k, k % 500, "s" if k % 3 else None, "d", f"2024-01-01 00:00:{k // 500:02d}", 1 + k % 4, 1 + k % 5 * 3, "by_src" if k % 2 else "by_dst") for k in range(10_000)]
+    df = spark.createDataFrame(rows, "id long, sid long, src_ip string, dst_ip string, ts string, df_count int, df_seconds int, df_track string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.id for r in thresholds.detection_filters(df).collect()}
+    want = set()
+    for k, sid, src, dst, ts, count, seconds, track in rows:
+        who, t = (dst if track == "by_dst" else src), int(ts[-2:])
+        same = [r for r in rows[sid::500] if (r[3] if track == "by_dst" else r[2]) == who and r[7] == track]
+        if sum(t - seconds < int(r[4][-2:]) <= t for r in same) >= count:
+            want.add(k)
+    assert got == want

@@ -49,6 +49,22 @@ def test_late_rows_wait_for_the_watermark(spark, tmp_path):
     assert threshold.late_rows(spark) == 1
 
 
+def test_one_instant_in_two_batches(spark, tmp_path):
+    """With a delay the parts of an instant are judged together; the flush judges what still waits."""
+    batches = [[(1, 0, "a"), (2, 10, "a")], [(3, 10, "a"), (4, 31, "a")], [(5, 31, "a")]]
+    threshold = stream_in_batches(spark, tmp_path, batches, delay_seconds=1)
+    threshold.flush(spark)
+    rows = [(i, at(t), 1, s) for batch in batches for i, t, s in batch]
+    want = detection_filter(spark.createDataFrame(rows, SCHEMA), "src_ip", 3, 60)
+    assert sorted(r["packet_id"] for r in threshold.passed(spark).collect()) == sorted(r["packet_id"] for r in want.collect()) == [2, 3, 4, 5]
+    assert threshold.late_rows(spark) == 0
+
+
+def test_instant_of_the_watermark_is_late(spark, tmp_path):
+    threshold = stream_in_batches(spark, tmp_path, [[(1, 0, "a"), (2, 10, "a")], [(3, 10, "a")]])
+    assert threshold.passed(spark).count() == 0 and threshold.late_rows(spark) == 1
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     threshold = stream_in_batches(spark, tmp_path, [[(1, 0, "a"), (2, 1, "a")], [(3, 2, "a")]])
     again = spark.createDataFrame([(3, at(2), 1, "a")], SCHEMA)
