@@ -20,4 +20,4 @@ def distinct_attacks(alerts: DataFrame, order: str = "pos", carry: tuple[str, ..
 
 def drop_known_rules(new: DataFrame, existing: DataFrame, key: str = "rule_key") -> DataFrame:
     """Rules whose text without number and revision is not stored yet."""
-    return new.join(existing.select(key).distinct(), key, "left_anti")
+    return new.join(existing.select(key), key, "left_anti")

@@ -154,12 +154,12 @@ def suppress(alerts: DataFrame, suppressions: DataFrame, source: str = "source_i
 
 def apply_decisions(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Suggestions that a person approved."""
-    yes = decisions.where(F.lower(F.trim("decision")) == "y").select("suggestion_id").distinct()
+    yes = decisions.where(F.lower(F.trim("decision")) == "y").select("suggestion_id")
     return suggestions.join(yes, "suggestion_id", "left_semi")
 
 
 def undecided(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
-    return suggestions.join(decisions.select("suggestion_id").distinct(), "suggestion_id", "left_anti")
+    return suggestions.join(decisions.select("suggestion_id"), "suggestion_id", "left_anti")
 
 
 def alerts_in_wait(expected: DataFrame, alerts: DataFrame, mode: str = "parsed") -> DataFrame:

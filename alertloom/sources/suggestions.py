@@ -56,7 +56,8 @@ def write_mined_rules(df: DataFrame, path: str, source: str) -> bool:
     """Ordered text export of ``(sid, message, rule)`` with its three head lines.
 
     Rows are range-partitioned by number: part files follow each other, and the
-    head stands first in the first. Nothing is written for an empty table.
+    head stands first in the first. What the path holds is replaced; nothing is written
+    for an empty table.
     """
     if df.isEmpty():
         return False
@@ -67,5 +68,5 @@ def write_mined_rules(df: DataFrame, path: str, source: str) -> bool:
         F.concat(F.lit("# Based on log: "), "message", F.lit("\n"), "rule", F.lit("\n")).alias("value"),
     )
     lines = spark.createDataFrame([(-1, head)], "sid long, value string").unionByName(body)
-    lines.repartitionByRange("sid").sortWithinPartitions("sid").select("value").write.text(path)
+    lines.repartitionByRange("sid").sortWithinPartitions("sid").select("value").write.mode("overwrite").text(path)
     return True
