@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from alertloom.llm import chat, common, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, repeats, simhash_dedup, token_output
+from alertloom.llm import chat, common, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, repeats, shingle_dedup, simhash_dedup, token_output
 from alertloom.llm.queries import tokenizer_file
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -222,6 +222,61 @@ def test_rates_reach_targets(spark):
     assert abs(sum(r.copies for r in got) / sum(r.rate for r in got) - 1) < 0.1
 
 
+# -- shingle sets -------------------------------------------------------------------------------
+
+
+def test_shingle_groups_against_all_pairs(spark, stored):
+    """Pairs at Jaccard 0.8 and more are linked and no others; three bits of a SimHash meet less than half of them."""
+    random.seed(5)
+    texts = ["", None, "one two", "ONE two", "three"]
+    for _ in range(120):
+        words = [f"w{random.randrange(10**6)}" for _ in range(random.randrange(60, 400))]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 5, 8):
+            other = list(words)
+            for _ in range(max(1, changes * len(words) // 160)):
+                other[random.randrange(len(other))] = f"x{random.randrange(10**6)}"
+            texts.append(" ".join(other))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, want, similar = [shingles(t) for t in texts], list(range(len(texts))), []
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if (not a and not sets[j]) or len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                similar.append((i, j))
+                low, high = sorted((want[i], want[j]))
+                want = [low if g == high else g for g in want]
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = shingle_dedup.shingle_groups(docs).collect()
+    names = {}
+    for r in rows:
+        names[r.root] = min(names.get(r.root, r.doc_id), r.doc_id)
+    assert {r.doc_id: names[r.root] for r in rows} == dict(enumerate(want))
+    bits = [simhash_dedup.fingerprint((t or "").encode(), 5) for t in texts]
+    assert sum((bits[i] ^ bits[j]).bit_count() <= 3 for i, j in similar) < len(similar) / 2
+    kept = shingle_dedup.shingle_distinct(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want)
+    assert shingle_dedup.shingle_distinct(docs.limit(0)).count() == 0
+
+
+def test_short_pieces_keep_their_words(monkeypatch):
+    text = b"a b c d e f g h"
+    whole = shingle_dedup.shingle_set(text).tolist()
+    monkeypatch.setattr(simhash_dedup, "PIECE", 2)
+    assert shingle_dedup.shingle_set(text).tolist() == whole and len(whole) == 4
+
+
+def test_differing_meets_every_pair_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "PART", 7)
+    crowded = spark.range(60).select(F.lit(1).alias("bucket"), "id").union(spark.range(60, 90).select(F.lit(2), "id"))
+    joined = spark.range(90).select(F.col("id").alias("node"), F.when(F.col("id") < 60, F.col("id") % 3).otherwise(60).alias("root"))
+    got = sorted((r.a, r.b) for r in common.differing(crowded, joined, lambda: F.lit(True)).collect())
+    assert got == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3]
+
+
 # -- lines --------------------------------------------------------------------------------------
 
 
