@@ -294,6 +294,13 @@ def test_lines_odd(spark, odd_docs, stored):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_lines(spark, stored):
+    """Exact repeats go however few words they have, in scripts without spaces too; blank lines stay."""
+    docs = stored(spark.createDataFrame([(1, "Yes\n\n今天天气很好我们去公园\n-----\n "), (2, "yes!\n\n今天天气很好我们去公园\n-----\n=====\n ")], "doc_id long, text string").coalesce(1))
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    assert {n for n, _ in got.values()} == {5, 6} and sum(r for _, r in got.values()) == 3
+
+
 def test_line_widths(spark):
     import xxhash
 
