@@ -339,6 +339,15 @@ def test_decontaminate_odd(spark, odd_docs, stored):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 == decontaminate.contaminated(docs, items.limit(0)).count()
 
 
+def test_short_items_in_long_documents(spark, stored):
+    """Items of one to four words, and of scripts without spaces, are found inside longer texts."""
+    filler = " ".join(f"f{k}" for k in range(30))
+    items = [(1, "Zebra!"), (2, "two words"), (3, "three short words"), (4, "four words in all"), (5, "今天天气很好"), (6, "absent phrase"), (7, "天气")]
+    docs = [(k, f"{filler} {text} {filler}") for k, text in items[:4]] + [(5, f"{filler} 我说今天天气很好吗"), (6, f"{filler} phrase absent"), (7, filler), (8, "two")]
+    got = decontaminate.contaminated(stored(spark.createDataFrame(docs, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (5, 7)}
+
+
 def test_containment_at_the_threshold(spark, stored):
     """Pairs at 0.8 are found and pairs below are not, for all sizes of items."""
     random.seed(11)
