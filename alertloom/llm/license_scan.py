@@ -29,8 +29,8 @@ TEMPLATES = (
 #: Distinct template words that may be sent to every task.
 VOCABULARY = 20_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Blocks end at a sentence mark before white space, or at a line break.
-BLOCK_END = r"[.!?]+[\x09-\x0D\x20]+|[\n\r]+"
+#: Blocks end at a sentence mark before white space, or at a blank line; notices are wrapped, so a single line break ends none.
+BLOCK_END = r"[.!?]+[\x09-\x0D\x20]+|(?>\r\n|[\n\r])[\x09\x0B\x0C\x20]*[\n\r]"
 
 
 def template_words(text: str) -> list[str]:

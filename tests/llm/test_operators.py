@@ -420,6 +420,18 @@ def test_licenses_odd(spark, odd_docs, stored):
     assert license_scan.scan_licenses(stored(odd_docs, "o").limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark, stored):
+    """Notices that are wrapped as files have them get their labels; a blank line ends a block."""
+    docs = [
+        (1, "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)"),
+        (2, "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:"),
+        (3, " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published"),
+        (4, "Released under the\n \nMIT License"), (5, "Released under the\r\n\r\nMIT License"),
+    ]
+    labels = {r.doc_id: r.labels for r in license_scan.scan_licenses(stored(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert labels[1] == "mit" and labels[2] == "bsd" and "lgpl" in labels[3].split(",") and labels[4] == labels[5] == ""
+
+
 # -- repeats ------------------------------------------------------------------------------------
 
 
