@@ -15,7 +15,7 @@ from alertloom.llm.decontaminate import decontaminate
 from alertloom.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix
 from alertloom.llm.quality import fit_quality, keep_quality
 from alertloom.llm.queries import END_ID, domain_labels, table, tokenizer_file
-from alertloom.llm.shingle_dedup import shingle_distinct
+from alertloom.llm.simhash_dedup import near_distinct
 from alertloom.llm.token_output import read_token_ids, write_token_ids
 from alertloom.runtime import scratch_path
 
@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: Jaccard similarity of five-word shingles 0.8 or more."""
-    return shingle_distinct(docs)
+    """One document of each group stays whose SimHash fingerprints of three-word shingles link at three or fewer differing bits."""
+    return near_distinct(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
