@@ -65,26 +65,3 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
-
-
-#: Rows of a bucket that one part holds when its rows meet pairwise.
-PART = 256
-
-
-def differing(crowded: DataFrame, joined: DataFrame, near) -> DataFrame:
-    """Pairs (a, b) of rows (bucket, id, ...) that share a bucket, are ``near()`` and whose groups in ``joined`` (node, root) differ.
-
-    Buckets of one group only are dropped by an aggregate before anything is paired. The
-    others are cut into parts of ``PART`` rows of which each pair meets, so that a large
-    bucket is no single key; the columns of the second row end in ``_b``.
-    """
-    rooted = settled(crowded.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("bucket", "_c")
-    cut = rooted.join(mixed, "bucket").withColumn("_g", F.ceil(F.col("_c") / PART).cast("int")).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
-    tiles = cut.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).withColumn("_t", F.least("_p", "_d").cast("long") * (1 << 32) + F.greatest("_p", "_d")).drop("_c", "_g", "_d")
-    tiles = settled(tiles, "tiles")
-    other = tiles.select("bucket", "_t", *[F.col(c).alias(f"{c}_b") for c in tiles.columns if c not in ("bucket", "_t")])
-    # Rows of one part meet in its own tile only, rows of two parts in the tile of both.
-    own = (F.col("_p") != F.col("_p_b")) | (F.col("_t") == F.col("_p").cast("long") * (1 << 32) + F.col("_p"))
-    met = tiles.join(other, ["bucket", "_t"]).where((F.col("id") < F.col("id_b")) & (F.col("root") != F.col("root_b")) & own & near())
-    return met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()

@@ -134,7 +134,7 @@ def _license_sql() -> str:
     w AS (SELECT row, regexp_extract_all(x, '{word}') AS words FROM d),
     p AS ({places}),
     base AS (SELECT row, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY row),
-    b AS (SELECT row, list_distinct(regexp_extract_all(block, '{word}')) AS words FROM d, unnest(regexp_split_to_array(x, '[.!?]+[\\x09-\\x0D\\x20]+|[\\n\\r]+')) AS u(block)),
+    b AS (SELECT row, list_distinct(regexp_extract_all(block, '{word}')) AS words FROM d, unnest(regexp_split_to_array(x, '[.!?]+[\\x09-\\x0D\\x20]+|\\r\\n[\\x09\\x0B\\x0C\\x20]*[\\n\\r]|\\n[\\x09\\x0B\\x0C\\x20]*[\\n\\r]|\\r[\\x09\\x0B\\x0C\\x20]*\\r|\\r[\\x09\\x0B\\x0C\\x20]+\\n')) AS u(block)),
     t(label, tokens, need) AS (VALUES {sets}),
     m AS (SELECT row, label, len(list_intersect(words, tokens)) AS shared, len(tokens) AS size FROM b, t WHERE len(words) >= need AND len(list_intersect(words, tokens)) >= need),
     more AS (SELECT row, list(DISTINCT label) AS labels, max(shared / size) AS contained FROM m GROUP BY row)
@@ -153,20 +153,25 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(table(spark, sf, "documents"))
 
 
-_SHINGLE_SQL = """
-    SELECT DISTINCT id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i + 1 : i + 5], ' ') END AS s
-    FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM %s), unnest(range(greatest(len(words) - 4, 1))) AS u(i)
-    WHERE len(words) > 0
+# Letters of scripts without spaces are words, as in the operator.
+_UNSPACED_SQL = "([\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}])"
+_WORDS_SQL = f"""
+    SELECT id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '{_UNSPACED_SQL}', ' \\1 ', 'g'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM %s
 """
 
 
 @query(
     "op7_decontaminate",
     f"""
-    WITH d AS ({_SHINGLE_SQL % "(SELECT doc_id AS id, text FROM documents)"}), b AS ({_SHINGLE_SQL % "(SELECT item_id AS id, text FROM benchmark)"}),
+    WITH dw AS ({_WORDS_SQL % "(SELECT doc_id AS id, text FROM documents)"}), bw AS ({_WORDS_SQL % "(SELECT item_id AS id, text FROM benchmark)"}),
+    d AS (SELECT DISTINCT id, words[i + 1 : i + 5] AS s FROM dw, unnest(range(len(words) - 4)) AS u(i)),
+    b AS (SELECT DISTINCT id, words[i + 1 : i + 5] AS s FROM bw, unnest(range(len(words) - 4)) AS u(i)),
     n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
     SELECT d.id AS doc_id, b.id AS item_id, any_value(n)::INTEGER AS n_shingles, count(*)::INTEGER AS shared, count(*) / any_value(n) AS containment
     FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
+    UNION ALL
+    SELECT dw.id, bw.id, 1, 1, 1.0 FROM bw JOIN dw ON contains(' ' || array_to_string(dw.words, ' ') || ' ', ' ' || array_to_string(bw.words, ' ') || ' ')
+    WHERE len(bw.words) BETWEEN 1 AND 4
     """,
 )
 def op7(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,3 +214,30 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     model = fit_domains(docs, domain_labels(docs, table(spark, sf, "labels")), "lang")
     posteriors = settled(domain_posteriors(docs, model), "posteriors")
     return document_rates(posteriors, fit_rates(posteriors, model))
+
+
+@query(
+    "op13_minhash_dedup",
+    """
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+    ),
+    s AS (
+        SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_sort(list_distinct([array_to_string(words[i + 1 : i + 4], ' ') FOR i IN range(greatest(len(words) - 3, 1))])) END AS s FROM w
+    ),
+    g AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+    t AS (SELECT id, n, unnest(s) AS h FROM g),
+    links AS (
+        SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.h = b.h AND a.id <> b.id
+        GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ),
+    reached(id, to_id) AS (SELECT id, id FROM g UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.to_id),
+    roots AS (SELECT id, min(to_id) AS root FROM reached GROUP BY id)
+    SELECT doc_id, len(s.s) AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+    FROM s LEFT JOIN g ON g.s = s.s LEFT JOIN roots ON roots.id = g.id
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from alertloom.llm.minhash_dedup import minhash_groups
+
+    return minhash_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

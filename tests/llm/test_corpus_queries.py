@@ -108,8 +108,9 @@ def test_op6(spark, sf, texts):
     for r, (_, text) in enumerate(texts):
         for k, line in enumerate(text.split("\n")):
             words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()) if w]
-            if len(words) >= 5:
-                places[" ".join(words)].append((r, k))
+            normal = " ".join(words) or line.strip(" \t\r\x0b\x0c")
+            if normal:
+                places[normal].append((r, k))
     lines = list(places)
     pairs = close([majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in x.split()]) for x in lines])
     links = [(i, j) for i, j in pairs if distance(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)]
@@ -167,10 +168,11 @@ def test_pipeline(spark, sf, con):
     good = {r.doc_id for r in score_quality(docs, fit_quality(docs, table(spark, sf, "labels"))).where("score >= 0.5").collect()}
     assert sorted(rows[1]) == sorted(r for r in rows[0] if r.doc_id in good)
 
-    def words(text):
-        return (text or "").lower().split()
+    def shingles(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
+        return [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
 
-    prints = [majority([xxhash.xxh64_intdigest(" ".join(w[k : k + 5]).encode(), 42) for k in range(max(1, len(w) - 4))]) if (w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), r.text or ""))) else 0 for r in rows[1]]
+    prints = [majority([xxhash.xxh64_intdigest(x, 42) for x in shingles(r.text)]) for r in rows[1]]
     firsts = {}
     for r, g in zip(rows[1], groups(len(rows[1]), close(prints)), strict=True):
         firsts[g] = min(firsts.get(g, r.doc_id), r.doc_id)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from alertloom.llm import chat, common, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, repeats, shingle_dedup, simhash_dedup, token_output
+from alertloom.llm import chat, common, decontaminate, exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality, repeats, simhash_dedup, token_output
 from alertloom.llm.queries import tokenizer_file
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -222,59 +222,92 @@ def test_rates_reach_targets(spark):
     assert abs(sum(r.copies for r in got) / sum(r.rate for r in got) - 1) < 0.1
 
 
-# -- shingle sets -------------------------------------------------------------------------------
+# -- MinHash ------------------------------------------------------------------------------------
 
 
-def test_shingle_groups_against_all_pairs(spark, stored):
-    """Pairs at Jaccard 0.8 and more are linked and no others; three bits of a SimHash meet less than half of them."""
-    random.seed(5)
-    texts = ["", None, "one two", "ONE two", "three"]
-    for _ in range(120):
-        words = [f"w{random.randrange(10**6)}" for _ in range(random.randrange(60, 400))]
-        texts.append(" ".join(words))
-        for changes in (1, 2, 3, 5, 8):
-            other = list(words)
-            for _ in range(max(1, changes * len(words) // 160)):
-                other[random.randrange(len(other))] = f"x{random.randrange(10**6)}"
-            texts.append(" ".join(other))
+def shingles(text, words=4):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
 
-    def shingles(text):
-        w = (text or "").lower().split()
-        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
-    sets, want, similar = [shingles(t) for t in texts], list(range(len(texts))), []
+def linked_groups(texts):
+    """For each text the least index that links of Jaccard 0.8 and more reach; texts without words stand alone."""
+    sets, want = [shingles(t) for t in texts], list(range(len(texts)))
     for i, a in enumerate(sets):
         for j in range(i + 1, len(sets)):
-            if (not a and not sets[j]) or len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
-                similar.append((i, j))
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
                 low, high = sorted((want[i], want[j]))
                 want = [low if g == high else g for g in want]
-    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    rows = shingle_dedup.shingle_groups(docs).collect()
-    names = {}
-    for r in rows:
-        names[r.root] = min(names.get(r.root, r.doc_id), r.doc_id)
-    assert {r.doc_id: names[r.root] for r in rows} == dict(enumerate(want))
-    bits = [simhash_dedup.fingerprint((t or "").encode(), 5) for t in texts]
-    assert sum((bits[i] ^ bits[j]).bit_count() <= 3 for i, j in similar) < len(similar) / 2
-    kept = shingle_dedup.shingle_distinct(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want)
-    assert shingle_dedup.shingle_distinct(docs.limit(0)).count() == 0
+    return want
 
 
-def test_short_pieces_keep_their_words(monkeypatch):
-    text = b"a b c d e f g h"
-    whole = shingle_dedup.shingle_set(text).tolist()
-    monkeypatch.setattr(simhash_dedup, "PIECE", 2)
-    assert shingle_dedup.shingle_set(text).tolist() == whole and len(whole) == 4
+def changed(rng, words, changes):
+    other = list(words)
+    for _ in range(changes):
+        other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+    return other
 
 
-def test_differing_meets_every_pair_of_groups(spark, monkeypatch):
-    monkeypatch.setattr(common, "PART", 7)
-    crowded = spark.range(60).select(F.lit(1).alias("bucket"), "id").union(spark.range(60, 90).select(F.lit(2), "id"))
-    joined = spark.range(90).select(F.col("id").alias("node"), F.when(F.col("id") < 60, F.col("id") % 3).otherwise(60).alias("root"))
-    got = sorted((r.a, r.b) for r in common.differing(crowded, joined, lambda: F.lit(True)).collect())
-    assert got == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3]
+def test_minhash_against_all_pairs(spark, stored):
+    """Pairs at Jaccard 0.8 and more are linked, and no others, near the threshold too."""
+    rng = random.Random(5)
+    texts = ["", None, " \t\n", "one two", "ONE two", "three", "one two three", "a b c d", "a b c d a b c d"]
+    for _ in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 400))]
+        texts.append(" ".join(words))
+        texts += [" ".join(changed(rng, words, max(1, c * len(words) // 160))) for c in (1, 2, 3, 4, 5, 8)]
+    rows = minhash_dedup.minhash_groups(stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    want = linked_groups(texts)
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(want))
+    assert all(r.kept == (want[r.doc_id] == r.doc_id) and r.n_shingles == len(shingles(texts[r.doc_id])) for r in rows)
+
+
+def test_minhash_crowd(spark, stored):
+    """Many copies of one text that changed more or less: chains are followed, copies beyond the threshold stay apart and are not paired out."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(150)]
+    texts = [" ".join(changed(rng, words, rng.randrange(2, 12))) for _ in range(250)]
+    seen = []
+    real = minhash_dedup._rare_pairs
+
+    def counted(members, percent):
+        pairs = real(members, percent)
+        seen.append(pairs.count())
+        return pairs
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(minhash_dedup, "_rare_pairs", counted)
+        rows = minhash_dedup.minhash_groups(stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    want = linked_groups(texts)
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(want)) and 1 < len(set(want)) < 250
+    assert seen[0] < 250 * 250 / 8
+
+
+def test_minhash_odd(spark, odd_docs, stored):
+    docs = stored(odd_docs)
+    rows = minhash_dedup.minhash_groups(docs).collect()
+    assert len(rows) == 14
+    got = Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in rows)
+    assert got[1, True, 1, True] == 1 and got[2, True, 1, False] == 2
+    assert got[3, False, 3, True] == got[4, False, 4, True] == got[8, False, 8, True] == 1
+    assert got[None, False, None, False] == 1 and got[None, True, None, False] == 1
+    assert got[5, True, 5, True] == 1 and got[6, True, 5, False] == 1 and got[7, True, 7, True] == 1 and got[11, True, 11, True] == 1
+    assert minhash_dedup.minhash_groups(docs.limit(0)).count() == 0
+
+
+def test_tables_pair_halves():
+    """Every pair of a half key of each collection makes a table; a set's keys do not depend on how it is cut."""
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 9000, np.uint64)
+    keys = minhash_dedup.half_keys(hashes)
+    assert len(set(keys.tolist())) == 2 * minhash_dedup.HALVES
+    assert (keys == minhash_dedup.half_keys(hashes[::-1])).all()
+
+
+def test_short_pieces_keep_their_words(monkeypatch):
+    text = b"a b c d e f g"
+    whole = minhash_dedup.shingle_set(text).tolist()
+    monkeypatch.setattr(simhash_dedup, "PIECE", 2)
+    assert minhash_dedup.shingle_set(text).tolist() == whole and len(whole) == 4
 
 
 # -- lines --------------------------------------------------------------------------------------
@@ -413,7 +446,7 @@ def test_licenses_odd(spark, odd_docs, stored):
     rows = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in license_scan.scan_licenses(stored(docs)).collect()), key=str)
     assert rows == sorted([
         (1, 7, 3, 0, 4, "cc-by,reserved", "cc-by,reserved", 1.0), (2, 0, 0, None, None, "", "", 0.0), (3, 0, 0, None, None, "", "", 0.0),
-        (None, 8, 0, None, None, "", "apache", 1.0), (4, 4, 2, 0, 2, "cc-by", "cc-by", 1.0), (4, 6, 0, None, None, "", "", 0.0),
+        (None, 8, 0, None, None, "", "apache", 1.0), (4, 4, 2, 0, 2, "cc-by", "cc-by", 1.0), (4, 6, 0, None, None, "", "mit", 1.0),
         (5, 6, 0, None, None, "", "mit", 1.0), (6, 2, 0, None, None, "", "", 0.0),
     ], key=str)
     assert license_scan.scan_licenses(stored(odd_docs, "o")).count() == 14
