@@ -241,3 +241,43 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     from alertloom.llm.minhash_dedup import minhash_groups
 
     return minhash_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _audit_sql() -> str:
+    from alertloom.llm.filter_audit import FILTERS
+
+    words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    fails = {
+        "A": "len(words) < 100", "B": "100 * len(list_distinct(words)) < 80 * len(words)", "C": "100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text)",
+        "D": "regexp_matches(text, '[#$%&*|]')", "E": "coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)",
+    }
+    at = lambda k: " OR ".join(f"substr(o, {i}, 1) = '{x}' AND {x}" for i, x in [(k, f) for f in FILTERS])
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {words} AS words FROM documents),
+    l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT doc_id, part, {", ".join(f"{e} AS {x}" for x, e in fails.items())} FROM d),
+    m AS (SELECT part, A, B, C, D, E, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    p AS (SELECT DISTINCT part FROM m),
+    x AS (SELECT unnest(string_split('{FILTERS}', '')) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    r AS (SELECT part, o, A, B, C, D, E, good, toxic, n, CASE {" ".join(f"WHEN {at(k)} THEN {k}" for k in range(1, 6))} ELSE 6 END AS gone FROM m, o),
+    k AS (SELECT o, k AS step, substr(o, k, 1) AS x FROM o, unnest(range(1, 6)) AS u(k)),
+    s AS (
+        SELECT p.part, k.o AS filter_order, k.step, k.x,
+            sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN gone < step AND CASE x {" ".join(f"WHEN '{x}' THEN {x}" for x in FILTERS)} END THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN A::INT + B::INT + C::INT + D::INT + E::INT = 1 AND CASE x {" ".join(f"WHEN '{x}' THEN {x}" for x in FILTERS)} END THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN gone = step AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step AND toxic THEN n ELSE 0 END) AS toxic_lost
+        FROM p JOIN k ON true JOIN r ON r.part = p.part AND r.o = k.o GROUP BY p.part, k.o, k.step, k.x
+    )
+    SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+        good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+    FROM s
+    """
+
+
+@query("op11_filter_audit", _audit_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from alertloom.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from alertloom.llm import chat, common, decontaminate, exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality, repeats, simhash_dedup, token_output
+from alertloom.llm import chat, common, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, minhash_dedup, mixing, quality, repeats, simhash_dedup, token_output
 from alertloom.llm.queries import tokenizer_file
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -521,3 +521,79 @@ def test_repeats_odd(spark, odd_docs, stored):
         assert sum(s.stop - s.start for s in got[doc].spans) == len(covered)
     assert repeats.remove_repeats(stored(odd_docs, "o")).count() == 14
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+# -- filter audit -------------------------------------------------------------------------------
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=200))
+def test_positional_counts(words):
+    want = [sum(w >> k & 1 for w in words) for k in range(32)]
+    assert filter_audit.positional_counts(np.array(words, np.uint32)).tolist() == want
+
+
+def test_survival_words():
+    for fails in range(32):
+        word = filter_audit.survival_word(fails)
+        assert all((word >> s & 1) == (s & fails == 0) for s in range(32))
+
+
+def audit(docs, labels):
+    """Every order applied left to right, document by document."""
+    from itertools import permutations
+
+    docs = [(i, t or "", p or "") for i, t, p in docs]
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
+    least = {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t] = min(least.get(t, i), i)
+    rows = []
+    for i, t, p in docs:
+        words = t.encode().split()
+        upper = sum("A" <= c <= "Z" for c in t)
+        fails = {
+            "A": len(words) < 100, "B": 100 * len(set(words)) < 80 * len(words), "C": 100 * upper > 10 * len(t),
+            "D": any(c in "#$%&*|" for c in t), "E": i is not None and i > least[t],
+        }
+        rows.append((i, p, {x for x, f in fails.items() if f}))
+    out = {}
+    for part in {p for _, p, _ in rows}:
+        for order in permutations("ABCDE"):
+            left = [(i, f) for i, p, f in rows if p == part]
+            for step, x in enumerate(order, 1):
+                gone = [(i, f) for i, f in left if x in f]
+                left = [(i, f) for i, f in left if x not in f]
+                fail = [f for _, p, f in rows if p == part and x in f]
+                out[part, "".join(order), step] = [len(left), len(gone), len(fail) - len(gone), sum(f == {x} for f in fail), sum(i in good for i, _ in gone), sum(i in toxic for i, _ in gone)]
+    for (part, order, step), row in out.items():
+        row.append(sum(r[1] for (p, o, s), r in out.items() if p == part and o[s - 1] == order[step - 1]))
+    return {(*k, *v) for k, v in out.items()}
+
+
+def test_audit_against_every_order(spark, stored):
+    rng = random.Random(3)
+    docs = []
+    for k in range(120):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([0, 1, 99, 100, 101, 150]))]
+        text = " ".join(w.upper() if rng.random() < 0.3 * (k % 3) else w for w in words) + rng.choice(["", "", "#", "|", " \x85é"])
+        docs.append((k, text, rng.choice(["en", "de", None, ""])))
+    docs += [(200 + k, docs[rng.randrange(120)][1], rng.choice(["en", "de"])) for k in range(40)]
+    docs += [(None, docs[0][1], "en"), (None, None, None), (3, docs[3][1], docs[3][2]), (-1, docs[5][1], "en")]
+    labels = [(k, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for k in range(0, 220, 2)] + [(2, 1, 1), (None, 1, 1)]
+    frame = stored(spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({c: F.col("lang") for c in ("part", "word", "digest", "label", "fails")}))
+    marks = stored(spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("part", F.lit("x")), "labels")
+    got = filter_audit.filter_audit(frame, marks)
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == audit(docs, labels) and got.count() == 600 * 3
+    assert {f.dataType.simpleString() for f in got.schema.fields[3:]} == {"bigint"}
+
+
+def test_audit_odd(spark, odd_docs, stored, monkeypatch):
+    monkeypatch.setattr(filter_audit, "KEYS", 1)
+    docs, labels = stored(odd_docs), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = audit([(r.doc_id, r.text, r.lang) for r in odd_docs.collect()], [])
+    assert {tuple(r) for r in filter_audit.filter_audit(docs, labels).collect()} == want
+    assert filter_audit.filter_audit(docs.limit(0), labels).count() == 0
