@@ -281,3 +281,46 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     from alertloom.llm.filter_audit import filter_audit
 
     return filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+#: The unsigned CRC-32 of a number's decimal digits, bit by bit.
+_CRC_SQL = (
+    "xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), "
+    "lambda c, x: list_reduce([xor(c, x)] || range(8), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+)
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH t AS (
+        SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    c AS (SELECT conv_id, count(*) AS n, conv_id - (conv_id % 5 + 5) % 5 AS base, {_CRC_SQL} % 9 AS h FROM t GROUP BY conv_id),
+    k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+    r AS (
+        SELECT conv_id, k + pos - h AS q, x, text FROM t JOIN k USING (conv_id) WHERE pos >= h
+        UNION ALL SELECT k.conv_id, pos, x, text FROM k JOIN t ON t.conv_id = k.base WHERE pos < k
+    ),
+    p AS (
+        SELECT conv_id, q + 1 AS depth, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY q) AS path, strlen(text) AS size FROM r
+        UNION ALL SELECT conv_id, 0, '', 0 FROM c
+    ),
+    l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+    e AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM p JOIN l USING (conv_id, depth) GROUP BY path),
+    n AS (SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(size) AS size, left(path, 64 * (any_value(depth) - 1)) AS parent FROM p GROUP BY path),
+    m AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.parent = n.path AND x.depth = n.depth + 1) AS n_children FROM n),
+    s AS (
+        SELECT a.path, sum((m.n_children = 0)::INT) AS n_leaves, sum((m.n_convs - 1) * m.size) AS saved
+        FROM m, unnest(range(m.depth + 1)) AS u(i) JOIN n a ON a.path = left(m.path, 64 * i) GROUP BY a.path
+    )
+    SELECT m.conv_id, m.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+    FROM m JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n o ON o.path = m.parent AND m.depth > 0
+    """,
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from alertloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf, "conversations"))

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from alertloom.llm import chat, common, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, minhash_dedup, mixing, quality, repeats, simhash_dedup, token_output
+from alertloom.llm import chat, common, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, minhash_dedup, mixing, prefix_trie, quality, repeats, simhash_dedup, token_output
 from alertloom.llm.queries import tokenizer_file
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -597,3 +597,71 @@ def test_audit_odd(spark, odd_docs, stored, monkeypatch):
     want = audit([(r.doc_id, r.text, r.lang) for r in odd_docs.collect()], [])
     assert {tuple(r) for r in filter_audit.filter_audit(docs, labels).collect()} == want
     assert filter_audit.filter_audit(docs.limit(0), labels).count() == 0
+
+
+# -- prefix trie --------------------------------------------------------------------------------
+
+
+def trie(rows):
+    """Every node's row by definition."""
+    import zlib
+
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            own.setdefault(conv, []).append((turn is not None, turn or 0, digest, role, text))
+    turns = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c, ts in turns.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = tuple(turns.get(c - c % 5, [])[:h] + ts[h:])
+    members, ends = {}, {}
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(ts[:d], []).append(c)
+        ends.setdefault(ts, []).append(c)
+    rows = []
+    for path, convs in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        children = [p for p in below if len(p) == len(path) + 1]
+        leaves = [p for p in below if not any(x[: len(p)] == p and len(x) > len(p) for x in below)]
+        saved = sum((len(members[p]) - 1) * len(p[-1][1].encode()) for p in below if p)
+        digest = hashlib.sha256(",".join(map(str, sorted(ends.get(path, [])))).encode()).hexdigest()
+        rows.append((min(convs), len(path), min(members[path[:-1]]) if path else None, len(convs), len(children), len(leaves), saved, digest))
+    return rows
+
+
+@pytest.mark.parametrize("gather", [None, 7])
+def test_trie_against_definition(spark, gather, monkeypatch):
+    """Also with a list that is contracted almost whole, and with small blocks, stretches and chunks."""
+    if gather:
+        for name, value in (("BLOCK", 16), ("STRETCH", 3), ("CHUNK", 2)):
+            monkeypatch.setattr(prefix_trie, name, value)
+    rng = random.Random(11)
+    said = ["hi", "é" * 5, "", None, "long " * 9]
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(said)) for c in rng.sample(range(90), 60) for t in range(rng.choice([1, 2, 3, 5, 12]))]
+    rows += [(c, t, "user", "same") for c in (200, 201, 202, 203, 204, 211, 213) for t in range(14)]
+    rows += [(300, None, "user", "no number"), (300, 1, "user", "tie b"), (300, 1, "user", "tie a"), (300, 1, "user", "tie a"), (None, 0, "user", "nobody"), (-3, 0, "user", "below zero"), (1001, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("key", "id", "parent", "depth", "g", "size")})
+    got = prefix_trie.prefix_trie(df, gather)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(trie(rows))
+    assert {f.dataType.simpleString() for f in got.schema.fields[:-1]} == {"bigint"}
+
+
+def test_trie_odd(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert prefix_trie.prefix_trie(spark.createDataFrame([], schema)).count() == 0
+    assert prefix_trie.prefix_trie(spark.createDataFrame([(None, 1, "user", "x")], schema)).count() == 0
+    one = [(1001, 0, "user", "x" * 100_000)]
+    assert [tuple(r) for r in prefix_trie.prefix_trie(spark.createDataFrame(one, schema)).collect()] == trie(one)
+
+
+@pytest.mark.parametrize("gather", [1, 5, 1000])
+def test_list_ranks(spark, gather):
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    pairs = [(a, b) for a, b in zip(order, [*order[1:], -1], strict=True)]
+    got = {r.arc: r.rank for r in prefix_trie.list_ranks(spark.createDataFrame(pairs, "arc long, next long"), gather).collect()}
+    assert got == {a: k for k, a in enumerate(order)}
