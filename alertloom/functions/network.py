@@ -12,6 +12,7 @@ PRINTABLE = r"\A[\x20-\x7e\t\n\r\x0b\x0c]+\z"
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"\A(?:{OCTET}\.){{3}}{OCTET}\z"
+NETWORK = rf"\A(?:{OCTET}\.){{3}}{OCTET}(?:/(?:3[0-2]|[12]?[0-9]))?\z"
 
 
 def ip_number(ip: Column) -> Column:

@@ -6,14 +6,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from alertloom.functions.network import cidr_bounds, ip_number
-from alertloom.runtime import BROADCAST_ROWS, broadcast_if_small, is_small
+from alertloom.functions.network import NETWORK, cidr_bounds, ip_number
+from alertloom.functions.rule_text import let
+from alertloom.runtime import BROADCAST_ROWS, broadcast_if_small, is_small, settle
 
 HOME_NET = {"HOME_NET": "192.168.1.0/24", "EXTERNAL_NET": "any"}
 #: The protocols that a rule for ``ip`` covers.
 IP_PROTOCOLS = ("tcp", "udp", "icmp")
 ANY_PORT = -1
 SALTS = 64
+#: Bytes of a gram, and rules with one from which they are found by their grams.
+GRAM = 4
+INDEX_FROM = 256
+#: One packet in so many is looked at to learn which grams are rare; the choice changes no match.
+LOOK_AT = 16
 
 
 def _network(side: str, variables: dict[str, str]) -> Column:
@@ -25,7 +31,7 @@ def _network(side: str, variables: dict[str, str]) -> Column:
 
 
 def _is_address(net: Column) -> Column:
-    return net.rlike(r"\A\d+\.\d+\.\d+\.\d+(/\d+)?\z")
+    return net.rlike(NETWORK)
 
 
 def _with_reason(rules: DataFrame, variables: dict[str, str]) -> DataFrame:
@@ -54,7 +60,7 @@ def _resolved(rules: DataFrame, variables: dict[str, str]) -> DataFrame:
         F.col("sid").alias("r_sid"), F.col("rev").alias("r_rev"), F.col("msg").alias("r_msg"),
         F.col("proto").alias("r_proto"), F.coalesce(F.col("dst_port"), F.lit(ANY_PORT)).alias("r_port"),
         low.alias("r_low"), high.alias("r_high"),
-        F.col("contents").alias("r_contents"), F.col("flags").alias("r_flags"),
+        F.col("contents").alias("r_contents"), _letters(F.col("flags")).alias("r_flags"),
         F.col("itype").alias("r_itype"), F.col("icode").alias("r_icode"),
         F.coalesce(F.array_contains("flow", "to_server"), F.lit(False)).alias("r_to_server"),
         F.coalesce(F.array_contains("flow", "established"), F.lit(False)).alias("r_established"),
@@ -62,6 +68,11 @@ def _resolved(rules: DataFrame, variables: dict[str, str]) -> DataFrame:
     )
 
 
+def _letters(flags: Column) -> Column:
+    """Flags in one order, as a set has none."""
+    return F.array_join(F.array_sort(F.split(flags, "")), "")
+
+
 def _rule_holds() -> Column:
     """Everything but protocol and port. A null packet field never satisfies a test on it."""
     no = lambda c: F.coalesce(c, F.lit(False))
@@ -78,10 +89,53 @@ def _rule_holds() -> Column:
         ),
     )
     flow = (~F.col("r_to_server") | no(F.col("to_server"))) & (~F.col("r_established") | no(F.col("established")))
-    header = in_net & wanted("r_src_port", "src_port") & wanted("r_flags", "tcp_flags") & wanted("r_itype", "itype") & wanted("r_icode", "icode") & flow
+    flags = F.col("r_flags").isNull() | no(F.col("r_flags") == _letters(F.col("tcp_flags")))
+    header = in_net & wanted("r_src_port", "src_port") & flags & wanted("r_itype", "itype") & wanted("r_icode", "icode") & flow
     return header & contents
 
 
+def _grams(text: Column, ascii_only: bool = False) -> Column:
+    """Hashes of the distinct grams of a text's bytes; cutting bytes takes the same time everywhere in a long payload.
+
+    Two grams of one hash would only be a candidate more. Numbers are told apart by a set, byte strings pair by pair.
+    """
+
+    def of(raw: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.octet_length(raw) - GRAM + 1), lambda i: F.substring(raw, i, F.lit(GRAM)))
+        if ascii_only:
+            grams = F.filter(grams, lambda g: F.hex(g).rlike("\\A(?:[0-7].)+\\z"))
+        return F.when(F.octet_length(raw) >= GRAM, F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
+
+    # Bound once, or each step would make the text's bytes anew.
+    return let(text.cast("binary"), of)
+
+
+def _rule_grams(table: DataFrame) -> DataFrame:
+    """``r_grams``: the ASCII grams of a rule's longest content in lower case; empty if it has none.
+
+    A lower-cased payload holds all of them if the payload holds the content in either way
+    of matching: ASCII letters are lowered one by one whatever stands around them.
+    """
+    longest = F.get(F.array_sort("r_contents", lambda a, b: F.length(b["text"]) - F.length(a["text"])), F.lit(0))["text"]
+    return table.withColumn("r_grams", F.coalesce(_grams(F.lower(longest), ascii_only=True), F.array().cast("array<bigint>")))
+
+
+def gram_index(packets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules (r_sid, r_grams, …) with ``r_gram``, the gram that the fewest packets hold of those that were looked at."""
+    grams = settle(rules.select(F.explode("r_grams").alias("gram")).distinct(), "grams")
+    seen = packets.where(F.pmod(F.xxhash64("packet_id"), F.lit(LOOK_AT)) == 0).select(F.explode(_grams(F.lower(F.coalesce(F.col("payload").cast("string"), F.lit(""))))).alias("gram"))
+    counts = settle(seen.join(broadcast_if_small(grams), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram-counts")
+    numbered = settle(rules.withColumn("_rule", F.monotonically_increasing_id()), "rules")
+    each = numbered.select("_rule", F.explode("r_grams").alias("gram")).join(broadcast_if_small(counts), "gram", "left")
+    rarest = each.groupBy("_rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("one")).select("_rule", F.col("one.gram").alias("r_gram"))
+    return numbered.join(rarest, "_rule").drop("_rule")
+
+
+def gram_probes(packets: DataFrame) -> DataFrame:
+    """One row per packet and distinct gram of its lower-cased payload ``_text``."""
+    return packets.withColumn("_gram", F.explode(_grams(F.lower("_text"))))
+
+
 def match_rules(packets: DataFrame, rules: DataFrame, variables: dict[str, str] | None = None, salts: int = SALTS) -> DataFrame:
     """One row per packet and rule that matches it.
 
@@ -90,24 +144,37 @@ def match_rules(packets: DataFrame, rules: DataFrame, variables: dict[str, str]
     broadcast and the packets never move. A larger rule table is copied over
     ``salts`` values and both sides shuffle on (protocol, port, salt), because
     the any-port keys alone could hold every packet.
+
+    Where many rules have a content, one gram of each is a key instead: a packet's grams
+    meet the index by an equi-join, and the whole rule is tested on the few that meet.
     """
-    table = _resolved(rules, variables or HOME_NET)
+    table = settle(_rule_grams(_resolved(rules, variables or HOME_NET)), "rules")
     text = F.col("payload").cast("string")
-    probes = packets.withColumns({"_text": F.coalesce(text, F.lit("")), "_dst": ip_number(F.col("dst_ip")), "_src": ip_number(F.col("src_ip"))}).withColumn("_port", F.explode(F.array(F.coalesce(F.col("dst_port"), F.lit(ANY_PORT - 1)), F.lit(ANY_PORT))))
+    probes = packets.withColumns({"_text": F.coalesce(text, F.lit("")), "_dst": ip_number(F.col("dst_ip")), "_src": ip_number(F.col("src_ip"))})
+    port = F.coalesce(F.col("dst_port"), F.lit(ANY_PORT - 1))
+    renamed = {
+        "sid": "r_sid", "rev": "r_rev", "msg": "r_msg",
+        "df_track": "r_track", "df_count": "r_count", "df_seconds": "r_seconds",
+    }
+    shown = lambda met: met.select(*packets.columns, *[F.col(old).alias(new) for new, old in renamed.items()])
+    small = is_small(table)
+    found = []
+    if small and table.where(F.size("r_grams") > 0).count() >= INDEX_FROM:
+        index = gram_index(packets, table.where(F.size("r_grams") > 0))
+        on = (F.col("_gram") == F.col("r_gram")) & (F.col("protocol") == F.col("r_proto")) & ((F.col("r_port") == ANY_PORT) | (F.col("r_port") == port))
+        # The rules are below the checked size, and each stands in the index once.
+        found.append(shown(gram_probes(probes).join(F.broadcast(index), on & _rule_holds(), "inner")))
+        table = table.where(F.size("r_grams") == 0)
+    probes = probes.withColumn("_port", F.explode(F.array(port, F.lit(ANY_PORT))))
     on = (F.col("protocol") == F.col("r_proto")) & (F.col("_port") == F.col("r_port"))
-    if is_small(table):
+    if small:
         table = F.broadcast(table)
     else:
         table = table.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         probes = probes.withColumn("_salt", F.pmod(F.xxhash64("packet_id"), F.lit(salts)).cast("int"))
         on = on & (F.col("_salt") == F.col("r_salt"))
-    renamed = {
-        "sid": "r_sid", "rev": "r_rev", "msg": "r_msg",
-        "df_track": "r_track", "df_count": "r_count", "df_seconds": "r_seconds",
-    }
-    return probes.join(table, on & _rule_holds(), "inner").select(
-        *packets.columns, *[F.col(old).alias(new) for new, old in renamed.items()]
-    )
+    found.append(shown(probes.join(table, on & _rule_holds(), "inner")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _side(track: str):

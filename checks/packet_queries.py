@@ -87,6 +87,69 @@ def j1(spark, sf):
     return joins.match_rules(inputs.packets(spark, sf), inputs.rules(spark)).select("packet_id", "sid", "rev", "msg")
 
 
+#: Rules that matching cannot judge, one shape per ``event_id % 16``, with the reason; the last two are whole.
+ODD_RULES = (
+    ('alert tcp any any -> any 80 (pcre:"/evil/"; sid:{};)', "option pcre"),
+    ('alert tcp any any -> any 80 (flow:to_client; sid:{};)', "flow"),
+    ('alert tcp any any -> any 80 (dsize:>1000; sid:{};)', "option dsize"),
+    ('alert tcp any any -> any 80 (content:" the ",offset 500; sid:{};)', "content form"),
+    ('alert icmp any any -> any any (itype:>10; sid:{};)', "itype"),
+    ('alert tcp any any -> any 80 (content:"|20 74 68 65 20|"; sid:{};)', "content form"),
+    ('alert tcp any any -> any [80,443] (msg:"x"; sid:{};)', "port list or range"),
+    ('alert tcp any any -> any 80 (content:!" the "; sid:{};)', "negated content"),
+    ('alert tcp any any -> any 80 (detection_filter: track by_src, count 0, seconds 5; sid:{};)', "threshold"),
+    ('alert tcp any any -> any 80 (flags:F+; sid:{};)', "flags"),
+    ('pass tcp any any -> any 80 (msg:"x"; sid:{};)', "action"),
+    ('alert http any any -> any 80 (msg:"x"; sid:{};)', "protocol"),
+    ('alert tcp any any -> any 80 (msg:"x" sid:{})', "unreadable options"),
+    ('alert tcp any any -> 10.0.0.0/40 80 (msg:"x"; sid:{};)', "unknown network"),
+    ('alert tcp any any -> 1.2.3.4 80 (msg:"x"; sid:{};)', None),
+    ('alert udp 9.9.9.9 any -> any any (content:" the ", nocase, fast_pattern; classtype:x; sid:{};)', None),
+)
+
+
+@query(
+    "J1_unusable_rules",
+    "SELECT CASE WHEN event_id % 16 <> 12 THEN event_id END AS sid, CASE event_id % 16 "
+    + " ".join(f"WHEN {k} THEN '{reason}'" for k, (_, reason) in enumerate(ODD_RULES) if reason) + " END AS reason, 0::BIGINT AS matches FROM events WHERE event_id % 16 < 14",
+)
+def j1_unusable(spark, sf):
+    """Rules with a part that is not evaluated are listed with the reason, and none of them matches a packet."""
+    line = F.lit("")
+    for k, (rule, _) in enumerate(ODD_RULES):
+        before, after = rule.split("{}")
+        line = F.when(F.col("event_id") % 16 == k, F.concat(F.lit(before), F.col("event_id").cast("string"), F.lit(after))).otherwise(line)
+    path = scratch_path(spark, "rules")
+    inputs.table(spark, sf, "events").select(line.alias("value")).write.text(path)
+    rules = read_rules(spark, path)
+    fired = joins.match_rules(inputs.packets(spark, sf), rules).groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    return joins.unusable_rules(rules).join(fired, "sid", "left").select("sid", "reason", F.coalesce("n", F.lit(0)).alias("matches"))
+
+
+PIECE = "[A-Za-z ,.]{12,40}"
+
+
+@query(
+    "J1_many_rules",
+    sql(
+        f"""SELECT packet_id, sid FROM (SELECT packet_id, event_id % (SELECT count(*) FROM documents) AS doc_id, protocol, text IS NOT NULL AND raw_text = '' AS empty, raw_text FROM packets
+          JOIN events ON event_id = packet_id) p
+        JOIN (SELECT d.doc_id, r.doc_id AS sid, d.text FROM documents d JOIN (SELECT doc_id, regexp_extract(text, '{PIECE}') AS piece FROM documents) r
+          ON piece <> '' AND CASE WHEN r.doc_id % 2 = 0 THEN contains(d.text, piece) ELSE contains(lower(d.text), lower(piece)) END) m
+        USING (doc_id) WHERE protocol = CASE WHEN sid % 3 = 0 THEN 'udp' ELSE 'tcp' END AND raw_text = m.text""",
+        "packets",
+    ),
+)
+def j1_many(spark, sf):
+    """A rule for each document, with a piece of its text, so the rules grow with the table."""
+    piece, n = F.regexp_extract("text", PIECE, 0), F.col("doc_id")
+    head = F.concat(F.lit("alert "), F.when(n % 3 == 0, "udp").otherwise("tcp"), F.lit(' any any -> any any (content:"'), piece, F.lit('"'))
+    line = F.concat(head, F.when(n % 2 == 1, ", nocase").otherwise(""), F.lit("; sid:"), n.cast("string"), F.lit(";)"))
+    path = scratch_path(spark, "rules")
+    inputs.table(spark, sf, "documents").where(piece != "").select(line.alias("value")).write.text(path)
+    return joins.match_rules(inputs.packets(spark, sf), read_rules(spark, path)).select("packet_id", "sid")
+
+
 @query("W1_thresholds_of_rules", sql("SELECT packet_id, sid FROM detected", "packets", "matches", "detected"))
 def w1_rules(spark, sf):
     matched = joins.match_rules(inputs.packets(spark, sf), inputs.rules(spark)).drop("payload")

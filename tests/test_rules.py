@@ -197,12 +197,12 @@ def test_rules_that_cannot_be_judged(spark):
     texts = [
         'alert tcp any any -> any [80,443] (msg:"a"; sid:1;)', 'alert tcp any any -> any 1:1024 (msg:"a"; sid:2;)', 'alert tcp any any <> any 80 (msg:"a"; sid:3;)',
         'alert tcp any any -> any 80 (content:!"abc"; sid:4;)', 'alert tcp any any -> any 80 (detection_filter: track by_src, count 2; sid:5;)',
-        'alert tcp any any -> $OTHER_NET 80 (msg:"a"; sid:6;)', 'alert ip $EXTERNAL_NET any -> any any (msg:"a"; sid:7;)', 'alert tcp 10.9.9.9 any -> any 80 (msg:"a"; sid:8;)',
+        'alert tcp any any -> $OTHER_NET 80 (msg:"a"; sid:6;)', 'alert tcp any any -> 10.0.0.0/33 80 (msg:"a"; sid:9;)', 'alert ip $EXTERNAL_NET any -> any any (msg:"a"; sid:7;)', 'alert tcp 10.9.9.9 any -> any 80 (msg:"a"; sid:8;)',
     ]
     table = rules_io.rules_from_lines(spark.createDataFrame([(t,) for t in texts], "value string"))
     reasons = {r.sid: r.reason for r in joins.unusable_rules(table).collect()}
     assert reasons == {
-        1: "port list or range", 2: "port list or range", 3: "both directions", 4: "negated content", 5: "incomplete threshold", 6: "unknown network"
+        1: "port list or range", 2: "port list or range", 3: "both directions", 4: "negated content", 5: "incomplete threshold", 6: "unknown network", 9: "unknown network"
     }
     packets = spark.createDataFrame(
         [(1, "tcp", "10.9.9.9", 5, "1.2.3.4", 80), (2, "tcp", "10.9.9.8", 5, "1.2.3.4", 80), (3, "udp", "10.0.0.1", 5, "1.2.3.4", 9)],
@@ -230,3 +230,67 @@ def test_many_thresholds_in_one_plan(spark):
         if sum(t - seconds < int(r[4][-2:]) <= t for r in same) >= count:
             want.add(k)
     assert got == want
+
+
+PACKET = "packet_id long, protocol string, src_ip string, src_port int, dst_ip string, dst_port int, payload string, tcp_flags string, itype int, icode int, to_server boolean, established boolean"
+
+
+def packet_table(spark, rows):
+    return spark.createDataFrame(rows, PACKET).withColumn("payload", F.col("payload").cast("binary"))
+
+
+def test_rules_fail_closed(spark):
+    """Whatever a rule holds beside what matching evaluates, it is listed with a reason and matches nothing."""
+    odd = {
+        'pcre:"/evil/"': "option pcre", "flow:to_client": "flow", "flow:established,stateless": "flow", "flow": "flow", "dsize:>1000": "option dsize",
+        'content:"GET",offset 500': "content form", 'content:"GET"; offset:500': "option offset", 'content:"GET"; nocase': "option nocase", "itype:>10": "itype", "icode:1:5": "icode",
+        'content:"|47 45 54|"': "content form", "content:GET": "content form", 'content:"a\\|b"': "content form", 'content:""': "content form", 'content:! "GET"': "negated content", "flags:+F": "flags", "flags:F,x": "flags",
+        "flags:F; flags:S": "repeated flags", "rev:x": "rev", "detection_filter: track by_src, count 2, seconds 0": "threshold", "detection_filter: track by_src, count 2": "incomplete threshold",
+        "detection_filter: track by_src, count 2, seconds 5, apply x": "threshold", "detection_filter: track by_src, count 99999999999, seconds 5": "threshold", "gid:3": "option gid", "itype:": "itype", 'msg:"a" extra "': "unreadable options",
+    }
+    lines = [(f"alert tcp any any -> any 80 ({o}; sid:{k};)",) for k, o in enumerate(odd)]
+    more = [("log tcp any any -> any 80 (sid:100;)", "action"), ("alert ssl any any -> any 80 (sid:101;)", "protocol"), ("alert tcp any any -> any 80 (sid:1x;)", "sid"), ("alert tcp any any -> any 80 (rev:1 sid:103)", "unreadable options")]
+    table = rules_io.rules_from_lines(spark.createDataFrame(lines + [(r,) for r, _ in more], "value string"))
+    listed = {r.rule_text: r.reason for r in joins.unusable_rules(table).collect()}
+    assert [listed.get(x[0]) for x in lines] == list(odd.values()) and [listed.get(r) for r, _ in more] == [x for _, x in more]
+    packets = packet_table(spark, [(1, "tcp", "1.1.1.1", 5, "2.2.2.2", 80, "GET / HTTP", "F", None, None, True, True), (2, "icmp", "1.1.1.1", 5, "2.2.2.2", 80, "GET evil", None, 3, 1, True, True)])
+    assert joins.match_rules(packets, table).count() == 0
+    unread = rules_io.unread_lines(spark.createDataFrame([("alert http (msg:1)",), ("# alert x",), ("include y",), ('alert tcp any any -> any any (msg:"x";)',)], "value string"))
+    assert [tuple(r) for r in unread.collect()] == [("alert http (msg:1)", "unreadable header")]
+
+
+def test_whole_rules_still_match(spark):
+    lines = [
+        'alert tcp any any -> any any (flags:AP; sid:1;)', 'drop tcp any any -> any any (flags:PA,12; sid:2;)', 'alert tcp any any -> any any (content:"a\\\\b\\;"; sid:3;)',
+        'alert tcp any any -> any any (content:"GET", fast_pattern , nocase; metadata:a b, c d; reference:url,x; sid:4;)', 'alert tcp any any -> any any (content:"get"; fast_pattern; classtype:x; sid:5;)',
+    ]
+    table = rules_io.rules_from_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted((r.sid, r.reason) for r in joins.unusable_rules(table).collect()) == []
+    packets = packet_table(spark, [(1, "tcp", "1.1.1.1", 5, "2.2.2.2", 80, "gEt a\\b;", "PA", None, None, True, True), (2, "tcp", "1.1.1.1", 5, "2.2.2.2", 80, "", "P", None, None, True, True)])
+    assert sorted((r.packet_id, r.sid) for r in joins.match_rules(packets, table).collect()) == [(1, 1), (1, 2), (1, 3), (1, 4)]
+
+
+def test_fifty_thousand_rules(spark, sf, monkeypatch):
+    """Many rules are found by their grams: equal to a test of every pair, with few candidates."""
+    words = [r.w for r in inputs.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("w")).where("length(w) >= 6 AND NOT w RLIKE '[^a-z]'").distinct().orderBy("w").limit(40).collect()]
+    texts = [f"{words[k % 40]} {words[k * 7 % 40]}" if k % 1000 == 0 else f"rare{k} {words[k % 40]}" for k in range(50_000)]
+    rules = spark.createDataFrame([(f'alert tcp any any -> any any (content:"{t}"{", nocase" if k % 2 else ""}; sid:{k};)',) for k, t in enumerate(texts)], "value string")
+    held = [f"x {texts[1000 * k]} RARE{k * 77} {words[k * 77 % 40]} {texts[k * 77].upper()} \u0130\u03a3 {texts[k * 13]}" for k in range(40)] + ["", "abc", "\u00e9" * 40]
+    packets = packet_table(spark, [(k, "tcp", "1.1.1.1", 5, "2.2.2.2", 80, t, None, None, None, True, True) for k, t in enumerate(held)])
+    table = rules_io.rules_from_lines(rules)
+    got = sorted((r.packet_id, r.sid) for r in joins.match_rules(packets, table).collect())
+    want = sorted((p, k) for p, t in enumerate(held) for k, c in enumerate(texts) if (c.lower() in t.lower() if k % 2 else c in t))
+    assert got == want and len(want) > 80
+    monkeypatch.setattr(joins, "LOOK_AT", 1)
+    usable = joins._rule_grams(joins._resolved(table, joins.HOME_NET))
+    probes = joins.gram_probes(packets.withColumn("_text", F.col("payload").cast("string")))
+    candidates = probes.join(joins.gram_index(packets, usable), F.col("_gram") == F.col("r_gram")).count()
+    assert len(want) <= candidates < len(held) * 50_000 / 50
+
+
+def test_grams_lose_no_match(spark, sf, monkeypatch):
+    packets, rules = inputs.packets(spark, sf), inputs.rules(spark)
+    pairs = lambda df: sorted((r["packet_id"], r["sid"]) for r in df.select("packet_id", "sid").collect())
+    plain = pairs(joins.match_rules(packets, rules))
+    monkeypatch.setattr(joins, "INDEX_FROM", 1)
+    assert pairs(joins.match_rules(packets, rules)) == plain and plain
