@@ -1,57 +1,64 @@
-"""Consecutive numbers over a whole table without gathering it in one task."""
+"""Numbers and running totals over a whole table without gathering it, or one of its keys, in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from alertloom.runtime import settle
+from alertloom.runtime import broadcast_if_small, settle
 
-BUCKETS = 64
+#: Consecutive rows of a partition that one window holds.
+BLOCK = 1 << 16
+IN_TASK = (1 << 33) - 1
 
 
-def by_quantile(df: DataFrame, key: str, buckets: int = BUCKETS) -> Column:
-    """Bucket number that grows with the key and holds about equally many rows.
+def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``_part`` and ``_at``, two numbers that follow the order of ``keys``.
 
-    The bounds are at most ``buckets`` numbers and become literals of the plan, so
-    every later evaluation agrees on them.
+    Partitions are ranges of the keys with about equally many rows, as many as the session
+    shuffles to; a common leading key is cut by the keys after it. What is equal in
+    all keys stays together.
     """
-    bounds = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.002)))
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The place in the task is part of what is written, so reading it back in other pieces changes nothing.
+    placed = settle(dealt.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    return placed.withColumn("_part", F.shiftright("_at", 33))
 
-    def place(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(key) <= F.lit(bounds[middle]), place(low, middle)).otherwise(place(middle + 1, high))
 
-    return place(0, len(bounds))
+def _before(sizes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The total of ``value`` over all rows before, in the order of ``keys``; for tables of one row a partition or block."""
+    return sizes.select(*keys, (F.sum(value).over(Window.orderBy(*keys)) - F.col(value)).alias("_before"))
 
 
-def number_rows(df: DataFrame, order: list[str], bucket: Column, start: int, name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
     """Add ``name``: start, start + 1, … in the order of the ``order`` columns.
 
-    ``bucket`` must not decrease along that order and has at most 256 values, which
-    bounds the histogram that is broadcast. Rows are numbered inside their bucket;
-    the rows of all lower buckets are added from the histogram.
+    Rows are range-partitioned and keep their place in the partition; the rows of all
+    partitions before are added from one count for each partition. The number of
+    partitions follows the session and the table, and nothing else is bounded.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per bucket: the window below is bounded by the number of buckets.
-    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    return (
-        keyed.join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.row_number().over(inside).cast("long") + F.col("_before") + F.lit(start - 1))
-        .drop("_bucket", "_before")
-    )
+    placed = ordered(df, order)
+    before = _before(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), ["_part"], "_n")
+    # One row for each partition.
+    joined = placed.join(F.broadcast(before), "_part")
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit(IN_TASK)) + F.lit(start)
+    return joined.withColumn(name, number.cast("long")).drop("_part", "_at", "_before")
 
 
-def number_texts(df: DataFrame, text: str, start: int, name: str) -> DataFrame:
-    """Number the distinct values of a text column, in the order of their digests.
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows up to this one in the order of the ``order`` columns.
 
-    The leading hex digits of a digest are a uniform bucket; equal texts get one number.
+    Two levels: a window within each block of ``BLOCK`` consecutive rows of a partition, and
+    the totals of the blocks before.
     """
-    values = settle(df.select(text).distinct(), "texts").withColumn("_digest", F.md5(text))
-    bucket = F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int")
-    numbered = number_rows(values, ["_digest"], bucket, start, name).select(text, name)
-    return df.join(numbered, text)
+    placed = ordered(df, order).withColumn("_block", F.shiftright(F.col("_at").bitwiseAND(F.lit(IN_TASK)), BLOCK.bit_length() - 1))
+    keys = ["_part", "_block"]
+    before = _before(placed.groupBy(*keys).agg(F.sum(value).alias("_n")), keys, "_n")
+    upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.withColumn(name, F.sum(value).over(upto))
+    return inside.join(broadcast_if_small(before), keys).withColumn(name, F.col(name) + F.col("_before")).drop(*keys, "_at", "_before")
+
+
+def number_texts(df: DataFrame, text: str, start: int, name: str) -> DataFrame:
+    """Number the distinct values of a text column, in the order of their digests; equal texts get one number."""
+    values = df.select(text).distinct().withColumn("_digest", F.md5(text))
+    return df.join(number_rows(values, ["_digest"], start, name).select(text, name), text)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from alertloom.operators.numbering import running_total
+
 MICROS = 1_000_000
 
 
@@ -11,75 +15,59 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _in_slices(df: DataFrame, ts: str, seconds: int, slices: int) -> DataFrame:
-    """Cut each group into time slices so that no group is one task.
+def _instants(df: DataFrame, group: list[str], value: Column | None = None) -> DataFrame:
+    """(group, _t, _n): rows per group and instant, or the sum of ``value``; combined before the shuffle."""
+    return df.groupBy(*group, "_t").agg((F.count(F.lit(1)) if value is None else F.sum(value)).cast("long").alias("_n"))
+
 
-    A slice is ``slices`` windows long. Rows of the last window of a slice are
-    also sent ahead to the next slice as context (``_own`` false), which makes
-    every look-back of ``seconds`` local to a slice.
+def _in_reach(instants: DataFrame, group: list[str], micros: Column) -> DataFrame:
+    """(group, _t, _n): what the instants of (t - micros, t] hold together, for each instant t of a group.
+
+    Range counting by two lookups in one running total. Each instant is put in twice, at t
+    with its rows and at t - micros with none, and the total over all groups' instants, which are
+    sorted by group and time, is taken at both places; rows of earlier groups cancel out. So a
+    source with any number of rows or instants, in one second or many, is spread over
+    partitions like all other rows.
     """
-    length = seconds * MICROS * slices
-    t = F.col("_t")
-    within = F.pmod(t, F.lit(length))
-    start = t - within
-    own = F.struct(start.alias("s"), F.lit(True).alias("o"))
-    ahead = F.struct((start + length).alias("s"), F.lit(False).alias("o"))
-    copies = F.when(within >= F.lit(length - seconds * MICROS), F.array(own, ahead)).otherwise(F.array(own))
-    return (
-        df.withColumn("_t", _micros(ts))
-        .withColumn("_copy", F.explode(copies))
-        .withColumns({"_slice": F.col("_copy.s"), "_own": F.col("_copy.o")})
-        .drop("_copy")
-    )
-
-
-def detection_filter(
-    matches: DataFrame, track: str, count: int, seconds: int, rule: str = "sid", ts: str = "ts", slices: int = 4
-) -> DataFrame:
+    at = F.struct(F.col("_t").alias("_when"), F.lit(0).alias("_kind"), F.col("_n").alias("_weight"))
+    reach = F.struct((F.col("_t") - micros).alias("_when"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_weight"))
+    points = instants.withColumn("_point", F.explode(F.array(at, reach))).select(*group, "_t", "_point.*")
+    # What lies at t - micros itself is out of reach, so its rows come before the lookup.
+    totals = running_total(points, [*group, "_when", "_kind", "_t"], "_weight", "_total")
+    upto = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_total")))
+    return totals.groupBy(*group, "_t").agg((upto(0) - upto(1)).alias("_n"))
+
+
+def _at_instants(df: DataFrame, instants: DataFrame, group: list[str], how: str) -> DataFrame:
+    """Join rows with facts about their group and instant, nulls equal."""
+    keys = [*group, "_t"]
+    other = instants.withColumnsRenamed({c: f"_i{c}" for c in keys})
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_i{c}")) for c in keys])
+    return df.join(other, on, how)
+
+
+def detection_filter(matches: DataFrame, track: str, count: int, seconds: int, rule: str = "sid", ts: str = "ts") -> DataFrame:
     """Matches whose source has at least ``count`` matches of the rule in (t - seconds, t].
 
-    Equal timestamps count for each other. A source with very many matches is
-    spread over the slices of its time span; at most one row in ``slices`` is copied.
+    Equal timestamps count for each other. Rows are counted by instant first, so no
+    source, however many rows it sends and in however short a time, is one task's work.
     """
-    cut = _in_slices(matches, ts, seconds, slices)
-    back = (
-        Window.partitionBy(rule, track, "_slice").orderBy("_t").rangeBetween(-(seconds * MICROS - 1), Window.currentRow)
-    )
-    return (
-        cut.withColumn("_n", F.count(F.lit(1)).over(back))
-        .where(F.col("_own") & (F.col("_n") >= count))
-        .select(*matches.columns)
-    )
-
-
-def detection_filters(matches: DataFrame, src: str = "src_ip", dst: str = "dst_ip", ts: str = "ts", slices: int = 4) -> DataFrame:
+    group = [rule, track]
+    timed = matches.withColumn("_t", _micros(ts))
+    reached = _in_reach(_instants(timed, group), group, F.lit(seconds * MICROS)).where(F.col("_n") >= count).select(*group, "_t")
+    return _at_instants(timed, reached, group, "left_semi").select(*matches.columns)
+
+
+def detection_filters(matches: DataFrame, src: str = "src_ip", dst: str = "dst_ip", ts: str = "ts") -> DataFrame:
     """Apply each matched rule's own threshold; rules without one pass unchanged.
 
-    Count and seconds stay columns, so the plan is one pass however many thresholds the
-    rules have. Rows are numbered by time within (rule, source, slice), a slice being as
-    long as the row's own seconds ask for; a row passes if the row that lies ``count - 1``
-    places before the last one of its instant is inside the seconds. The two meet by an
-    equi-join on that number.
+    Count and seconds stay columns, so the plan is one pass however many thresholds the rules have.
     """
-    columns = matches.columns
-    window = F.col("df_seconds").cast("long") * MICROS
     bounded = matches.where(F.col("df_count").isNotNull()).withColumns({"_t": _micros(ts), "_who": F.when(F.col("df_track") == "by_dst", F.col(dst)).otherwise(F.col(src))})
-    start = F.col("_t") - F.pmod("_t", window * slices)
-    own, ahead = F.struct(start.alias("s"), F.lit(True).alias("o")), F.struct((start + window * slices).alias("s"), F.lit(False).alias("o"))
-    copies = F.when(F.pmod("_t", window * slices) >= window * (slices - 1), F.array(own, ahead)).otherwise(F.array(own))
-    cut = bounded.withColumn("_copy", F.explode(copies)).withColumns({"_slice": F.col("_copy.s"), "_own": F.col("_copy.o")})
-    group = ["sid", "df_track", "_who", "df_count", "df_seconds", "_slice"]
-    by_time = Window.partitionBy(*group).orderBy("_t")
-    numbered = cut.withColumns({
-        "_place": F.row_number().over(by_time),
-        "_upto": F.count(F.lit(1)).over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-    })
-    earlier = numbered.select(*[F.col(c).alias(f"_e{c}") for c in group], F.col("_place").alias("_e_place"), F.col("_t").alias("_e_t"))
-    on = F.col("_upto") - F.col("df_count") + 1 == F.col("_e_place")
-    for c in group:
-        on &= F.col(c).eqNullSafe(F.col(f"_e{c}"))
-    passed = numbered.where("_own").join(earlier, on).where(F.col("_e_t") > F.col("_t") - F.col("df_seconds").cast("long") * MICROS)
-    return matches.where(F.col("df_count").isNull()).unionByName(passed.select(*columns))
+    group = ["sid", "df_track", "_who", "df_count", "df_seconds"]
+    reached = _in_reach(_instants(bounded, group), group, F.col("df_seconds").cast("long") * MICROS)
+    passed = _at_instants(bounded, reached.where(F.col("_n") >= F.col("df_count")).drop("_n"), group, "left_semi")
+    return matches.where(F.col("df_count").isNull()).unionByName(passed.select(*matches.columns))
 
 
 def _of_rule(gid: int, sid: int) -> Column:
@@ -110,22 +98,18 @@ def event_filter(
 
 def rate_filter(
     alerts: DataFrame, gid: int, sid: int, track: str, count: int, seconds: int, new_action: str, timeout: int,
-    ts: str = "event_ts", action: str = "action", slices: int = 4,
+    ts: str = "event_ts", action: str = "action",
 ) -> DataFrame:
     """Switch the action of one rule while its rate is exceeded.
 
     The rate is exceeded at an alert that is at least the ``count``-th in
-    (t - seconds, t]; the new action holds for alerts in [t, t + timeout).
+    (t - seconds, t]; the new action holds for alerts in [t, t + timeout). Both are range
+    counts over instants: of alerts, then of the instants at which the rate is exceeded.
     """
-    # The look-back covers the held crossing and the alerts that led to it.
-    cut = _in_slices(alerts.where(_of_rule(gid, sid)), ts, seconds + timeout, slices)
-    key = [track, "_slice"]
-    recent = Window.partitionBy(*key).orderBy("_t").rangeBetween(-(seconds * MICROS - 1), Window.currentRow)
-    held = Window.partitionBy(*key).orderBy("_t").rangeBetween(-(timeout * MICROS - 1), Window.currentRow)
-    switched = (
-        cut.withColumn("_over", F.count(F.lit(1)).over(recent) >= count)
-        .withColumn("_held", F.max(F.col("_over").cast("int")).over(held) == 1)
-        .where("_own")
-        .withColumn(action, F.when(F.col("_held"), F.lit(new_action)).otherwise(F.col(action)))
-    )
+    timed = alerts.where(_of_rule(gid, sid)).withColumn("_t", _micros(ts))
+    group = [track]
+    reached = _in_reach(_instants(timed, group), group, F.lit(seconds * MICROS))
+    crossed = reached.withColumn("_n", (F.col("_n") >= count).cast("long"))
+    held = _in_reach(crossed, group, F.lit(timeout * MICROS)).where("_n > 0").select(*group, "_t", F.lit(True).alias("_held"))
+    switched = _at_instants(timed, held, group, "left").withColumn(action, F.when(F.col("_held"), F.lit(new_action)).otherwise(F.col(action)))
     return alerts.where(~_of_rule(gid, sid)).unionByName(switched.select(*alerts.columns))

@@ -47,9 +47,8 @@ def mining_job(prompts: DataFrame, responses: DataFrame, first_sid: int = 100010
     """
     answered = prompts.select("prompt_id", "message").join(responses, "prompt_id")
     cleaned = answered.select("prompt_id", "message", rule_text.sanitise_mined_rule(F.col("response")).alias("rule"))
-    valid = settle(cleaned.where(rule_text.is_mined_rule(F.col("rule"))), "mined")
-    bucket = numbering.by_quantile(valid, "prompt_id")
-    numbered = numbering.number_rows(valid, ["prompt_id"], bucket, first_sid, "sid")
+    valid = cleaned.where(rule_text.is_mined_rule(F.col("rule")))
+    numbered = numbering.number_rows(valid, ["prompt_id"], first_sid, "sid")
     return numbered.withColumn("rule", rule_text.with_mined_sid(F.col("rule"), F.col("sid")))
 
 

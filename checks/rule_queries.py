@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alertloom.functions import rule_text
 from alertloom.operators import dedup, filters, joins, numbering
 from alertloom.plans import jobs
-from alertloom.runtime import scratch_path, settle
+from alertloom.runtime import scratch_path
 from alertloom.sources import rules, suggestions
 from checks import inputs
 from checks.registry import query
@@ -107,8 +107,8 @@ def numbered_mined(source: str, order: str, start: int) -> str:
 def p22(spark, sf):
     response = inputs.mined_responses(F.col("event_type"), F.col("event_id"))
     cleaned = events(spark, sf).select("event_id", rule_text.sanitise_mined_rule(response).alias("rule"))
-    valid = settle(cleaned.where(rule_text.is_mined_rule(F.col("rule"))))
-    numbered = numbering.number_rows(valid, ["event_id"], numbering.by_quantile(valid, "event_id"), 1000100, "sid")
+    valid = cleaned.where(rule_text.is_mined_rule(F.col("rule")))
+    numbered = numbering.number_rows(valid, ["event_id"], 1000100, "sid")
     return numbered.select("event_id", "sid", rule_text.with_mined_sid(F.col("rule"), F.col("sid")).alias("rule"))
 
 
@@ -225,8 +225,8 @@ def s8(spark, sf):
 def s9(spark, sf):
     response = inputs.mined_responses(F.col("event_type"), F.col("event_id"))
     cleaned = events(spark, sf).select("event_id", F.col("event_type").alias("message"), rule_text.sanitise_mined_rule(response).alias("rule"))
-    valid = settle(cleaned.where(rule_text.is_mined_rule(F.col("rule"))))
-    numbered = numbering.number_rows(valid, ["event_id"], numbering.by_quantile(valid, "event_id"), 1000100, "sid")
+    valid = cleaned.where(rule_text.is_mined_rule(F.col("rule")))
+    numbered = numbering.number_rows(valid, ["event_id"], 1000100, "sid")
     path = scratch_path(spark, "mined")
     suggestions.write_mined_rules(numbered.withColumn("rule", rule_text.with_mined_sid(F.col("rule"), F.col("sid"))), path, "events")
     return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))

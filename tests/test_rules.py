@@ -61,8 +61,28 @@ def test_hint_and_prompt(spark):
 
 def test_numbering_is_dense_and_ordered(spark):
     df = spark.range(0, 1000).select(((F.col("id") * 7919) % 1000).alias("k"))
-    got = numbering.number_rows(df, ["k"], numbering.by_quantile(df, "k"), 100, "n").collect()
+    got = numbering.number_rows(df, ["k"], 100, "n").collect()
     assert sorted((r["k"], r["n"]) for r in got) == [(k, k + 100) for k in range(1000)]
+    assert numbering.number_rows(df.limit(0), ["k"], 1, "n").count() == 0
+
+
+def test_numbering_has_no_fixed_parts(spark, monkeypatch):
+    """The rows of a task follow the session's number of partitions, and a common leading key is cut like any other."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("hot"), "id")
+        sizes = [r["count"] for r in numbering.ordered(df, ["hot", "id"]).groupBy("_part").count().collect()]
+        assert len(sizes) >= 30 and max(sizes) < 3 * 20_000 / 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    monkeypatch.setattr(numbering, "BLOCK", 64)
+    totals = numbering.running_total(df, ["id"], "hot", "t").collect()
+    seen = 0
+    for r in sorted(totals, key=lambda r: r.id):
+        seen += r.hot
+        assert r.t == seen
 
 
 RULES = [
@@ -103,10 +123,9 @@ def test_detection_filter(spark):
     times = {"a": [0, 10, 20, 80, 80, 80, 300], "b": [0, 60, 119, 178], "c": [5, 5, 5]}
     rows = [(f"{s}{k}", 1, s, at(t)) for s, ts in times.items() for k, t in enumerate(ts)]
     df = spark.createDataFrame(rows, "id string, sid int, src_ip string, ts timestamp")
-    for slices in (1, 3):
-        got = thresholds.detection_filter(df, "src_ip", 3, 60, slices=slices)
-        # b: 119 - 0 is out of reach and 178, 119, 60 span more than a minute.
-        assert sorted(r["id"] for r in got.collect()) == ["a2", "a3", "a4", "a5", "c0", "c1", "c2"]
+    got = thresholds.detection_filter(df, "src_ip", 3, 60)
+    # b: 119 - 0 is out of reach and 178, 119, 60 span more than a minute.
+    assert sorted(r["id"] for r in got.collect()) == ["a2", "a3", "a4", "a5", "c0", "c1", "c2"]
 
 
 def test_detection_filter_spacing(spark):
@@ -129,6 +148,35 @@ def test_detection_filter_equals_brute_force(spark):
     assert sorted(r["id"] for r in thresholds.detection_filter(df, "src_ip", 6, 30).collect()) == want and want
 
 
+def test_flood_of_one_source(spark, monkeypatch):
+    """One source sends most rows within a second, a third of them at one instant: windows stay small and the answer is that of brute force."""
+    monkeypatch.setattr(numbering, "BLOCK", 256)
+    rows = [(k, 1, "flood", at(100) + timedelta(microseconds=0 if k % 3 == 0 else 97 * k)) for k in range(9000)]
+    rows += [(9000 + k, k % 3, None if k % 7 == 0 else f"s{k % 5}", at(k / 3)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id int, sid int, src_ip string, ts timestamp").withColumn("n", F.lit("kept"))
+    want, sources = [], {}
+    for r in rows:
+        sources.setdefault(r[1:3], []).append(r[3])
+    for r in rows:
+        times = sources[r[1:3]]
+        if r[2] == "flood":
+            # Time runs with the place among the rows that are not at the first instant.
+            n = 3000 + (0 if r[0] % 3 == 0 else r[0] - r[0] // 3)
+        else:
+            n = sum(timedelta(0) <= r[3] - t < timedelta(seconds=30) for t in times)
+        if n >= 6:
+            want.append(r[0])
+    got = thresholds.detection_filter(df, "src_ip", 6, 30)
+    assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+    assert 0 < len([i for i in want if i >= 9000]) < 900
+    alerts = df.selectExpr("id", "1L gid", "1L sid", "src_ip", "ts event_ts", "'alert' action")
+    held = thresholds.rate_filter(alerts, 1, 1, "src_ip", 6, 30, "drop", 40).where("action = 'drop'")
+    crossed = thresholds.detection_filter(df.withColumn("sid", F.lit(1)), "src_ip", 6, 30)
+    reach = alerts.join(crossed.select("src_ip", F.col("ts").alias("c")).distinct(), "src_ip", "left").where("c IS NULL OR (event_ts >= c AND event_ts < c + INTERVAL 40 SECONDS)")
+    named = lambda d: {r.id for r in d.where("src_ip <> 'flood' AND src_ip IS NOT NULL").select("id").collect()}
+    assert named(held) == named(reach.where("c IS NOT NULL")) and held.where("src_ip = 'flood'").count() == 9000
+
+
 def test_suppress_forms(spark):
     alerts = spark.createDataFrame(
         [(1, 1, 5, "a", "x"), (2, 1, 5, "b", "x"), (3, 1, 6, "a", "x"), (4, 2, 5, "c", "y"), (5, 1, 7, "d", "z")],
