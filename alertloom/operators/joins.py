@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.functions.network import NETWORK, cidr_bounds, ip_number
 from alertloom.functions.rule_text import let
+from alertloom.operators.numbering import number_rows, running_totals
 from alertloom.runtime import BROADCAST_ROWS, broadcast_if_small, is_small, settle
 
 HOME_NET = {"HOME_NET": "192.168.1.0/24", "EXTERNAL_NET": "any"}
@@ -266,20 +267,44 @@ def verify_rules(expected: DataFrame, alerts: DataFrame, mode: str = "parsed") -
     )
 
 
-def new_lines(expected_failed: DataFrame, alerts: DataFrame, bucket_seconds: int = 60) -> DataFrame:
-    """What arrived in the window (since, since + wait] of each rule that did not fire.
+def windows_in_pieces(expected: DataFrame, alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, ranges): what arrived in any window (since, since + wait] of the expected rules, each line once.
 
-    Windows and alerts meet on time buckets, so this too is an equi-join.
+    The windows' bounds cut time into disjoint pieces, numbered in the order of time. A line
+    gets the piece it lies in, and a rule the first and last piece of its window, so nothing
+    is as large as lines times rules. ``lines`` are the alerts with ``piece``, ``ranges`` is (expected_sid, since,
+    first_piece, last_piece); :func:`expand_lines` puts them together.
+
+    Bounds and lines are sorted together, and two running totals tell a line how many
+    bounds lie before it and how many windows are open there.
     """
-    seconds = lambda c: F.floor(F.unix_micros(c) / F.lit(bucket_seconds * 1_000_000))
     until = F.col("since") + F.make_dt_interval(secs=F.col("wait_seconds"))
-    windows = expected_failed.select(
-        F.col("sid").alias("expected_sid"), "since", until.alias("_until"),
-        F.explode(F.sequence(seconds(F.col("since")), seconds(until))).alias("_bucket"),
-    )
-    placed = alerts.withColumn("_bucket", seconds(F.col("event_ts")))
-    inside = (F.col("event_ts") > F.col("since")) & (F.col("event_ts") <= F.col("_until"))
-    return placed.join(broadcast_if_small(windows), "_bucket").where(inside).select("expected_sid", "since", "line", "pos")
+    windows = settle(expected.select("sid", "since", until.alias("_until")).distinct(), "windows")
+    ends = windows.select(F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("_until").alias("at"), F.lit(-1).alias("opens")))).alias("e"))
+    bounds = settle(ends.select("e.*").groupBy("at").agg(F.sum("opens").alias("opens")), "bounds")
+    numbered = number_rows(bounds, ["at"], 1, "piece").select("at", "piece")
+    by = lambda c, name: numbered.select(F.col("at").alias(c), F.col("piece").alias(name))
+    ranges = windows.join(by("since", "first_piece"), "since").join(by("_until", "_after"), "_until").where("first_piece < _after")
+    ranges = ranges.select(F.col("sid").alias("expected_sid"), "since", "first_piece", (F.col("_after") - 1).alias("last_piece"))
+
+    columns = [F.col(f"`{c}`") for c in alerts.columns]
+    placed = alerts.select(F.struct(*columns).alias("_row"), F.col("event_ts").alias("_at_ts"), F.lit(0).alias("_bound"), F.lit(0).cast("long").alias("_opens"))
+    marks = bounds.select(F.lit(None).cast(placed.schema["_row"].dataType).alias("_row"), F.col("at").alias("_at_ts"), F.lit(1).alias("_bound"), F.col("opens").alias("_opens"))
+    # A window leaves out its start and holds its end, so of one instant the lines come first.
+    totals = running_totals(placed.where("_at_ts IS NOT NULL").unionByName(marks), ["_at_ts", "_bound", "_row"], {"piece": "_bound", "_open": "_opens"})
+    return totals.where("_bound = 0 AND _open > 0").select("_row.*", "piece"), ranges
+
+
+def expand_lines(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """One row per rule and line in its window; for the few rules that someone looks at."""
+    pieces = ranges.withColumn("piece", F.explode(F.sequence("first_piece", "last_piece"))).select("expected_sid", "since", "piece")
+    return lines.join(broadcast_if_small(pieces), "piece").drop("piece")
+
+
+def new_lines(expected_failed: DataFrame, alerts: DataFrame) -> DataFrame:
+    """What arrived in the window (since, since + wait] of each rule that did not fire."""
+    lines, ranges = windows_in_pieces(expected_failed, alerts.select("event_ts", "line", "pos"))
+    return expand_lines(lines, ranges).select("expected_sid", "since", "line", "pos")
 
 
 def tag_service(flows: DataFrame, bindings: DataFrame, protocol: str = "protocol", port: str = "dst_port") -> DataFrame:

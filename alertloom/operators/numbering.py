@@ -24,11 +24,6 @@ def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
     return placed.withColumn("_part", F.shiftright("_at", 33))
 
 
-def _before(sizes: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The total of ``value`` over all rows before, in the order of ``keys``; for tables of one row a partition or block."""
-    return sizes.select(*keys, (F.sum(value).over(Window.orderBy(*keys)) - F.col(value)).alias("_before"))
-
-
 def number_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
     """Add ``name``: start, start + 1, … in the order of the ``order`` columns.
 
@@ -37,25 +32,29 @@ def number_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataF
     partitions follows the session and the table, and nothing else is bounded.
     """
     placed = ordered(df, order)
-    before = _before(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), ["_part"], "_n")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row for each partition.
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     joined = placed.join(F.broadcast(before), "_part")
     number = F.col("_before") + F.col("_at").bitwiseAND(F.lit(IN_TASK)) + F.lit(start)
     return joined.withColumn(name, number.cast("long")).drop("_part", "_at", "_before")
 
 
-def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over all rows up to this one in the order of the ``order`` columns.
+def running_totals(df: DataFrame, order: list[str], totals: dict[str, str]) -> DataFrame:
+    """Add columns ``name: value``: the sum of ``value`` over all rows up to this one in the order of the ``order`` columns.
 
     Two levels: a window within each block of ``BLOCK`` consecutive rows of a partition, and
     the totals of the blocks before.
     """
     placed = ordered(df, order).withColumn("_block", F.shiftright(F.col("_at").bitwiseAND(F.lit(IN_TASK)), BLOCK.bit_length() - 1))
     keys = ["_part", "_block"]
-    before = _before(placed.groupBy(*keys).agg(F.sum(value).alias("_n")), keys, "_n")
+    # One row for each block.
+    blocks = placed.groupBy(*keys).agg(*[F.sum(value).alias(f"_of_{name}") for name, value in totals.items()])
+    before = blocks.select(*keys, *[(F.sum(f"_of_{name}").over(Window.orderBy(*keys)) - F.col(f"_of_{name}")).alias(f"_of_{name}") for name in totals])
     upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = placed.withColumn(name, F.sum(value).over(upto))
-    return inside.join(broadcast_if_small(before), keys).withColumn(name, F.col(name) + F.col("_before")).drop(*keys, "_at", "_before")
+    inside = placed.withColumns({name: F.sum(value).over(upto) for name, value in totals.items()})
+    joined = inside.join(broadcast_if_small(before), keys)
+    return joined.withColumns({name: F.col(name) + F.col(f"_of_{name}") for name in totals}).drop(*keys, "_at", *[f"_of_{name}" for name in totals])
 
 
 def number_texts(df: DataFrame, text: str, start: int, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from alertloom.operators.numbering import running_total
+from alertloom.operators.numbering import running_totals
 
 MICROS = 1_000_000
 
@@ -33,7 +33,7 @@ def _in_reach(instants: DataFrame, group: list[str], micros: Column) -> DataFram
     reach = F.struct((F.col("_t") - micros).alias("_when"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_weight"))
     points = instants.withColumn("_point", F.explode(F.array(at, reach))).select(*group, "_t", "_point.*")
     # What lies at t - micros itself is out of reach, so its rows come before the lookup.
-    totals = running_total(points, [*group, "_when", "_kind", "_t"], "_weight", "_total")
+    totals = running_totals(points, [*group, "_when", "_kind", "_t"], {"_total": "_weight"})
     upto = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_total")))
     return totals.groupBy(*group, "_t").agg((upto(0) - upto(1)).alias("_n"))
 

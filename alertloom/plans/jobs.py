@@ -11,6 +11,7 @@ from alertloom.operators import alerts as A, dedup, filters, joins, numbering, r
 from alertloom.operators.union import union_datasets
 from alertloom.runtime import require_rows, settle
 from alertloom.sources.rules import append_rules
+from alertloom.sources.suggestions import new_suggestions, write_suggestions
 
 
 def alerts_job(lines: DataFrame, suppressions: DataFrame, year: int, zone: str = "+00:00") -> DataFrame:
@@ -52,17 +53,23 @@ def mining_job(prompts: DataFrame, responses: DataFrame, first_sid: int = 100010
     return numbered.withColumn("rule", rule_text.with_mined_sid(F.col("rule"), F.col("sid")))
 
 
-def packet_suggestions(responses: DataFrame, first_sid: int, known: DataFrame | None = None) -> DataFrame:
+def packet_suggestions(responses: DataFrame, first_sid: int, known: DataFrame | None = None, store: str | None = None) -> DataFrame:
     """Answers to packet prompts as numbered rules that are not known yet.
 
     Rules that differ in number only are one rule, so it gets one number however
-    many packets led to it. ``known`` is (rule_key, …).
+    many packets led to it. ``known`` is (rule_key, …). With ``store`` the rules of that
+    suggestion store are known too, and the new ones are appended to it.
     """
     cleaned = responses.select(rule_text.sanitise_packet_rule(F.col("response"))["rule"].alias("rule")).where("rule IS NOT NULL")
     keyed = cleaned.groupBy(rule_text.without_identity(F.col("rule")).alias("rule_key")).agg(F.min("rule").alias("rule"))
     fresh = dedup.drop_known_rules(keyed, known) if known is not None else keyed
+    fresh = new_suggestions(fresh, store) if store is not None else fresh
     numbered = numbering.number_texts(settle(fresh, "suggested"), "rule_key", first_sid, "sid")
-    return numbered.withColumn("rule", rule_text.with_sid(F.col("rule"), F.col("sid")))
+    rules = numbered.withColumn("rule", rule_text.with_sid(F.col("rule"), F.col("sid")))
+    if store is not None:
+        rules = settle(rules, "numbered")
+        write_suggestions(rules, store)
+    return rules
 
 
 def approval_job(suggestions: DataFrame, decisions: DataFrame, store: str | None = None) -> DataFrame:
@@ -81,23 +88,19 @@ def approval_job(suggestions: DataFrame, decisions: DataFrame, store: str | None
 
 
 def labelled_features(flows: DataFrame, label_mode: str = "reference") -> DataFrame:
-    """Flow rows as feature rows; the file position stays as the row key."""
+    """Flow rows as feature rows."""
     named = flows.select(
-        "file", "block", "seq", "dest_port",
+        "dest_port",
         features.message_from_dataset(F.col("headerless"), F.col("attack_cat"), F.col("raw_label")).alias("message"),
         features.binarise_label(F.col("raw_label"), label_mode).alias("label"),
     )
-    return features.engineer_features(named, keep=("file", "block", "seq", "label"))
+    return features.engineer_features(named, keep=("label",))
 
 
 def alert_features(alerts: DataFrame) -> DataFrame:
-    """Alert rows as feature rows with label 1; their content is the row key."""
-    named = alerts.select(
-        F.lit("alerts").alias("file"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in alerts.columns]).alias("block"),
-        F.monotonically_increasing_id().alias("seq"), "message", "dest_port",
-        (F.col("label") if "label" in alerts.columns else F.lit(1)).alias("label"),
-    )
-    return features.engineer_features(settle(named, "alerts"), keep=("file", "block", "seq", "label"))
+    """Alert rows as feature rows with label 1."""
+    named = alerts.select("message", "dest_port", (F.col("label") if "label" in alerts.columns else F.lit(1)).alias("label"))
+    return features.engineer_features(named, keep=("label",))
 
 
 def training_job(
@@ -106,31 +109,34 @@ def training_job(
 ) -> tuple[Detector, DataFrame, DataFrame]:
     """(detector, report, class distribution) from flow data sets and, under ``alerts``, an alert table.
 
-    Each flow data set is read from its files once and written as a table of its few
-    columns, so that row positions stay what they were for the sampling passes. With a
-    ``rate`` below one, files of over ``threshold`` rows are sampled; by default every row
-    is used. The rows become feature rows in one table, which is written because training
-    reads it several times. The alert table (see ``read_alert_table``) joins as attacks.
+    With a ``rate`` below one, files of over ``threshold`` rows are sampled; by default
+    every row is used. The rows become feature rows in one table, which is written because
+    training reads it several times. Rows are told apart by what they hold, so samples, the
+    split and both models depend on the rows and the seed and not on how files are scanned.
+    The alert table (see ``read_alert_table``) joins as attacks.
     """
     parts: dict[str, DataFrame | None] = {}
     for name, df in datasets.items():
         if df is not None and name != "alerts":
-            df = settle(df, name)
             df = df if rate >= 1 else sampling.sample_large_files(df, rate, threshold, seed)
             df = labelled_features(df, label_mode)
         elif df is not None:
             df = alert_features(df)
         parts[name] = df
-    rows = require_rows(settle(union_datasets(parts), "training"), "training data")
+    rows = require_rows(settle(sampling.with_content_keys(union_datasets(parts)), "training"), "training data")
     distribution = reports.class_distribution(rows)
-    detector, report = train_detector(rows, ("dataset", "file", "block", "seq"), seed, **options)
+    detector, report = train_detector(rows, sampling.CONTENT, seed, **options)
     return detector, report, distribution
 
 
 def inspection_job(
-    detector: Detector, packets: DataFrame, responses: DataFrame, first_sid: int, known: DataFrame | None = None, mode: str = "either"
+    detector: Detector, packets: DataFrame, responses: DataFrame, first_sid: int, known: DataFrame | None = None, mode: str = "either",
+    store: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(alerting packets with prompts, numbered new rules); ``responses`` is (prompt_id, response)."""
+    """(alerting packets with prompts, numbered new rules); ``responses`` is (prompt_id, response).
+
+    With ``store`` the new rules are appended to that suggestion store.
+    """
     alerts = settle(score_packets(detector, packets, mode), "scored")
     answered = responses.join(alerts.select(F.col("packet_id").alias("prompt_id")), "prompt_id", "left_semi")
-    return alerts, packet_suggestions(answered, first_sid, known)
+    return alerts, packet_suggestions(answered, first_sid, known, store)

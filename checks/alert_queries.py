@@ -190,6 +190,37 @@ def j4_lines(spark, sf):
     return found.select(F.col("expected_sid").alias("sid"), F.unix_seconds("since").alias("since_s"), "pos")
 
 
+PIECES = f"""{EXPECTED}, {ARRIVED}, verdicts AS ({VERDICTS}), failed AS (SELECT sid, since_s, since_s + wait_seconds AS until_s FROM verdicts WHERE NOT passed),
+    bounds AS (SELECT bound, row_number() OVER (ORDER BY bound) AS piece FROM (SELECT since_s AS bound FROM failed UNION SELECT until_s FROM failed))"""
+
+
+@query(
+    "J4_lines_once",
+    sql("", "lines", "alerts").rstrip() + f""", {PIECES}
+    SELECT pos, (SELECT count(*) FROM bounds WHERE bound * 1000000 < epoch_us(event_ts)) AS piece FROM arrived
+    WHERE EXISTS (FROM failed WHERE since_s * 1000000 < epoch_us(event_ts) AND until_s * 1000000 >= epoch_us(event_ts))""",
+)
+def j4_once(spark, sf):
+    """Each line of the failed rules' windows once, with the piece of time it lies in."""
+    return failed_pieces(spark, sf)[0].select("pos", "piece")
+
+
+@query(
+    "J4_pieces_of_rules",
+    sql("", "lines", "alerts").rstrip() + f""", {PIECES}
+    SELECT sid, since_s, a.piece AS first_piece, b.piece - 1 AS last_piece FROM failed JOIN bounds a ON a.bound = since_s JOIN bounds b ON b.bound = until_s""",
+)
+def j4_pieces(spark, sf):
+    ranges = failed_pieces(spark, sf)[1]
+    return ranges.select(F.col("expected_sid").alias("sid"), F.unix_seconds("since").alias("since_s"), "first_piece", "last_piece")
+
+
+def failed_pieces(spark, sf):
+    alerts = settle(arrived_alerts(spark, sf))
+    failed = joins.verify_rules(expected_rules(spark, sf), alerts).where("NOT passed")
+    return joins.windows_in_pieces(failed, alerts.select("event_ts", "line", "pos"))
+
+
 @query(
     "W1_detection_filter",
     f"""WITH a AS (SELECT event_id, ts, {KIND} AS sid, {SOURCE} AS src_ip FROM events)

@@ -172,6 +172,23 @@ def u2(spark, sf):
     return kept.select("event_id", "file")
 
 
+@query(
+    "U2_sample_by_content",
+    """WITH f AS (SELECT CASE WHEN event_id % 5 < 2 THEN 'large' ELSE event_type END AS file, event_type, user_id % 40 AS k FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY file, event_type, k) AS copy, count(*) OVER (PARTITION BY file) AS n,
+      sha256(length(event_type) || ':' || event_type || ',' || length(k::VARCHAR) || ':' || k) AS content FROM f),
+    r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY substr(md5('42|' || content || '|' || copy), 1, 15)) AS i FROM o)
+    SELECT file, event_type, k, count(*) AS n FROM r WHERE n <= (SELECT count(*) // 4 FROM events) OR i <= round_even(0.05 * n, 0) GROUP BY ALL""",
+)
+def u2_content(spark, sf):
+    """Rows that no column tells apart; what is kept follows from the rows alone."""
+    events = inputs.table(spark, sf, "events")
+    file = F.when(F.col("event_id") % 5 < 2, "large").otherwise(F.col("event_type"))
+    rows = events.select(file.alias("file"), "event_type", (F.col("user_id") % 40).alias("k"))
+    kept = sampling.sample_large_files(rows, 0.05, threshold=events.count() // 4)
+    return kept.groupBy("file", "event_type", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "U3_cap_rows",
     """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY substr(md5('42|' || event_id), 1, 15)) AS k,

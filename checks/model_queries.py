@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from alertloom.functions.features import FEATURES, engineer_features
 from alertloom.models import anomaly, classifier, detector as D, vectorise
@@ -100,9 +98,44 @@ def labelled(spark, sf):
     return engineer_features(inputs.labelled(spark, sf), keep=("row_id", "label"))
 
 
-@query("M4_train_classifier")
+#: Words that no text holds; rows and packets with them are the planted attacks.
+MARKS = " ".join(f"zq{k:02d}" for k in range(60))
+PLANTED = f"(repeat('{MARKS} ', 20) || {{}})"
+
+
+def planted(spark, sf):
+    """Labelled documents in which the label can be learned: attacks hold the marks, many times."""
+    rows = inputs.labelled(spark, sf)
+    marked = F.concat(F.repeat(F.lit(MARKS + " "), 20), F.coalesce("message", F.lit("")))
+    return engineer_features(rows.withColumn("message", F.when(F.col("label") == 1, marked).otherwise(F.col("message"))), keep=("row_id", "label"))
+
+
+def planted_packets(spark, sf):
+    """The packets; one in seven of those long enough holds the marks before its text."""
+    packets = inputs.packets(spark, sf)
+    marked = F.concat(F.encode(F.repeat(F.lit(MARKS + " "), 20), "UTF-8"), "payload")
+    there = (F.col("packet_id") % 7 == 3) & (F.octet_length("payload") >= 5)
+    return packets.withColumn("payload", F.when(there, marked).otherwise(F.col("payload")))
+
+
+INSPECTED = ("packets", "outside", "inspected")
+#: Inspected packets that hold the marks, and what their prompts show.
+ATTACKS = f"""SELECT packet_id, src_ip, protocol, dst_port::BIGINT AS dest_port, 1 AS rf,
+    md5(replace(replace({{prompt}}, '{{{{0}}}}', protocol), '{{{{1}}}}', dst_port::VARCHAR)) AS digest FROM inspected WHERE packet_id % 7 = 3"""
+
+
+def _attacks():
+    from alertloom.functions.rule_text import PACKET_PROMPT
+
+    # The first hundred characters are marks, without quotes or line feeds.
+    prompt = PACKET_PROMPT.replace("{2}", (MARKS + " ")[:100])
+    return sql(ATTACKS.format(prompt="'" + prompt.replace("'", "''") + "'").replace("{{", "{").replace("}}", "}"), *INSPECTED)
+
+
+@query("M4_train_classifier", "SELECT doc_id AS row_id, toxic AS label, toxic AS rf FROM documents JOIN labels USING (doc_id)")
 def m4(spark, sf):
-    rows = settle(labelled(spark, sf))
+    """Every row of a table with planted attacks is judged as it is labelled."""
+    rows = settle(planted(spark, sf))
     model = classifier.train_classifier(rows)
     return classifier.classify(model, rows).select("row_id", "label", "rf")
 
@@ -111,16 +144,59 @@ def embeddings(spark, sf):
     return inputs.table(spark, sf, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
-@query("M5_train_anomaly")
+DEPTH = 8
+
+
+@query(
+    "M5_train_anomaly",
+    f"""SELECT tree::INTEGER AS tree, least(256, (SELECT count(*) FROM embeddings)) AS root_rows, least(256, (SELECT count(*) FROM embeddings)) AS leaf_rows,
+    true AS parts_add_up, true AS children_below, true AS shallow FROM range(100) t(tree)""",
+)
 def m5(spark, sf):
-    return anomaly.train_anomaly(embeddings(spark, sf), ("vec_id",))
+    """What must hold of each tree: it starts from its sample, splits add up, every node but the root hangs below one."""
+    nodes = settle(anomaly.train_anomaly(embeddings(spark, sf), ("vec_id",)))
+    child = nodes.select("tree", F.col("node").alias("c"), F.col("size").alias("s"), F.col("depth").alias("d"))
+    split = nodes.where("feature >= 0").select("tree", "node", "size", "depth", F.explode(F.array("left", "right")).alias("c"))
+    below = split.join(child, ["tree", "c"], "left").groupBy("tree", "node", "size", "depth").agg(
+        F.sum("s").alias("s"), F.count("s").alias("n"), F.bool_and(F.col("d") == F.col("depth") + 1).alias("ok")
+    )
+    splits = below.groupBy("tree").agg(
+        F.bool_and((F.col("s") == F.col("size")) & (F.col("n") == 2)).alias("parts_add_up"), F.bool_and("ok").alias("children_below"), F.count(F.lit(1)).alias("splits")
+    )
+    leaf = F.col("feature") < 0
+    trees = nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("size"))).cast("long").alias("root_rows"), F.sum(F.when(leaf, F.col("size"))).alias("leaf_rows"),
+        (F.max("depth") <= DEPTH).alias("shallow"), F.count(F.lit(1)).alias("nodes"),
+    )
+    # A binary tree has one node more than twice its splits.
+    return trees.join(splits, "tree").select("tree", "root_rows", "leaf_rows", "parts_add_up", (F.col("children_below") & (F.col("nodes") == 2 * F.col("splits") + 1)).alias("children_below"), "shallow")
 
 
-@query("M6_score_anomaly")
+def walked_scores(vectors, nodes, sample):
+    """Scores by joins: each row goes down each tree one level a join, and path lengths are averaged."""
+    at = vectors.select("vec_id", vector_to_array("features").alias("x")).join(F.broadcast(nodes.where("node = 0")), F.lit(True))
+    places = at.select("vec_id", "x", "tree", "feature", "threshold", "left", "right", "size", "depth")
+    below = nodes.withColumnsRenamed({c: f"_{c}" for c in nodes.columns})
+    for _ in range(DEPTH):
+        goes = F.when(F.col("feature") < 0, F.lit(None)).when(F.get("x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        places = places.withColumn("to", goes).join(F.broadcast(below), (F.col("tree") == F.col("_tree")) & (F.col("to") == F.col("_node")), "left")
+        places = places.select("vec_id", "x", "tree", *[F.coalesce(f"_{c}", c).alias(c) for c in ("feature", "threshold", "left", "right", "size", "depth")])
+    mean = lambda n: F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(n - 1) + anomaly.EULER_GAMMA) - 2 * (n - 1) / n)
+    path = F.col("depth") + mean(F.col("size").cast("double"))
+    return places.groupBy("vec_id").agg(F.pow(F.lit(2.0), -F.avg(path) / mean(F.lit(float(sample)))).alias("walked"))
+
+
+@query("M6_score_anomaly", "SELECT vec_id, true AS same_score, true AS threshold_kept FROM embeddings UNION ALL SELECT -1 - vec_id, true, true FROM embeddings WHERE vec_id % 10 = 0")
 def m6(spark, sf):
+    """Scores equal those of a walk by joins, and the class follows the threshold; planted rows far outside are anomalies."""
     vectors = embeddings(spark, sf)
-    nodes = anomaly.train_anomaly(vectors, ("vec_id",))
-    return anomaly.score_anomaly(vectors, nodes).select("vec_id", F.round("anomaly_score", 6).alias("anomaly_score"), "iforest")
+    far = vectors.where("vec_id % 10 = 0").select((-1 - F.col("vec_id")).alias("vec_id"), array_to_vector(F.transform(vector_to_array("features"), lambda x: x * 20)).alias("features"))
+    rows = settle(vectors.select("vec_id", "features").unionByName(far))
+    nodes = settle(anomaly.train_anomaly(vectors, ("vec_id",)))
+    sample = nodes.where("node = 0").agg(F.max("size")).first()[0]
+    both = anomaly.score_anomaly(rows, nodes).join(walked_scores(rows, nodes, sample), "vec_id")
+    kept = (F.col("iforest") == F.when(F.col("anomaly_score") > 0.5, -1).otherwise(1)) & ((F.col("vec_id") >= 0) | (F.col("iforest") == -1))
+    return both.select("vec_id", (F.abs(F.col("anomaly_score") - F.col("walked")) < 1e-9).alias("same_score"), kept.alias("threshold_kept"))
 
 
 @query(
@@ -135,15 +211,9 @@ def m7(spark, sf):
     )
 
 
-@cache
-def _trained(application: str, sf: str):
-    rows = settle(labelled(SparkSession.active(), sf))
-    return train_detector(rows, ("row_id",))
-
-
-def small_detector(spark, sf):
-    """Both models on all labelled documents, trained once per session for the queries that apply them."""
-    return _trained(spark.sparkContext.applicationId, sf)
+def planted_detector(spark, sf):
+    """Both models on all labelled documents, the attacks planted; trained anew by each query that applies them."""
+    return train_detector(settle(planted(spark, sf)), ("row_id",), trees=20, max_depth=8)[0]
 
 
 @query(
@@ -152,19 +222,29 @@ def small_detector(spark, sf):
 )
 def s10(spark, sf):
     """Reloaded models judge every row like the fitted ones."""
-    model, _ = small_detector(spark, sf)
+    model = planted_detector(spark, sf)
     path = scratch_path(spark, "models")
     D.save_models(model, path)
-    rows = labelled(spark, sf)
-    again = D.score(D.load_models(spark, path), rows).select("row_id", F.col("rf").alias("rf2"), F.col("iforest").alias("if2"))
-    both = D.score(model, rows).join(again, "row_id")
-    return both.select("row_id", (F.col("rf") == F.col("rf2")).alias("same_class"), (F.col("iforest") == F.col("if2")).alias("same_score"))
+    rows = settle(planted(spark, sf))
+
+    def judged(detector, mark):
+        classes = classifier.classify(detector.classifier, rows)
+        scored = anomaly.score_anomaly(vectorise.vectorised(detector.vectoriser, classes), detector.nodes)
+        return scored.select("row_id", F.col("rf").alias(f"rf{mark}"), F.col("anomaly_score").alias(f"s{mark}"))
 
+    both = judged(model, 1).join(judged(D.load_models(spark, path), 2), "row_id")
+    return both.select("row_id", (F.col("rf1") == F.col("rf2")).alias("same_class"), (F.col("s1") == F.col("s2")).alias("same_score"))
 
-@query("M8_score_packets")
+
+def shown(alerts):
+    """Alerts that the first model raises; those of the other alone follow no rule that SQL could state."""
+    return alerts.where("rf = 1").select("packet_id", "src_ip", "protocol", F.col("dest_port").cast("long").alias("dest_port"), "rf", F.md5("prompt").alias("digest"))
+
+
+@query("M8_score_packets", _attacks())
 def m8(spark, sf):
-    model, _ = small_detector(spark, sf)
-    return D.score_packets(model, inputs.packets(spark, sf))
+    """All planted attacks are found and no other packet is taken for one."""
+    return shown(D.score_packets(planted_detector(spark, sf), planted_packets(spark, sf)))
 
 
 def written_alerts(spark, sf):
@@ -210,16 +290,56 @@ def c2_features(spark, sf):
     return union_datasets(sets).groupBy("dataset", "label", "message").agg(F.count(F.lit(1)).alias("n"), F.sum("message_length").alias("chars"))
 
 
-@query("C2_training_job")
+def learnable_flows(spark, sf):
+    """Flow files and alerts whose message, the label's text, says what they are; as in the reference it leaks."""
+    path = scratch_path(spark, "flows")
+    e = inputs.table(spark, sf, "events")
+    port, kind = (F.col("event_id") % 1024).cast("string"), F.col("event_type")
+    label = F.when(F.col("event_id") % 4 == 0, "BENIGN").when(F.col("event_id") % 4 == 1, "normal traffic").when(F.col("event_id") % 4 == 2, "DDoS flood").otherwise(F.concat(F.lit("Bot net "), kind))
+    options = CSV_OPTIONS | {"encoding": "ISO-8859-1"}
+    e.select(port.alias("Dst Port"), label.alias("Label")).write.options(**options).csv(f"{path}/headed")
+    columns = {"dsport": port, "attack_cat": F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Exploits of "), kind)), "Label": (F.col("event_id") % 3 == 0).cast("int").cast("string")}
+    e.select(*[columns.get(c, F.lit("x")).alias(c) for c in flows.HEADERLESS_COLUMNS]).write.options(**options | {"header": False}).csv(f"{path}/headerless")
+    return {
+        "headed": flows.read_flow_csv(spark, f"{path}/headed", "headed"), "headerless": flows.read_headerless_flows(spark, f"{path}/headerless", "headerless"),
+        "absent": None, "alerts": read_alert_table(spark, written_alerts(spark, sf)),
+    }
+
+
+@query(
+    "C2_training_job",
+    """WITH l AS (SELECT CASE WHEN event_id % 4 < 2 THEN 0 ELSE 1 END AS y FROM events UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END FROM events
+      UNION ALL SELECT 1 FROM events WHERE event_id % 10 <> 9),
+    c AS (SELECT y, count(*) AS n, (SELECT ceil(round(0.2 * count(*), 9)) FROM l) AS wanted, (SELECT count(*) FROM l) AS total FROM l GROUP BY y),
+    q AS (SELECT y, floor(wanted * n / total) AS low, wanted, row_number() OVER (ORDER BY floor(wanted * n / total) - wanted * n / total, y) AS turn FROM c),
+    s AS (SELECT y, (low + CASE WHEN turn <= wanted - (SELECT sum(low) FROM q) THEN 1 ELSE 0 END)::BIGINT AS support FROM q)
+    SELECT CASE y WHEN 0 THEN 'Benign' ELSE 'Malicious' END AS name, 1.0::DOUBLE AS "precision", 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, support FROM s
+    UNION ALL SELECT 'accuracy', NULL, NULL, 1.0, sum(support)::BIGINT FROM s UNION ALL SELECT 'macro avg', 1.0, 1.0, 1.0, sum(support)::BIGINT FROM s
+    UNION ALL SELECT 'weighted avg', 1.0, 1.0, 1.0, sum(support)::BIGINT FROM s""",
+)
 def c2(spark, sf):
-    """Report of a classifier trained on all flow rows; the label text leaks into the message, as in the reference."""
-    _, report, _ = jobs.training_job(flow_sets(spark, sf))
-    return report.select("name", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
+    """Report of a classifier trained on all flow rows and alerts, with the messages telling the classes apart."""
+    _, report, _ = jobs.training_job(learnable_flows(spark, sf))
+    return report.select("name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-@query("C4_inspection_job")
+@query(
+    "C4_inspection_job",
+    sql(
+        r"""SELECT sid, CASE WHEN contains(rule, 'sid:') THEN regexp_replace(rule, 'sid:\s*[0-9]+;', 'sid:' || sid || ';', 'g')
+        ELSE regexp_replace(rule, ';\)$', '; sid:' || sid || '; rev:1;)') END AS rule FROM (
+          SELECT min(rule) AS rule, 3000000 - 1 + row_number() OVER (ORDER BY md5(k)) AS sid FROM (
+            SELECT c.rule, regexp_replace(regexp_replace(c.rule, '\s*(sid|rev):\s*[0-9]+;', '', 'g'), ';[\s;]*;', ';', 'g') AS k
+            FROM clean_packet_rules c JOIN inspected ON packet_id = c.event_id WHERE c.rule IS NOT NULL AND c.event_id % 7 = 3) GROUP BY k)""",
+        *INSPECTED, "packet_rules", "clean_packet_rules",
+    ),
+)
 def c4(spark, sf):
-    model, _ = small_detector(spark, sf)
-    answers = inputs.table(spark, sf, "events").select(F.col("event_id").alias("prompt_id"), inputs.packet_responses().alias("response"))
-    _, rules = jobs.inspection_job(model, settle(inputs.packets(spark, sf)), answers, 3000000)
-    return rules.select("sid", "rule")
+    """Answers to the prompts of planted attacks become stored suggestions; a second run stores none twice."""
+    model = planted_detector(spark, sf)
+    packets, store = settle(planted_packets(spark, sf)), scratch_path(spark, "suggestions")
+    answers = inputs.table(spark, sf, "events").where("event_id % 7 = 3").select(F.col("event_id").alias("prompt_id"), inputs.packet_responses().alias("response"))
+    alerts, rules = jobs.inspection_job(model, packets, answers, 3000000, store=store)
+    jobs.packet_suggestions(answers.join(alerts.select(F.col("packet_id").alias("prompt_id")), "prompt_id", "left_semi"), 4000000, store=store)
+    stored = spark.read.parquet(store).select("rule_key", "rule")
+    return stored.join(rules.select("sid", "rule_key"), "rule_key", "left").select("sid", "rule")

@@ -8,7 +8,7 @@ from alertloom.functions import parsing, rule_text
 from alertloom.runtime import scratch_path
 from alertloom.sources.packets import stream_packets
 from alertloom.streaming import jobs
-from checks import inputs
+from checks import inputs, model_queries
 from checks.alert_queries import ARRIVED, EIGHT, EXPECTED, VERDICTS, expected_rules, written_lines
 from checks.registry import query
 from checks.rule_queries import BARE, fresh_rules
@@ -33,15 +33,13 @@ def t1(spark, sf):
     return spark.read.parquet(out).select(*parsing.FIELDS)
 
 
-@query("T2_stream_score")
+@query("T2_stream_score", model_queries._attacks())
 def t2(spark, sf):
-    from checks.model_queries import small_detector
-
-    model, _ = small_detector(spark, sf)
+    model = model_queries.planted_detector(spark, sf)
     path, out = scratch_path(spark, "packets"), scratch_path(spark, "scored")
-    inputs.packets(spark, sf).write.parquet(path)
+    model_queries.planted_packets(spark, sf).write.parquet(path)
     finish(jobs.run_available(jobs.stream_score(model, stream_packets(spark, path, 8)), out, scratch_path(spark, "progress")))
-    return spark.read.parquet(out)
+    return model_queries.shown(spark.read.parquet(out))
 
 
 def in_time_order(spark, sf):

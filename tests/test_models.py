@@ -108,9 +108,57 @@ def test_report_lists_present_classes_only(spark):
     assert {r["name"]: r for r in classification_report(missed).collect()}["Benign"]["precision"] == 0.0
 
 
-def test_split_sizes_of_the_recorded_run():
-    sizes = sampling.split_sizes({0: 2_608_069, 1: 3_928_465}, 0.2)
-    assert sizes == {0: 521_614, 1: 785_693}
+def test_split_sizes_of_the_recorded_run(spark):
+    counts = spark.createDataFrame([(0, 2_608_069), (1, 3_928_465)], "class int, n long")
+    assert {r["class"]: r.quota for r in sampling.split_quotas(counts, 0.2).collect()} == {0: 521_614, 1: 785_693}
+
+
+def test_rows_without_a_label_are_a_class(spark):
+    df = spark.range(0, 100).select(F.col("id").alias("k"), F.when(F.col("id") < 40, F.lit(None)).when(F.col("id") < 90, 1).otherwise(0).cast("int").alias("label"))
+    train, test = sampling.stratified_split(df)
+    sizes = lambda d: {r.label: r["count"] for r in d.groupBy("label").count().collect()}
+    assert sizes(train) == {None: 32, 1: 40, 0: 8} and sizes(test) == {None: 8, 1: 10, 0: 2}
+    assert [d.count() for d in sampling.stratified_split(df.limit(0))] == [0, 0]
+    assert sampling.stratified_split(df.where("label IS NULL"))[1].count() == 8
+
+
+def test_ordinals_of_heavy_rows(spark, monkeypatch):
+    """Rows that stand very often get their ordinals from a count, in several tasks; nulls and texts with commas are told apart."""
+    monkeypatch.setattr(sampling, "COPIES", 100)
+    rows = [("a", None)] * 1050 + [("a,b", "x")] * 3 + [("a", "b,x"), (None, "a"), ("n", "1:a"), ("", None), (None, None)]
+    keyed = sampling.with_content_keys(spark.createDataFrame(rows, "m string, label string")).collect()
+    assert len(keyed) == len(rows) == len({(r._content, r._copy) for r in keyed})
+    assert {r._copy for r in keyed if r.m == "a" and r.label is None} == set(range(1, 1051))
+    assert len({r._content for r in keyed}) == len(set(rows))
+
+
+def test_choices_do_not_follow_the_scan(spark, tmp_path):
+    """The same rows, read in other pieces, give the same sample, split and forest."""
+    rows = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, "often").otherwise(F.concat(F.lit("m"), F.col("id") % 700)).alias("message"),
+        (F.col("id") % 50).alias("dest_port"), F.when(F.col("id") % 11 > 0, F.col("id") % 2).cast("int").alias("label"), F.lit("f").alias("file"),
+    )
+    rows.repartition(7).write.parquet(str(tmp_path / "t"))
+
+    def choices():
+        df = spark.read.parquet(str(tmp_path / "t")).withColumns({"block": F.lit(0), "seq": F.monotonically_increasing_id()})
+        sample = sampling.sample_large_files(df, 0.1, threshold=1000)
+        train, test = sampling.stratified_split(df)
+        keyed = sampling.with_content_keys(df.select("message", "dest_port", "label"))
+        vectors = keyed.select(*sampling.CONTENT, array_to_vector(F.array(F.col("dest_port") * 1.0, F.length("message") * 1.0)).alias("features"))
+        nodes = anomaly.train_anomaly(vectors, sampling.CONTENT, trees=5, sample=64)
+        return [sorted(map(str, d.collect())) for d in (sample, train, test, nodes)]
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    one = choices()
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        other = choices()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert one == other and len(one[0]) == 600 and len(one[1]) == 4800
 
 
 def test_split_is_exact_and_disjoint(spark):

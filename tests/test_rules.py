@@ -78,11 +78,11 @@ def test_numbering_has_no_fixed_parts(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     monkeypatch.setattr(numbering, "BLOCK", 64)
-    totals = numbering.running_total(df, ["id"], "hot", "t").collect()
+    totals = numbering.running_totals(df, ["id"], {"t": "hot", "n": "id"}).collect()
     seen = 0
     for r in sorted(totals, key=lambda r: r.id):
         seen += r.hot
-        assert r.t == seen
+        assert r.t == seen and r.n == r.id * (r.id + 1) // 2
 
 
 RULES = [
@@ -207,6 +207,19 @@ def test_verify(spark):
     assert sorted((r["expected_sid"], r["pos"]) for r in lines) == [(s, p) for s in (22, 24) for p in (2, 3, 5)]
 
 
+def test_lines_of_failed_rules_are_stored_once(spark):
+    """A thousand overlapping windows over the same lines: as many rows as lines, and one range per rule."""
+    expected = spark.createDataFrame([(k, at(k % 50), 10 + k % 7) for k in range(1000)] + [(9, at(5), 0)], "sid long, since timestamp, wait_seconds int")
+    rows = [(p, at(p / 2), f"l{p}") for p in range(-5, 200)] + [(999, None, "no time")]
+    alerts = spark.createDataFrame(rows, "pos int, event_ts timestamp, line string").withColumn("piece_of", F.lit("kept"))
+    lines, ranges = joins.windows_in_pieces(expected, alerts)
+    kept = {r.pos: r.piece for r in lines.collect()}
+    assert lines.count() == len(kept) == sum(any(k % 50 < p / 2 <= k % 50 + 10 + k % 7 for k in range(1000)) for p in range(-5, 200))
+    assert ranges.count() == 1000
+    got = {(r.expected_sid, r.pos) for r in joins.expand_lines(lines, ranges).collect()}
+    assert got == {(k, p) for k in range(1000) for p in range(-5, 200) if k % 50 < p / 2 <= k % 50 + 10 + k % 7}
+
+
 def test_suggestion_text_with_preamble(spark, tmp_path):
     mark = suggestions.MARKER
     (tmp_path / "s.txt").write_text(f"my notes\n{mark}\nalert tcp (a;)\n\n{mark}\n\n{mark}\nbash\nalert tcp (b;)\n\n")

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertloom.functions.parsing import FIELDS
@@ -106,6 +107,30 @@ def test_suggestions_survive_a_replay(spark, tmp_path):
     assert sorted(r["rule_key"] for r in spark.read.parquet(store).collect()) == ["alert tcp (a;)", "alert tcp (b;)"]
 
 
+def test_only_folders_that_may_hold_a_rule_are_read(spark, tmp_path, monkeypatch):
+    """Other folders are spoilt, and nobody notices; folders of known rules are read and the anti-join decides."""
+    from alertloom.sources import suggestions
+
+    store = tmp_path / "store"
+    rules = lambda numbers: spark.createDataFrame([(f'alert tcp any any -> any 80 (content:"r{k}"; sid:{k};)',) for k in numbers], "rule string")
+    suggestions.write_suggestions(rules(range(300)), str(store))
+    keyed = suggestions._placed(rules(range(300)).select(suggestions.without_identity(F.col("rule")).alias("rule_key"), "rule")).collect()
+    fresh = suggestions._placed(rules(range(300, 330)).select(suggestions.without_identity(F.col("rule")).alias("rule_key"), "rule"))
+    again = [k for k in range(300) if keyed[k].bucket == 7][:3]
+    for folder in store.glob("bucket=*"):
+        if folder.name != "bucket=7":
+            for part in folder.glob("*.parquet"):
+                part.write_bytes(b"spoilt")
+                (folder / f".{part.name}.crc").unlink(missing_ok=True)
+    batch = rules([*again, *range(300, 330)]).select(suggestions.without_identity(F.col("rule")).alias("rule_key"), "rule")
+    new = suggestions.new_suggestions(batch, str(store))
+    assert {r.rule for r in new.collect()} == {r.rule for r in fresh.collect()}
+    # Full filters exclude nothing; then every folder of the batch would have to be read.
+    monkeypatch.setattr(suggestions, "_filters_of", lambda store: store + "/none")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        suggestions.new_suggestions(batch, str(store)).collect()
+
+
 def test_verdicts_before_anything_arrived(spark, tmp_path):
     expected = spark.createDataFrame([(1, at(0), 5)], "sid long, since timestamp, wait_seconds int")
     assert [r["passed"] for r in jobs.verdicts(expected, str(tmp_path / "none")).collect()] == [False]
