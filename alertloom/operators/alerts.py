@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from alertloom.functions import parsing
+from alertloom.runtime import existing_paths
+from alertloom.sources.alerts import read_alert_lines
 
 
 def parse_alerts(
-    lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), formats: tuple[str, ...] = parsing.FORMATS
+    lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), formats: tuple[str, ...] = parsing.FORMATS,
+    observation: Observation | str | None = None,
 ) -> DataFrame:
     """The eight fields of every line that is an alert; other lines drop out.
 
     ``formats`` are tried in order. The match is exploded, not filtered, so
-    Catalyst cannot evaluate it a second time in a pushed-down predicate.
+    Catalyst cannot evaluate it a second time in a pushed-down predicate. An
+    ``observation``, or its name in a stream, gets the numbers of lines, alerts and
+    rejects from the same pass.
     """
-    hits = lines.select(*keep, F.explode(parsing.matching_fields(F.col(line), formats)).alias("_parts"))
+    matched = lines.select(*keep, parsing.matching_fields(F.col(line), formats).alias("_found"))
+    if observation is not None:
+        hit = F.coalesce(F.size("_found") > 0, F.lit(False))
+        matched = matched.observe(observation, F.count(F.lit(1)).alias("lines"), F.count_if(hit).alias("alerts"), F.count_if(~hit).alias("rejects"))
+    hits = matched.select(*keep, F.explode("_found").alias("_parts"))
     return hits.select(*keep, *parsing.named_fields(F.col("_parts")))
 
 
@@ -40,6 +49,21 @@ def file_counts(df: DataFrame, file: str = "file") -> DataFrame:
     return df.groupBy(file).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def log_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Every log that was asked for, in one pass over those that exist: path, found, lines, alerts, rejects.
+
+    A log without alerts, or without lines, has zeros; a missing one is not found and has zeros too.
+    """
+    present, _ = existing_paths(spark, paths)
+    index = {p: k for k, p in enumerate(present)}
+    asked = spark.createDataFrame([(k, p, index.get(p)) for k, p in enumerate(paths)], "_order int, path string, file_index int")
+    lines = read_alert_lines(spark, paths).select("file_index", F.coalesce(parsing.is_alert_line(F.col("value")), F.lit(False)).alias("hit"))
+    counts = lines.groupBy("file_index").agg(F.count(F.lit(1)).alias("lines"), F.count_if("hit").alias("alerts"))
+    joined = asked.join(F.broadcast(counts), "file_index", "left")
+    lines, alerts = (F.coalesce(c, F.lit(0)) for c in ("lines", "alerts"))
+    return joined.select("path", F.col("file_index").isNotNull().alias("found"), lines.alias("lines"), alerts.alias("alerts"), (lines - alerts).alias("rejects"))
+
+
 def alert_summary(alerts: DataFrame) -> DataFrame:
     """Typed alerts counted per rule, protocol and port, with their sources and time span.
 

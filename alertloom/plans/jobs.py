@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.functions import features, rule_text
 from alertloom.models.detector import Detector, score_packets
@@ -11,7 +11,7 @@ from alertloom.operators import alerts as A, dedup, filters, joins, numbering, r
 from alertloom.operators.union import union_datasets
 from alertloom.runtime import require_rows, settle
 from alertloom.sources.rules import append_rules
-from alertloom.sources.suggestions import new_suggestions, write_suggestions
+from alertloom.sources.suggestions import new_suggestions, read_suggestions, write_mined_rules, write_suggestions
 
 
 def alerts_job(lines: DataFrame, suppressions: DataFrame, year: int, zone: str = "+00:00") -> DataFrame:
@@ -31,6 +31,18 @@ def detection_job(packets: DataFrame, rules: DataFrame, suppressions: DataFrame,
     return joins.suppress(alerts, suppressions, source="src_ip", dest="dst_ip")
 
 
+def verified_detection(
+    packets: DataFrame, rules: DataFrame, suppressions: DataFrame, expected: DataFrame, variables: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(alerts, verdicts): the detection job, and whether each expected rule (sid, since, wait_seconds) raised an alert in its window.
+
+    The first line of a verdict is the message of the alert with the lowest packet number.
+    """
+    alerts = settle(detection_job(packets, rules, suppressions, variables), "detected")
+    seen = alerts.select("sid", F.col("ts").alias("event_ts"), F.col("msg").alias("line"), F.col("packet_id").alias("pos"))
+    return alerts, joins.verify_rules(expected, seen)
+
+
 def mining_prompts(alerts: DataFrame, order: str = "pos") -> DataFrame:
     """One prompt per distinct, informative attack; ``prompt_id`` is the place of its first alert."""
     attacks = filters.informative(dedup.distinct_attacks(filters.malicious(alerts), order))
@@ -41,16 +53,21 @@ def mining_prompts(alerts: DataFrame, order: str = "pos") -> DataFrame:
     )
 
 
-def mining_job(prompts: DataFrame, responses: DataFrame, first_sid: int = 1000100) -> DataFrame:
+def mining_job(prompts: DataFrame, responses: DataFrame, first_sid: int = 1000100, path: str | None = None, source: str = "alerts") -> DataFrame:
     """Answers to the mining prompts, cleaned and numbered in the order of the prompts.
 
-    ``responses`` is (prompt_id, response). Only valid rules take a number.
+    ``responses`` is (prompt_id, response). Only valid rules take a number. With ``path``
+    the rules are written there as a rules file that names its ``source``.
     """
     answered = prompts.select("prompt_id", "message").join(responses, "prompt_id")
     cleaned = answered.select("prompt_id", "message", rule_text.sanitise_mined_rule(F.col("response")).alias("rule"))
     valid = cleaned.where(rule_text.is_mined_rule(F.col("rule")))
     numbered = numbering.number_rows(valid, ["prompt_id"], first_sid, "sid")
-    return numbered.withColumn("rule", rule_text.with_mined_sid(F.col("rule"), F.col("sid")))
+    rules = numbered.withColumn("rule", rule_text.with_mined_sid(F.col("rule"), F.col("sid")))
+    if path is not None:
+        rules = settle(rules, "mined")
+        write_mined_rules(rules, path, source)
+    return rules
 
 
 def packet_suggestions(responses: DataFrame, first_sid: int, known: DataFrame | None = None, store: str | None = None) -> DataFrame:
@@ -72,6 +89,14 @@ def packet_suggestions(responses: DataFrame, first_sid: int, known: DataFrame |
     return rules
 
 
+def stored_suggestions(spark: SparkSession, path: str) -> DataFrame:
+    """Suggestion blocks of a text file for :func:`approval_job`: suggestion_id, the digest of the block, and body.
+
+    A block that stands twice is one suggestion.
+    """
+    return read_suggestions(spark, path).select(F.md5("body").alias("suggestion_id"), "body").distinct()
+
+
 def approval_job(suggestions: DataFrame, decisions: DataFrame, store: str | None = None) -> DataFrame:
     """Stored suggestions, cleaned, that a person approved: (suggestion_id, rule, sid).
 

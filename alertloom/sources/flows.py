@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import csv
 import logging
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from alertloom.functions.features import header_roles, missing_to_null
 from alertloom.runtime import files_in
-from alertloom.sources.alerts import with_position
+from alertloom.sources.alerts import LINES, _plain, with_position
 
 log = logging.getLogger(__name__)
 
@@ -40,36 +39,71 @@ def _csv(spark: SparkSession, files: list[str], columns: int, header: bool) -> D
     return reader.options(header=header, encoding="ISO-8859-1", escape='"', enforceSchema=True).csv(files)
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of one file; reads its first line only."""
-    first = spark.read.text(path).head()
-    if first is None or not first[0].strip():
+def _header(line: str | None) -> tuple[str, ...]:
+    """Column names of a first line; names that repeat get a number, so each stands once."""
+    if line is None or not line.strip():
         return ()
     names: list[str] = []
-    for name in next(csv.reader([first[0]])):
+    for name in next(csv.reader([line])):
         copies = sum(1 for n in names if n.split("\0")[0] == name)
         names.append(f"{name}\0{copies}" if copies else name)
     return tuple(n.replace("\0", ".") for n in names)
 
 
+def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, tuple]:
+    """(first line, lines, whole) of each file that can be read, from one pass however many files there are.
+
+    A file that cannot be read, or not to its end, costs itself and no other: the scan
+    passes over it, and what was read is held against the file's size. A line feed, and
+    perhaps a carriage return, belongs to each line.
+    """
+    rows = with_position(spark.read.option("ignoreCorruptFiles", True).schema(LINES).text(files), "value", F.col("_metadata.file_size").alias("size"))
+    by_file = rows.groupBy("file").agg(
+        F.min_by("value", F.struct("block", "seq")).alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"), F.max("size").alias("size")
+    )
+    # One row a file, like the listing itself.
+    return {_plain(r["file"]): (r["first"], r["n"], r["bytes"] + 2 * r["n"] >= r["size"]) for r in by_file.collect()}
+
+
+def survey_flow_files(spark: SparkSession, folder: str) -> tuple[dict[tuple[str, ...], list[str]], DataFrame]:
+    """(usable files by header, report) of the headed CSVs directly in a folder.
+
+    The report is (file, rows, reason): every file, its lines after the header, and why it
+    is left out, null where it is not.
+    """
+    files = files_in(spark, folder, "*.csv")
+    seen = _first_lines(spark, files) if files else {}
+    usable: dict[tuple[str, ...], list[str]] = {}
+    report = []
+    for path in files:
+        first, n, whole = seen.get(_plain(path), (None, 0, None))
+        header = _header(first)
+        if whole is None:
+            reason = "empty or unreadable"
+        elif not whole:
+            reason = "not readable to its end"
+        elif not header:
+            reason = "no header"
+        else:
+            reason = header_roles(list(header), {"port": PORT_NAMES, "label": LABEL_NAMES})[1]
+        if reason:
+            log.warning("skipping %s: %s", path, reason)
+        else:
+            usable.setdefault(header, []).append(path)
+        report.append((path, max(n - 1, 0), reason or None))
+    return usable, spark.createDataFrame(report, "file string, rows long, reason string")
+
+
 def read_flow_csv(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
     """Port and label of every headed CSV directly in the folder.
 
     Headers differ per file, so files are grouped by header and each distinct
-    header is one scan of two columns. Files that lack either column are skipped.
+    header is one scan of two columns. Files that lack either column, that are empty or
+    that cannot be read are skipped with a note; ``survey_flow_files`` lists them.
     """
-    files = files_in(spark, folder, "*.csv")
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f), files))
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(files, headers):
-        by_header.setdefault(header, []).append(path)
     parts = []
-    for header, members in by_header.items():
-        at, reason = header_roles(list(header), {"port": PORT_NAMES, "label": LABEL_NAMES})
-        if reason:
-            log.warning("skipping %d file(s), %s: %s", len(members), reason, header)
-            continue
+    for header, members in survey_flow_files(spark, folder)[0].items():
+        at, _ = header_roles(list(header), {"port": PORT_NAMES, "label": LABEL_NAMES})
         cells = _csv(spark, members, len(header), header=True)
         pick = lambda role: missing_to_null(F.col(f"c{at[role]}"))
         parts.append(

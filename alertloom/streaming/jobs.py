@@ -24,9 +24,9 @@ def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000)
     return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_batch).text(folder)
 
 
-def stream_alerts(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Alerts of log files as they land."""
-    return parse_alerts(stream_lines(spark, folder, files_per_batch))
+def stream_alerts(spark: SparkSession, folder: str, files_per_batch: int = 1000, observation: str | None = None) -> DataFrame:
+    """Alerts of log files as they land; with ``observation`` each batch's progress names its lines, alerts and rejects."""
+    return parse_alerts(stream_lines(spark, folder, files_per_batch), observation=observation)
 
 
 def stream_score(detector: Detector, packets: DataFrame, mode: str = "either") -> DataFrame:

@@ -113,6 +113,26 @@ def a2(spark, sf):
     return A.file_counts(A.parse_alerts(inputs.alert_lines(spark, sf), keep=("file",)))
 
 
+@query(
+    "A2_log_counts",
+    sql(
+        """SELECT file, true AS found, count(*) AS lines, count(*) FILTER (NOT starts_with(value, 'noise')) AS alerts, count(*) FILTER (starts_with(value, 'noise')) AS rejects
+        FROM lines GROUP BY file UNION ALL SELECT 'garbage', true, count(*), 0, count(*) FROM lines WHERE starts_with(value, 'noise')
+        UNION ALL SELECT 'empty', true, 0, 0, 0 UNION ALL SELECT 'log', false, 0, 0, 0""",
+        "lines",
+    ),
+)
+def a2_logs(spark, sf):
+    """Logs without an alert, without a line, and one that is missing are counted too."""
+    paths = written_lines(spark, sf)
+    root = paths[0].rsplit("/", 1)[0]
+    noise = inputs.alert_lines(spark, sf).where(F.startswith("value", F.lit("noise"))).select("value")
+    noise.write.text(f"{root}/file=garbage")
+    noise.limit(0).write.text(f"{root}/file=empty")
+    counts = A.log_counts(spark, [f"{root}/file=garbage", *paths, f"{root}/file=empty", "/no/such/log"])
+    return counts.select(F.regexp_extract("path", "(?:file=|/)(\\w+)$", 1).alias("file"), "found", "lines", "alerts", "rejects")
+
+
 SUMMARY = """SELECT 1::BIGINT AS gid, split_part(signature_id, ':', 2)::BIGINT AS sid, 1::BIGINT AS rev, message, protocol,
     dest_port::BIGINT AS dest_port, count(*) AS alerts, count(DISTINCT source_ip) AS sources,
     strftime(min(event_ts), '%Y-%m-%dT%H:%M:%S.%f') AS first_seen, strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_seen

@@ -248,6 +248,17 @@ def s3(spark, sf):
     return headed.groupBy("dest_port", "raw_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "S3_flow_files",
+    """SELECT reason, sum(n)::BIGINT AS "rows" FROM (SELECT NULL AS reason, count(*) AS n FROM events
+    UNION ALL SELECT 'no column for label, port', count(*) FROM events) GROUP BY reason""",
+)
+def s3_files(spark, sf):
+    """Every file is accounted for, the unusable ones with the reason."""
+    report = flows.survey_flow_files(spark, write_flows(spark, sf) + "/headed")[1]
+    return report.groupBy("reason").agg(F.sum("rows").alias("rows"))
+
+
 @query(
     "S4_read_headerless_flows",
     sql(

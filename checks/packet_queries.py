@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions import network
 from alertloom.operators import filters, joins, reports, thresholds
-from alertloom.plans.jobs import detection_job
+from alertloom.plans.jobs import detection_job, verified_detection
 from alertloom.runtime import scratch_path, settle
 from alertloom.sources.packets import read_packets
 from alertloom.sources.rules import read_rules
@@ -171,6 +171,26 @@ def c6(spark, sf):
     return alerts.select("packet_id", "sid", "msg", "src_ip")
 
 
+@query(
+    "C6_verified_detection",
+    sql(
+        """SELECT r.sid::BIGINT AS sid, r.since_s::BIGINT AS since_s, count(packet_id) > 0 AS passed, arg_min(msg, packet_id) AS first_line
+        FROM (SELECT 1000001 + k AS sid, 1704067200 + 86400 * (3 * k + 1) AS since_s FROM range(7) t(k)) r
+        LEFT JOIN (SELECT * FROM detected WHERE sid <> 1000006) d ON d.sid = r.sid AND epoch_us(ts) > since_s * 1000000 AND epoch_us(ts) <= (since_s + 7200) * 1000000 GROUP BY ALL""",
+        "packets", "matches", "detected",
+    ),
+)
+def c6_verified(spark, sf):
+    """Packets from files, rules, thresholds, suppression, and whether each expected rule fired in its two hours."""
+    path = scratch_path(spark, "packets")
+    inputs.packets(spark, sf).write.parquet(path)
+    listed = spark.createDataFrame([(1, 1000006, None, None)], "gid int, sid long, track string, ip string")
+    k = F.col("id")
+    expected = spark.range(7).select((1000001 + k).alias("sid"), F.timestamp_seconds(1704067200 + 86400 * (3 * k + 1)).alias("since"), F.lit(7200).alias("wait_seconds"))
+    verdicts = verified_detection(read_packets(spark, path), inputs.rules(spark), listed, expected)[1]
+    return verdicts.select("sid", F.unix_seconds("since").alias("since_s"), "passed", "first_line")
+
+
 BINDINGS = [("udp", "53", "dns"), ("tcp", "53", "dns"), ("tcp", "443 80", "web"), ("tcp", "2123 2152 3306", "gtp")]
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from alertloom.functions import rule_text
 from alertloom.operators import dedup, filters, joins, numbering
 from alertloom.plans import jobs
-from alertloom.runtime import scratch_path
+from alertloom.runtime import scratch_path, settle
 from alertloom.sources import rules, suggestions
+from alertloom.sources.alerts import CSV_OPTIONS, read_alerts_for_mining
 from checks import inputs
 from checks.registry import query
 from checks.tables import sql
@@ -255,35 +256,52 @@ def s12(spark, sf):
 
 
 def mining_alerts(spark, sf):
-    return events(spark, sf).select(
-        F.col("event_id").alias("pos"), inputs.mined_messages().alias("message"), (F.col("event_id") % 4).cast("string").alias("dest_port"),
+    """An alert table as files whose order is that of the events."""
+    path = scratch_path(spark, "alerts")
+    rows = events(spark, sf).select(
+        "event_id", inputs.mined_messages().alias("Message"), (F.col("event_id") % 4).cast("string").alias(" dest_port"),
         F.when(F.col("event_id") % 9 == 0, 0).otherwise(1).alias("label"),
     )
+    rows.orderBy("event_id").drop("event_id").write.options(**CSV_OPTIONS).csv(path)
+    return read_alerts_for_mining(spark, path)
 
 
-ATTACKS = """SELECT message, event_id % 4 AS port, min(event_id) AS prompt_id FROM mined_messages
+ATTACKS = """SELECT message, event_id % 4 AS port, min(event_id) AS prompt_id, length(message) AS n FROM mined_messages
     WHERE event_id % 9 <> 0 AND message NOT LIKE '%Generic%' AND message NOT LIKE '%Unknown%' GROUP BY ALL"""
 
 
 @query(
     "C3_mining_job",
-    sql(numbered_mined(f"SELECT prompt_id, {mined_shapes('message', 'prompt_id')} AS rule FROM ({ATTACKS})", "prompt_id", 1000100), "mined_messages"),
+    sql(
+        "", "mined_messages"
+    ).rstrip() + f""", a AS ({ATTACKS}), n AS ({numbered_mined(f"SELECT prompt_id, {mined_shapes('message', 'n')} AS rule FROM a", "prompt_id", 1000100)}),
+    t AS (SELECT '# Based on log: ' || message || chr(10) || rule || chr(10) AS v FROM n JOIN a USING (prompt_id)
+      UNION ALL SELECT '# AI-Mined Snort Rules' || chr(10) || '# Generated from alerts analysis' || chr(10)
+        || '# These rules use $HOME_NET and $EXTERNAL_NET variables.' || chr(10))
+    SELECT value, count(*) AS n FROM (SELECT unnest(string_split(v, chr(10))) AS value FROM t) GROUP BY value""",
 )
 def c3(spark, sf):
-    prompts = jobs.mining_prompts(mining_alerts(spark, sf))
-    answers = prompts.select("prompt_id", inputs.mined_responses(F.col("message"), F.col("prompt_id")).alias("response"))
-    return jobs.mining_job(prompts, answers).select("prompt_id", "sid", "rule")
+    """From an alert table to a rules file."""
+    prompts = settle(jobs.mining_prompts(mining_alerts(spark, sf)), "prompts")
+    answers = prompts.select("prompt_id", inputs.mined_responses(F.col("message"), F.length("message")).alias("response"))
+    path = scratch_path(spark, "mined")
+    jobs.mining_job(prompts, answers, path=path)
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "C5_approval_job",
     sql(
-        """SELECT regexp_extract(rule, 'content:"([0-9]+)"', 1)::BIGINT AS event_id, rule, 5::BIGINT AS sid FROM clean_suggestions
-        WHERE rule IS NOT NULL AND event_id % 5 < 2""",
-        *HEADS,
-    ),
+        "", *HEADS
+    ).rstrip() + rf""", a AS (SELECT {BARE} AS k, min(rule) AS rule FROM clean_suggestions WHERE rule IS NOT NULL AND event_id % 5 < 2 GROUP BY 1),
+    n AS (SELECT rule, CASE WHEN k = (SELECT min(k) FROM a) THEN 5 ELSE 5 + row_number() OVER (PARTITION BY k = (SELECT min(k) FROM a) ORDER BY md5(k)) END AS sid FROM a)
+    SELECT sid, regexp_replace(rule, 'sid:\s*[0-9]+;', 'sid:' || sid || ';') AS rule FROM n""",
 )
 def c5(spark, sf):
-    blocks = events(spark, sf).select(F.col("event_id").alias("suggestion_id"), inputs.suggestion_bodies().alias("body"))
-    approved = jobs.approval_job(blocks, decisions(spark, sf))
-    return approved.select(F.col("suggestion_id").alias("event_id"), "rule", "sid")
+    """From a suggestions file to the rule store; all suggestions bear the same number."""
+    blocks = jobs.stored_suggestions(spark, stored_blocks(spark, sf))
+    body = F.trim(inputs.suggestion_bodies(), F.lit(" \t\n\r\x0b\x0c"))
+    said = events(spark, sf).where("event_id % 5 <> 4").select(F.md5(body).alias("suggestion_id"), F.when(F.col("event_id") % 5 < 2, "y").otherwise("n").alias("decision"))
+    store = scratch_path(spark, "rules")
+    jobs.approval_job(blocks, said, store)
+    return spark.read.parquet(store)

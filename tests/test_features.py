@@ -77,3 +77,29 @@ def test_packet_filter(spark):
     ]
     kept = inspectable(spark.createDataFrame(rows, PACKETS))
     assert sorted(r["packet_id"] for r in kept.collect()) == [1, 4, 5, 7, 13]
+
+
+def test_bad_flow_files_cost_themselves(spark, tmp_path, caplog):
+    """Empty, spoilt, undecodable and unusable files are listed with a reason; the others are read."""
+    from alertloom.sources.flows import read_flow_csv, survey_flow_files
+
+    good = spark.createDataFrame([(str(k), "BENIGN") for k in range(5000)], "`Dst Port` string, Label string")
+    for name, rows in (("good", good), ("spoilt", good), ("ends", good.limit(3))):
+        rows.coalesce(1).write.option("header", True).csv(str(tmp_path / "w" / name))
+        (part,) = (tmp_path / "w" / name).glob("*.csv")
+        crc = part.with_name(f".{part.name}.crc")
+        part.rename(tmp_path / f"{name}.csv")
+        crc.rename(tmp_path / f".{name}.csv.crc")
+    raw = bytearray((tmp_path / "spoilt.csv").read_bytes())
+    raw[10:14] = b"XXXX"
+    (tmp_path / "spoilt.csv").write_bytes(raw)
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "blank.csv").write_bytes(b"\n1,2\n")
+    (tmp_path / "wide.csv").write_bytes("Dst Port,Label\n80,BENIGN\n".encode("utf-16"))
+    (tmp_path / "windows.csv").write_bytes(b"dsport,Label\r\n80,DDoS\r\n")
+    (tmp_path / "other.csv").write_bytes(b"a,b\n1,2\n")
+    report = {r.file.rsplit("/", 1)[1]: (r.rows, r.reason) for r in survey_flow_files(spark, str(tmp_path))[1].collect()}
+    assert report["good.csv"] == (5000, None) and report["ends.csv"] == (3, None) and report["windows.csv"] == (1, None)
+    assert report["empty.csv"][1] == "empty or unreadable" and report["spoilt.csv"][1] in ("empty or unreadable", "not readable to its end") and report["blank.csv"][1] == "no header"
+    assert "no column" in report["other.csv"][1] and report["wide.csv"][1] and len(report) == 8
+    assert read_flow_csv(spark, str(tmp_path), "x").count() == 5004
