@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.models.detector import Detector, score_packets
 from alertloom.operators.alerts import parse_alerts, typed_alerts
-from alertloom.operators.joins import alerts_in_wait
+from alertloom.operators.joins import alerts_in_wait, windows_in_pieces
 from alertloom.operators.thresholds import MICROS, detection_filter
-from alertloom.runtime import broadcast_if_small, existing_paths
+from alertloom.runtime import existing_paths
 from alertloom.sources.alerts import LINES
 from alertloom.sources.suggestions import write_suggestions
 
@@ -120,40 +120,95 @@ def stream_suggest(rules: DataFrame, store: str, checkpoint: str, trigger: dict
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_verify(expected: DataFrame, lines: DataFrame, year: int, table: str, checkpoint: str, pos: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the first line of each expected rule that fires in its window.
+class VerifyStream:
+    """Whether expected rules fire, over arriving lines, and what arrived instead where they did not.
 
-    ``pos`` names a column of ``lines`` that carries their order; without one the first
-    line is the earliest, and of several the first by text. The state is one row per
-    expected rule. The table is rewritten under a new version with each batch that brings
-    a hit; :func:`verdicts` reads the newest.
+    ``expected`` is (sid, since, wait_seconds). Each batch writes under its own version the
+    alerts that lie between the first start and the last end of all windows, each once, the first
+    line of each rule that it brings, and how far time has come. Nothing that was
+    written before is read or written again by a batch, and a replayed batch overwrites
+    its own version.
+
+    ``pos`` names a column of the lines, of ``pos_type``, that carries their order; without one the first
+    line is the earliest, and of several the first by text. With ``delay_seconds`` there is a
+    watermark, the newest instant less the delay: alerts at or behind that of earlier
+    batches are late and are dropped, and a rule whose window ends at or before it and that has not
+    fired has failed for good. Without a delay every line counts, and only the end of the
+    stream (``ended``) makes failures final.
     """
-    keep = ("line",) if pos is None else ("line", pos)
-    alerts = typed_alerts(parse_alerts(lines.withColumn("line", F.col("value")), keep=keep), year, keep=keep)
-    order = F.struct("event_ts", "line") if pos is None else F.col(pos)
-    hits = alerts_in_wait(expected, alerts.withColumn("pos", order))
-    first = hits.groupBy("expected_sid", "since", "wait_seconds").agg(F.min_by("line", "pos").alias("first_line"))
 
-    def save(batch: DataFrame, version: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/version={version:09d}")
+    def __init__(self, expected: DataFrame, store: str, year: int, pos: str | None = None, delay_seconds: int | None = None, zone: str = "+00:00", pos_type: str = "long"):
+        self.expected, self.store, self.year, self.pos, self.delay, self.zone = expected, store, year, pos, delay_seconds, zone
+        until = F.col("since") + F.make_dt_interval(secs=F.col("wait_seconds"))
+        self.low, self.high = expected.agg(F.min(F.unix_micros("since")), F.max(F.unix_micros(until))).first()
+        self.pos_type = pos_type
 
-    writer = first.writeStream.outputMode("complete").foreachBatch(save)
-    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def _path(self, table: str, version: int) -> str:
+        return f"{self.store}/{table}/version={version:09d}"
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        spark = self.expected.sparkSession
+        if not existing_paths(spark, [f"{self.store}/{table}"])[0]:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema + ", version long").parquet(f"{self.store}/{table}").drop("version")
 
+    def _order_type(self) -> str:
+        return "struct<event_ts: timestamp, line: string>" if self.pos is None else self.pos_type
 
-FIRST = "expected_sid long, since timestamp, wait_seconds int, first_line string, version long"
+    def _alerts_schema(self) -> str:
+        return f"sid long, event_ts timestamp, line string, _order {self._order_type()}"
 
+    def judge(self, batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        keep = ("line",) if self.pos is None else ("line", self.pos)
+        typed = typed_alerts(parse_alerts(batch.withColumn("line", F.col("value")), keep=keep), self.year, self.zone, keep=keep)
+        order = F.struct("event_ts", "line") if self.pos is None else F.col(self.pos).cast(self.pos_type)
+        alerts = typed.select("sid", "event_ts", "line", order.alias("_order"))
+        before = self.watermark(version)
+        micros = F.unix_micros("event_ts")
+        late = F.lit(False) if before is None else micros <= F.lit(before)
+        seen = Observation()
+        observed = alerts.where("event_ts IS NOT NULL").observe(seen, F.max(micros).alias("newest"), F.count_if(late).alias("late"))
+        inside = F.lit(False) if self.low is None else (micros > F.lit(self.low)) & (micros <= F.lit(self.high))
+        observed.where(inside & ~late).write.mode("overwrite").parquet(self._path("alerts", version))
+        written = spark.read.schema(self._alerts_schema()).parquet(self._path("alerts", version))
+        hits = alerts_in_wait(self.expected, written)
+        first = hits.groupBy(F.col("expected_sid").alias("sid"), "since", "wait_seconds").agg(F.min(F.struct("_order", "line")).alias("first"))
+        first.write.mode("overwrite").parquet(self._path("firsts", version))
+        marks = spark.createDataFrame([(seen.get["newest"], seen.get["late"])], "newest long, late long")
+        marks.coalesce(1).write.mode("overwrite").parquet(self._path("marks", version))
+
+    def watermark(self, version: int | None = None) -> int | None:
+        """Microseconds up to which time has come, by the batches before ``version`` or by all; None without a delay."""
+        spark = self.expected.sparkSession
+        if self.delay is None or not existing_paths(spark, [f"{self.store}/marks"])[0]:
+            return None
+        marks = spark.read.schema("newest long, late long, version long").parquet(f"{self.store}/marks")
+        marks = marks if version is None else marks.where(F.col("version") < version)
+        newest = marks.agg(F.max("newest")).first()[0]
+        return None if newest is None else newest - self.delay * MICROS
+
+    def start(self, lines: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        writer = lines.writeStream.foreachBatch(self.judge).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-def verdicts(expected: DataFrame, table: str) -> DataFrame:
-    """One verdict per expected rule from what the stream has found so far."""
-    spark = expected.sparkSession
-    keys = ["sid", "since", "wait_seconds"]
-    rules = expected.select(*keys).distinct()
-    if not existing_paths(spark, [table])[0]:
-        return rules.select(*keys, F.lit(False).alias("passed"), F.lit(None).cast("string").alias("first_line"))
-    found = spark.read.schema(FIRST).parquet(table)
-    newest = found.agg(F.max("version")).first()[0]
-    found = found.where(F.col("version") == newest).withColumnRenamed("expected_sid", "sid").drop("version")
-    return rules.join(broadcast_if_small(found), keys, "left").select(
-        *keys, F.col("first_line").isNotNull().alias("passed"), "first_line"
-    )
+    def verdicts(self, ended: bool = False) -> DataFrame:
+        """Per expected rule: sid, since, wait_seconds, passed, first_line, and whether that is final."""
+        keys = ["sid", "since", "wait_seconds"]
+        rules = self.expected.select(*keys).distinct()
+        kinds = {k: self.expected.schema[k].dataType.simpleString() for k in keys}
+        schema = ", ".join(f"{k} {t}" for k, t in kinds.items()) + f", first struct<_order: {self._order_type()}, line: string>"
+        found = self._read("firsts", schema).groupBy(*keys).agg(F.min("first").alias("first")).select(*keys, F.col("first.line").alias("first_line"))
+        until = F.unix_micros(F.col("since") + F.make_dt_interval(secs=F.col("wait_seconds")))
+        mark = self.watermark()
+        over = F.lit(True) if ended else F.lit(False) if mark is None else until <= F.lit(mark)
+        passed = F.col("first_line").isNotNull()
+        return rules.join(found, keys, "left").select(*keys, passed.alias("passed"), "first_line", (passed | over).alias("final"))
+
+    def failures(self, ended: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(lines, ranges) of the rules that failed for good: each line of their windows once, and each rule's pieces of time."""
+        failed = self.verdicts(ended).where("final AND NOT passed")
+        return windows_in_pieces(failed, self._read("alerts", self._alerts_schema()))
+
+    def late_rows(self) -> int:
+        return self._read("marks", "newest long, late long").agg(F.coalesce(F.sum("late"), F.lit(0))).first()[0]

@@ -41,6 +41,12 @@ def w5(spark, sf):
     return vectorise.top_terms(documents(spark, sf))
 
 
+@query("W5_top_terms_by_sketch", f"WITH {WORDS} SELECT term, uses, \"rows\" FROM (SELECT * FROM terms ORDER BY uses DESC, term LIMIT 40)")
+def w5_sketch(spark, sf):
+    """The same terms where a sketch proposes them and exact counts decide."""
+    return vectorise.top_terms(documents(spark, sf), 40, sketch=True)
+
+
 @query("M2_inverse_frequency", f"WITH {WORDS} SELECT term, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + \"rows\")) + 1, 6) AS idf FROM terms")
 def m2_idf(spark, sf):
     df = documents(spark, sf)

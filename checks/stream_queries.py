@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertloom.functions import parsing, rule_text
+from alertloom.operators import joins
 from alertloom.runtime import scratch_path
 from alertloom.sources.packets import stream_packets
 from alertloom.streaming import jobs
 from checks import inputs, model_queries
-from checks.alert_queries import ARRIVED, EIGHT, EXPECTED, VERDICTS, expected_rules, written_lines
+from checks.alert_queries import ARRIVED, EIGHT, EXPECTED, PIECES, VERDICTS, expected_rules, written_lines
 from checks.registry import query
 from checks.rule_queries import BARE, fresh_rules
 from checks.tables import KIND, SOURCE, sql
@@ -83,16 +84,29 @@ def t4(spark, sf):
     return spark.read.parquet(store).select("rule_key")
 
 
-@query(
-    "T5_stream_verify",
-    sql("", "lines", "alerts").rstrip() + f", {EXPECTED}, {ARRIVED} {VERDICTS}",
-)
-def t5(spark, sf):
-    expected, table, path = expected_rules(spark, sf), scratch_path(spark, "verdicts"), scratch_path(spark, "lines")
-    # The lines come with their place, out of order over several batches.
+def verified(spark, sf):
+    """The lines come with their place, out of order over several batches."""
+    path = scratch_path(spark, "lines")
     written = inputs.alert_lines(spark, sf)
     written.repartition(16, "pos").write.parquet(path)
     lines = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 3).parquet(path)
-    finish(jobs.stream_verify(expected, lines, 2024, table, scratch_path(spark, "progress"), pos="pos"))
-    found = jobs.verdicts(expected, table)
+    stream = jobs.VerifyStream(expected_rules(spark, sf), scratch_path(spark, "verdicts"), 2024, pos="pos")
+    finish(stream.start(lines, scratch_path(spark, "progress")))
+    return stream
+
+
+@query("T5_stream_verify", sql("", "lines", "alerts").rstrip() + f", {EXPECTED}, {ARRIVED} {VERDICTS}")
+def t5(spark, sf):
+    found = verified(spark, sf).verdicts()
     return found.select("sid", F.unix_seconds("since").alias("since_s"), F.col("wait_seconds").cast("long"), "passed", "first_line")
+
+
+@query(
+    "T5_lines_of_failed_rules",
+    sql("", "lines", "alerts").rstrip() + f""", {PIECES}
+    SELECT f.sid, f.since_s, a.pos FROM failed f JOIN arrived a ON since_s * 1000000 < epoch_us(event_ts) AND until_s * 1000000 >= epoch_us(event_ts)""",
+)
+def t5_failed(spark, sf):
+    """When the stream has ended, rules that did not fire, with what arrived in their windows instead."""
+    lines, ranges = verified(spark, sf).failures(ended=True)
+    return joins.expand_lines(lines, ranges).select(F.col("expected_sid").alias("sid"), F.unix_seconds("since").alias("since_s"), F.col("_order").alias("pos"))

@@ -184,3 +184,17 @@ def test_cap(spark):
     assert sampling.cap_rows(df, 0, ("k",)).count() == 0
     part = sampling.sample_fraction(df, 0.2, ("k",)).count()
     assert 60 < part < 140
+
+
+def test_sketched_terms(spark, monkeypatch):
+    """A small sketch over a large vocabulary: proven where a few terms stand out, counted in full where none does."""
+    monkeypatch.setattr(vectorise, "TRACKED", 400)
+    rows = spark.range(0, 20_000).select(F.concat(F.lit("often"), F.col("id") % 7, F.lit(" often9 rare"), F.col("id"), F.lit(" seldom"), F.col("id") % 5000).alias("message"))
+    terms = lambda df, n, **o: [(r.term, r.uses, r["rows"]) for r in vectorise.top_terms(df, n, **o).collect()]
+    assert vectorise._proven_top_terms(rows, 8, "message") is not None
+    assert terms(rows, 8, sketch=True) == terms(rows, 8) and terms(rows, 8)[0] == ("often9", 20_000, 20_000)
+    # The ninth term is one of thousands alike, so nothing can be proven.
+    assert vectorise._proven_top_terms(rows, 30, "message") is None
+    assert terms(rows, 30, sketch=True) == terms(rows, 30)
+    few = spark.createDataFrame([("aa bb",), ("aa",), (None,)], "message string")
+    assert terms(few, 5, sketch=True) == [("aa", 2, 2), ("bb", 1, 1)] and terms(few.limit(0), 5, sketch=True) == []

@@ -148,4 +148,36 @@ def test_only_folders_that_may_hold_a_rule_are_read(spark, tmp_path, monkeypatch
 
 def test_verdicts_before_anything_arrived(spark, tmp_path):
     expected = spark.createDataFrame([(1, at(0), 5)], "sid long, since timestamp, wait_seconds int")
-    assert [r["passed"] for r in jobs.verdicts(expected, str(tmp_path / "none")).collect()] == [False]
+    stream = jobs.VerifyStream(expected, str(tmp_path / "none"), 2024)
+    assert [(r["passed"], r["final"]) for r in stream.verdicts().collect()] == [(False, False)]
+    assert [(r["passed"], r["final"]) for r in stream.verdicts(ended=True).collect()] == [(False, True)]
+    assert stream.failures(ended=True)[0].count() == 0
+    assert jobs.VerifyStream(expected.limit(0), str(tmp_path / "none"), 2024).verdicts().count() == 0
+
+
+def test_failures_become_final_behind_the_watermark(spark, tmp_path):
+    """A rule has failed once the watermark passes its window; late lines are dropped; a replayed batch changes nothing."""
+    expected = spark.createDataFrame([(22, at(100), 5), (23, at(100), 5), (24, at(101), 5), (25, at(500), 5)], "sid long, since timestamp, wait_seconds int")
+    line = lambda sid, t: f'{at(t).strftime("%m/%d-%H:%M:%S.%f")} [**] [1:{sid}:1] "m" [**] {{TCP}} 1.1.1.1:5 -> 2.2.2.2:80'
+    stream = jobs.VerifyStream(expected, str(tmp_path / "state"), 2024, delay_seconds=3)
+    seen = lambda: {r.sid: (r.passed, r.final) for r in stream.verdicts().collect()}
+    batches = [[(9, 101), (9, 90)], [(23, 104), (9, 106)], ["noise"], [(9, 109)], [(22, 103), (25, 504)]]
+    states = []
+    for k, batch in enumerate(batches):
+        lines = [(b if isinstance(b, str) else line(*b),) for b in batch]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        finish(stream.start(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "progress")))
+        states.append(seen())
+    assert states[0] == {22: (False, False), 23: (False, False), 24: (False, False), 25: (False, False)}
+    assert states[1] == states[2] == states[0] | {23: (True, True)}
+    assert states[3] == {22: (False, True), 23: (True, True), 24: (False, True), 25: (False, False)}
+    # The late line of rule 22 does not change what is final.
+    assert states[4] == states[3] | {25: (True, True)} and stream.late_rows() == 1
+    found, ranges = stream.failures()
+    from alertloom.operators.joins import expand_lines
+
+    assert found.count() == 3
+    assert sorted((r.expected_sid, r.event_ts) for r in expand_lines(found, ranges).collect()) == [(22, at(101)), (22, at(104)), (24, at(104)), (24, at(106))]
+    stream.judge(spark.createDataFrame([(line(25, 504),), (line(22, 103),)], "value string"), 4)
+    assert seen() == states[4] and stream.late_rows() == 1
