@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm.common import bound_batches, settled
 
-#: Bytes of text that one trie holds in memory before it spills a subtree.
+#: Bytes that one trie holds in memory before it spills a subtree: its texts, and what its nodes take beside them.
 TRIE_BYTES = 64 * 1024 * 1024
+#: Bytes of a node with its children's table, its label's head and its terminal.
+NODE_BYTES = 500
+#: Rows of an input split that one trie takes; then its texts leave and a new one begins.
+SPLIT_ROWS = 400_000
 
 
 class Terminal:
@@ -52,7 +56,7 @@ def _common(a: bytes, b: bytes) -> int:
 class PatriciaTrie:
     """A compressed radix trie over byte strings whose memory is bounded.
 
-    An edge holds the bytes up to the next branch. Beyond ``limit`` bytes of labels the
+    An edge holds the bytes up to the next branch. Beyond ``limit`` bytes of labels and nodes the
     heaviest subtree below the first branch goes to a spill file, and later strings with
     that beginning follow it there. ``items`` gives what stayed in memory and then reads
     each spilled subtree with a trie of its own. Spill files vanish with the task.
@@ -79,7 +83,7 @@ class PatriciaTrie:
             child = node.children.get(text[at])
             if child is None:
                 node.children[text[at]] = _Node(text[at:], Terminal(best, count, rows))
-                self.held += len(text) - at
+                self.held += len(text) - at + NODE_BYTES
                 if self.held > self.limit:
                     self._spill()
                 return
@@ -91,6 +95,7 @@ class PatriciaTrie:
                 fork.children[child.label[0]] = child
                 node.children[fork.label[0]] = fork
                 child = fork
+                self.held += NODE_BYTES
             at += len(child.label)
             node = child
 
@@ -108,7 +113,7 @@ class PatriciaTrie:
         total, stack = 0, [node]
         while stack:
             node = stack.pop()
-            total += len(node.label)
+            total += len(node.label) + NODE_BYTES
             stack += node.children.values()
         return total
 
@@ -167,23 +172,36 @@ def _split_owners(sign: int, limit: int):
             ("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("local", pa.int64()),
             ("best_doc", pa.int64()), ("best_row", pa.int64()), ("count", pa.int64()), ("text", pa.binary()),
         ])
-        trie = PatriciaTrie(limit)
+
+        def leaving(trie):
+            out, size = [], 0
+            for text, t in trie.items():
+                digest, first = hashlib.sha256(text).hexdigest(), t.rows[0][0]
+                null, best, stay = t.best
+                out.append((*t.rows[0], digest, first, None if null else sign * best, stay, t.count, text))
+                size += len(text)
+                for row, doc in t.rows[1:]:
+                    out.append((row, doc, digest, first, None, None, None, None))
+                    if size + 200 * len(out) > 4_000_000:
+                        yield _batch(out, schema)
+                        out, size = [], 0
+                if size + 200 * len(out) > 4_000_000:
+                    yield _batch(out, schema)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, schema)
+
+        trie, taken = PatriciaTrie(limit), 0
         for batch in batches:
             for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 # bytes.lower() changes A-Z only.
                 trie.insert((text or b"").lower(), _order(doc, row, sign), 1, [(row, doc)])
-        out, size = [], 0
-        for text, t in trie.items():
-            digest, first = hashlib.sha256(text).hexdigest(), t.rows[0][0]
-            null, best, stay = t.best
-            out.append((*t.rows[0], digest, first, None if null else sign * best, stay, t.count, text))
-            out += [(row, doc, digest, first, None, None, None, None) for row, doc in t.rows[1:]]
-            size += len(text) + 100 * len(t.rows)
-            if size > 4_000_000:
-                yield _batch(out, schema)
-                out, size = [], 0
-        if out:
-            yield _batch(out, schema)
+            taken += batch.num_rows
+            if taken >= SPLIT_ROWS:
+                # The owners meet what leaves twice, as they meet what leaves two splits.
+                yield from leaving(trie)
+                trie, taken = PatriciaTrie(limit), 0
+        yield from leaving(trie)
 
     return run
 
@@ -218,7 +236,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Columns: doc_id, keep_id, group_size, kept, text_sha256.
 
     Two levels of tries. The first runs inside each input split, so a text that a third of
-    all rows share leaves a split once. The texts that are left are dealt out by length and
+    all rows share leaves a split once for every ``SPLIT_ROWS`` rows. The texts that are left are dealt out by length and
     content hash; the owner of such a partition inserts them into its trie and decides who
     stays. Answers go back by the number of the split's first row, so a key of that join
     never has more rows than one split. Equality is decided on whole byte strings, by the

@@ -30,6 +30,43 @@ def test_trie_spills_by_subtree(limit):
     assert got == want
 
 
+def test_trie_memory_is_bounded():
+    """Short texts are mostly nodes, and those count; texts that come back later meet again."""
+    import tracemalloc
+
+    limit, n = 4 << 20, 120_000
+    trie = exact_dedup.PatriciaTrie(limit)
+    tracemalloc.start()
+    for k in range(n):
+        trie.insert(hashlib.md5(str(k).encode()).digest()[:8], (False, k, k), 1, [k])
+    for k in range(1000):
+        trie.insert(hashlib.md5(str(k).encode()).digest()[:8], (False, k, n + k), 1, [n + k])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * limit and trie.spilled
+    counts = Counter(t.count for _, t in trie.items())
+    assert counts == {1: n - 1000, 2: 1000}
+
+
+def test_splits_leave_in_parts(spark, odd_docs, stored, monkeypatch):
+    docs = stored(odd_docs.union(odd_docs).union(odd_docs).coalesce(1))
+    whole = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    real = exact_dedup._split_owners
+
+    def small(sign, limit):
+        run = real(sign, limit)
+
+        def each(batches):
+            exact_dedup.SPLIT_ROWS = 1
+            for b in batches:
+                yield from run(b.slice(k, 5) for k in range(0, b.num_rows, 5))
+
+        return each
+
+    monkeypatch.setattr(exact_dedup, "_split_owners", small)
+    assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == whole
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_odd(spark, odd_docs, stored, keep):
     docs = stored(odd_docs)
