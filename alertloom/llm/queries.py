@@ -118,7 +118,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def _license_sql() -> str:
     import math
 
-    from alertloom.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES, template_words
+    from alertloom.llm.license_scan import CONTAINMENT, PHRASES, SPAN, TEMPLATES, template_words
 
     word = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
     places = " UNION ALL ".join(
@@ -127,16 +127,17 @@ def _license_sql() -> str:
         for phrase, label in PHRASES.items()
     )
     sets = ", ".join(
-        f"('{label}', {template_words(text)!r}, {max(1, math.ceil(CONTAINMENT * len(template_words(text)) - 1e-9))})" for label, text in TEMPLATES
+        f"('{label}', {template_words(text)!r}, {max(1, math.ceil(CONTAINMENT * len(template_words(text)) - 1e-9))}, {SPAN * len(template_words(text))})" for label, text in TEMPLATES
     )
     return f"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
     w AS (SELECT row, regexp_extract_all(x, '{word}') AS words FROM d),
     p AS ({places}),
     base AS (SELECT row, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY row),
-    b AS (SELECT row, list_distinct(regexp_extract_all(block, '{word}')) AS words FROM d, unnest(regexp_split_to_array(x, '[.!?]+[\\x09-\\x0D\\x20]+|\\r\\n[\\x09\\x0B\\x0C\\x20]*[\\n\\r]|\\n[\\x09\\x0B\\x0C\\x20]*[\\n\\r]|\\r[\\x09\\x0B\\x0C\\x20]*\\r|\\r[\\x09\\x0B\\x0C\\x20]+\\n')) AS u(block)),
-    t(label, tokens, need) AS (VALUES {sets}),
-    m AS (SELECT row, label, len(list_intersect(words, tokens)) AS shared, len(tokens) AS size FROM b, t WHERE len(words) >= need AND len(list_intersect(words, tokens)) >= need),
+    b AS (SELECT row, regexp_extract_all(block, '{word}') AS words FROM d, unnest(regexp_split_to_array(x, '[.!?]+[\\x09-\\x0D\\x20]+|\\r\\n[\\x09\\x0B\\x0C\\x20]*[\\n\\r]|\\n[\\x09\\x0B\\x0C\\x20]*[\\n\\r]|\\r[\\x09\\x0B\\x0C\\x20]*\\r|\\r[\\x09\\x0B\\x0C\\x20]+\\n')) AS u(block)),
+    t(label, tokens, need, span) AS (VALUES {sets}),
+    c AS (SELECT row, label, words, tokens, need, span FROM b, t WHERE len(words) >= need AND len(list_intersect(words, tokens)) >= need),
+    m AS (SELECT row, label, size, shared FROM (SELECT row, label, need, len(tokens) AS size, list_max([len(list_intersect(words[i : i + span - 1], tokens)) FOR i IN range(1, len(words) + 1)]) AS shared FROM c) WHERE shared >= need),
     more AS (SELECT row, list(DISTINCT label) AS labels, max(shared / size) AS contained FROM m GROUP BY row)
     SELECT doc_id, len(words) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word,
         array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

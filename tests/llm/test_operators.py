@@ -502,6 +502,55 @@ def test_wrapped_licenses(spark, stored):
     assert labels[1] == "mit" and labels[2] == "bsd" and "lgpl" in labels[3].split(",") and labels[4] == labels[5] == ""
 
 
+def test_scattered_words_are_no_notice(spark, stored):
+    """Words of a template that lie far apart in a block without an end give no label; a notice inside it does."""
+    filler = [f"f{k}" for k in range(600)]
+    scattered = "\n".join([*filler[:200], "all", *filler[200:400], "rights", *filler[400:], "reserved"])
+    notice = " ".join([*filler[:300], "all of the rights are reserved", *filler[300:]])
+    mit = "the software and " + " ".join(filler) + " The above copyright notice, and this permission notice, shall be included in all copies or substantial portions of the Software " + " ".join(filler)
+    docs = stored(spark.createDataFrame([(1, scattered), (2, notice), (3, mit), (4, mit.replace("included", "x").replace("portions", "y").replace("shall", "z"))], "doc_id long, text string"))
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {1: ("", 0.0), 2: ("reserved", 1.0), 3: ("mit", 1.0), 4: ("", 0.0)}
+
+
+def test_rates_are_those_of_an_independent_solver(spark):
+    """The totals of the fitted rates are as near to the targets as those of coordinate descent over all documents."""
+    rng = np.random.default_rng(4)
+    n, k = 60, 3
+    parts = np.array([rng.multinomial(mixing.PARTS, x) for x in rng.dirichlet([0.4, 0.3, 0.2], n)])
+    tokens = rng.integers(1, 400, n)
+    df = spark.createDataFrame([(i, int(t), [int(x) for x in p]) for i, (t, p) in enumerate(zip(tokens, parts, strict=True))], "doc_id long, n_tokens long, parts array<int>")
+    targets = {"a": 1.0, "b": 2.0, "c": 0.5}
+    model = mixing.fit_rates(df, mixing.MixModel(["a", "b", "c"]), targets, keep_all=False)
+    rates = np.array([r.rate for r in mixing.document_rates(df, model).orderBy("doc_id").collect()])
+    p = parts / mixing.PARTS
+    share, goal = tokens @ p / tokens.sum(), np.array([1, 2, 0.5]) / 3.5
+
+    def cost(r):
+        return float((((r * tokens) @ p / tokens.sum() - goal) ** 2 / share).sum())
+
+    # Coordinate descent over the documents, each time to the best nonnegative rate.
+    best, a = np.ones(n), tokens[:, None] * p / tokens.sum()
+    for _ in range(3000):
+        for i in range(n):
+            rest = (best @ a) - best[i] * a[i] - goal
+            best[i] = max(0.0, -float((rest * a[i] / share).sum()) / float((a[i] ** 2 / share).sum()))
+    assert (rates >= 0).all() and cost(rates) <= cost(best) + 1e-5 and cost(np.ones(n)) > 0.05
+
+
+def test_planted_quality_is_learned(spark, stored):
+    """Labels that follow from the words are found again in rows whose labels were never seen."""
+    import zlib
+
+    rng = random.Random(9)
+    good, bad = [f"good{k}" for k in range(40)], [f"bad{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad) for _ in range(rng.randrange(20, 60))), k % 2) for k in range(600)]
+    docs = stored(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, q if zlib.crc32(str(k).encode()) % 3 != 1 else 1 - q, 0) for k, _, q in rows], "doc_id long, quality int, toxic int")
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()}
+    assert sum((scores[k] >= 0.5) == (q == 1) for k, _, q in rows) >= 0.98 * len(rows)
+
+
 # -- repeats ------------------------------------------------------------------------------------
 
 
