@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.functions import parsing
 from alertloom.runtime import existing_paths
@@ -11,20 +11,22 @@ from alertloom.sources.alerts import read_alert_lines
 
 def parse_alerts(
     lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), formats: tuple[str, ...] = parsing.FORMATS,
-    observation: Observation | str | None = None,
+    observation: str | None = None,
 ) -> DataFrame:
     """The eight fields of every line that is an alert; other lines drop out.
 
     ``formats`` are tried in order. The match is exploded, not filtered, so
-    Catalyst cannot evaluate it a second time in a pushed-down predicate. An
-    ``observation``, or its name in a stream, gets the numbers of lines, alerts and
-    rejects from the same pass.
+    Catalyst cannot evaluate it a second time in a pushed-down predicate. In a stream
+    each batch's progress shows, under the name of ``observation``, the numbers of lines,
+    alerts and rejects from the same pass; :func:`log_counts` gives them for files.
     """
-    matched = lines.select(*keep, parsing.matching_fields(F.col(line), formats).alias("_found"))
-    if observation is not None:
+    found = parsing.matching_fields(F.col(line), formats)
+    if observation is None:
+        hits = lines.select(*keep, F.explode(found).alias("_parts"))
+    else:
         hit = F.coalesce(F.size("_found") > 0, F.lit(False))
-        matched = matched.observe(observation, F.count(F.lit(1)).alias("lines"), F.count_if(hit).alias("alerts"), F.count_if(~hit).alias("rejects"))
-    hits = matched.select(*keep, F.explode("_found").alias("_parts"))
+        seen = lines.select(*keep, found.alias("_found")).observe(observation, F.count(F.lit(1)).alias("lines"), F.count_if(hit).alias("alerts"), F.count_if(~hit).alias("rejects"))
+        hits = seen.select(*keep, F.explode("_found").alias("_parts"))
     return hits.select(*keep, *parsing.named_fields(F.col("_parts")))
 
 

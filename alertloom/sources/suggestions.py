@@ -45,6 +45,13 @@ def _numbers(df: DataFrame, column: str) -> list[int]:
     return sorted(r[0] for r in df.select(column).distinct().collect())
 
 
+def stored_rules(spark: SparkSession, store: str) -> DataFrame:
+    """(rule_key, rule) of a store, which may hold nothing yet."""
+    if not existing_paths(spark, [store])[0]:
+        return spark.createDataFrame([], "rule_key string, rule string")
+    return spark.read.schema(STORE).parquet(store).select("rule_key", "rule")
+
+
 def new_suggestions(keyed: DataFrame, store: str) -> DataFrame:
     """The rows (rule_key, …) whose rule the store does not hold.
 

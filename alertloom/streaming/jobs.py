@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.models.detector import Detector, score_packets
@@ -159,23 +159,30 @@ class VerifyStream:
         return f"sid long, event_ts timestamp, line string, _order {self._order_type()}"
 
     def judge(self, batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
         keep = ("line",) if self.pos is None else ("line", self.pos)
         typed = typed_alerts(parse_alerts(batch.withColumn("line", F.col("value")), keep=keep), self.year, self.zone, keep=keep)
         order = F.struct("event_ts", "line") if self.pos is None else F.col(self.pos).cast(self.pos_type)
-        alerts = typed.select("sid", "event_ts", "line", order.alias("_order"))
+        alerts = typed.where("event_ts IS NOT NULL").select("sid", "event_ts", "line", order.alias("_order"))
+        # Read by two writes; a lost block is parsed again from the source.
+        kept = alerts.persist()
+        try:
+            self._judge(kept, version)
+        finally:
+            kept.unpersist()
+
+    def _judge(self, alerts: DataFrame, version: int) -> None:
+        spark = alerts.sparkSession
         before = self.watermark(version)
         micros = F.unix_micros("event_ts")
         late = F.lit(False) if before is None else micros <= F.lit(before)
-        seen = Observation()
-        observed = alerts.where("event_ts IS NOT NULL").observe(seen, F.max(micros).alias("newest"), F.count_if(late).alias("late"))
+        seen = alerts.agg(F.max(micros).alias("newest"), F.count_if(late).alias("late")).first()
         inside = F.lit(False) if self.low is None else (micros > F.lit(self.low)) & (micros <= F.lit(self.high))
-        observed.where(inside & ~late).write.mode("overwrite").parquet(self._path("alerts", version))
+        alerts.where(inside & ~late).write.mode("overwrite").parquet(self._path("alerts", version))
         written = spark.read.schema(self._alerts_schema()).parquet(self._path("alerts", version))
         hits = alerts_in_wait(self.expected, written)
         first = hits.groupBy(F.col("expected_sid").alias("sid"), "since", "wait_seconds").agg(F.min(F.struct("_order", "line")).alias("first"))
         first.write.mode("overwrite").parquet(self._path("firsts", version))
-        marks = spark.createDataFrame([(seen.get["newest"], seen.get["late"])], "newest long, late long")
+        marks = spark.createDataFrame([(seen["newest"], seen["late"])], "newest long, late long")
         marks.coalesce(1).write.mode("overwrite").parquet(self._path("marks", version))
 
     def watermark(self, version: int | None = None) -> int | None:

@@ -12,6 +12,7 @@ from alertloom.plans import jobs
 from alertloom.runtime import scratch_path, settle
 from alertloom.sources import flows
 from alertloom.sources.alerts import CSV_OPTIONS, read_alert_table, write_alerts
+from alertloom.sources.suggestions import stored_rules
 from checks import inputs
 from checks.registry import query
 from checks.tables import sql
@@ -347,5 +348,5 @@ def c4(spark, sf):
     answers = inputs.table(spark, sf, "events").where("event_id % 7 = 3").select(F.col("event_id").alias("prompt_id"), inputs.packet_responses().alias("response"))
     alerts, rules = jobs.inspection_job(model, packets, answers, 3000000, store=store)
     jobs.packet_suggestions(answers.join(alerts.select(F.col("packet_id").alias("prompt_id")), "prompt_id", "left_semi"), 4000000, store=store)
-    stored = spark.read.parquet(store).select("rule_key", "rule")
+    stored = stored_rules(spark, store)
     return stored.join(rules.select("sid", "rule_key"), "rule_key", "left").select("sid", "rule")

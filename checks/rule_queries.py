@@ -195,7 +195,7 @@ def s7(spark, sf):
     store = scratch_path(spark, "suggestions")
     suggestions.write_suggestions(fresh_rules(spark, sf).where("event_id % 3 < 2"), store)
     suggestions.write_suggestions(fresh_rules(spark, sf), store)
-    return spark.read.parquet(store).select("rule_key")
+    return suggestions.stored_rules(spark, store).select("rule_key")
 
 
 BODIES = """SELECT CASE shape WHEN 0 THEN 'alert ' || head || '; sid:5; rev:1;)' WHEN 1 THEN 'bash' || chr(10) || 'alert ' || head || ';' || chr(10) || '  sid:5; rev:1;)'

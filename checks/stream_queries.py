@@ -8,6 +8,7 @@ from alertloom.functions import parsing, rule_text
 from alertloom.operators import joins
 from alertloom.runtime import scratch_path
 from alertloom.sources.packets import stream_packets
+from alertloom.sources.suggestions import stored_rules
 from alertloom.streaming import jobs
 from checks import inputs, model_queries
 from checks.alert_queries import ARRIVED, EIGHT, EXPECTED, PIECES, VERDICTS, expected_rules, written_lines
@@ -81,7 +82,7 @@ def t4(spark, sf):
     rules.unionByName(rules.select("event_id", rule_text.with_sid(F.col("rule"), F.col("event_id")).alias("rule"))).repartition(4).write.parquet(path)
     stream = spark.readStream.schema("event_id long, rule string").option("maxFilesPerTrigger", 2).parquet(path)
     finish(jobs.stream_suggest(stream, store, scratch_path(spark, "progress")))
-    return spark.read.parquet(store).select("rule_key")
+    return stored_rules(spark, store).select("rule_key")
 
 
 def verified(spark, sf):
