@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from alertloom.llm.common import bound_batches, settled
+from alertloom.runtime import broadcast_if_small
 
 FILTERS = "ABCDE"
 SUBSETS = 1 << len(FILTERS)
@@ -19,6 +20,8 @@ MARKS = re.compile(rb"[#$%&*|]")
 UPPER = bytes(range(65, 91))
 #: Keys of counts that a task holds at a time.
 KEYS = 4096
+#: Rows of one text from which on it counts as frequent.
+OFTEN = 1000
 
 
 def text_failures(data: bytes) -> int:
@@ -110,14 +113,19 @@ def survival_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     of = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
     facts = docs.select(of.alias("of"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_facts, "of struct<doc_id: long, part: string>, digest binary, fails int")
     facts = settled(facts.select("of.doc_id", "of.part", "digest", "fails"), "facts")
-    firsts = facts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("digest", "first")
+    repeats = settled(facts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "repeats")
+    # Texts that stand very often are no more than one for OFTEN rows; their rows are looked up apart, so no shuffle brings them together.
+    often = repeats.where(F.col("n") > OFTEN).select("digest", "first")
+    looked = facts.join(broadcast_if_small(often), "digest", "left")
+    others = looked.where("first IS NULL").drop("first").join(repeats.where(F.col("n") <= OFTEN).select("digest", "first"), "digest", "left")
+    placed = looked.where("first IS NOT NULL").unionByName(others)
     marked = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         (F.max(F.when(F.col("quality") == 1, 1).otherwise(0)) + F.max(F.when(F.col("toxic") == 1, 2).otherwise(0))).alias("label")
     )
     repeated = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
     words = [survival_word(k) for k in range(SUBSETS)]
     word = F.get(F.lit(words).cast("array<long>"), F.col("fails") + 16 * F.col("repeated"))
-    joined = facts.join(firsts, "digest", "left").withColumn("repeated", repeated).join(marked, "doc_id", "left")
+    joined = placed.withColumn("repeated", repeated).join(marked, "doc_id", "left")
     return joined.select("part", F.coalesce("label", F.lit(0)).cast("int").alias("label"), word.alias("word"))
 
 

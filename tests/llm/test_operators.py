@@ -677,8 +677,10 @@ def test_audit_against_every_order(spark, stored):
     assert {f.dataType.simpleString() for f in got.schema.fields[3:]} == {"bigint"}
 
 
-def test_audit_odd(spark, odd_docs, stored, monkeypatch):
+@pytest.mark.parametrize("often", [1, 2, 1000])
+def test_audit_odd(spark, odd_docs, stored, monkeypatch, often):
     monkeypatch.setattr(filter_audit, "KEYS", 1)
+    monkeypatch.setattr(filter_audit, "OFTEN", often)
     docs, labels = stored(odd_docs), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     want = audit([(r.doc_id, r.text, r.lang) for r in odd_docs.collect()], [])
     assert {tuple(r) for r in filter_audit.filter_audit(docs, labels).collect()} == want
