@@ -10,6 +10,7 @@ from alertloom.runtime import scratch_path
 from alertloom.sources.packets import stream_packets
 from alertloom.sources.suggestions import stored_rules
 from alertloom.streaming import jobs
+from alertloom.streaming.stateful import StateThreshold
 from checks import inputs, model_queries
 from checks.alert_queries import ARRIVED, EIGHT, EXPECTED, PIECES, VERDICTS, expected_rules, written_lines
 from checks.registry import query
@@ -57,12 +58,12 @@ def in_time_order(spark, sf):
     return path, rows.schema
 
 
-@query(
-    "T3_stream_detection_filter",
-    f"""WITH a AS (SELECT event_id AS packet_id, ts, {KIND} AS sid, {SOURCE} AS src_ip FROM events)
+OVER_THRESHOLD = f"""WITH a AS (SELECT event_id AS packet_id, ts, {KIND} AS sid, {SOURCE} AS src_ip FROM events)
     SELECT packet_id, sid, src_ip FROM (SELECT *, count(*) OVER (PARTITION BY sid, src_ip ORDER BY epoch_us(ts)
-    RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) AS n FROM a) WHERE n >= 2""",
-)
+    RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) AS n FROM a) WHERE n >= 2"""
+
+
+@query("T3_stream_detection_filter", OVER_THRESHOLD)
 def t3(spark, sf):
     path, schema = in_time_order(spark, sf)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -72,6 +73,19 @@ def t3(spark, sf):
     return threshold.passed(spark).select("packet_id", "sid", "src_ip")
 
 
+@query("T3_threshold_in_state", OVER_THRESHOLD)
+def t3_state(spark, sf):
+    """The same threshold in Spark's state store; a last row without a rule ends the spans that are still open."""
+    path, schema = in_time_order(spark, sf)
+    stored = spark.read.schema(schema).parquet(path)
+    last = stored.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    threshold = StateThreshold(scratch_path(spark, "verdicts"), "src_ip", 2, 43200)
+    finish(threshold.start(stream, scratch_path(spark, "progress")))
+    return threshold.passed(stored.where("sid is not null")).select("packet_id", "sid", "src_ip")
+
+
 @query(
     "T4_stream_suggest",
     sql(f"SELECT DISTINCT {BARE} AS rule_key FROM clean_packet_rules WHERE rule IS NOT NULL", "packet_rules", "clean_packet_rules"),
