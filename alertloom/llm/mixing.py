@@ -17,6 +17,8 @@ PARTS = 256
 #: Domains at most: their matrix of moments is held by the driver.
 DOMAINS = 256
 ROUNDS = 200
+#: Rounds after which the rates reached so far are written beside their cells.
+CARRY = 10
 #: A fit ends when no total misses its target by more than this share of all, or moves by less than STALL.
 TOLERANCE = 1e-4
 STALL = 1e-7
@@ -24,13 +26,19 @@ STALL = 1e-7
 
 @dataclass
 class MixModel:
-    """Classifier of domains, and the gradient steps that turn a posterior into a rate. Bounded by BUCKETS x DOMAINS."""
+    """Classifier of domains, and the gradient steps that turn a posterior into a rate. Bounded by BUCKETS x DOMAINS.
+
+    After a fit, ``missed`` tells by which share of all tokens each domain's expected total is over
+    its target, and ``ignored`` the domains that have a target but that the classifier does not know.
+    """
 
     domains: list[str]
     weights: object = None
     bias: object = None
     step: float = 1.0
     residuals: list = field(default_factory=list)
+    missed: dict[str, float] = field(default_factory=dict)
+    ignored: list[str] = field(default_factory=list)
 
     def features(self, text: str):
         """(square roots of the shares of hashed words, number of words) of a whole text."""
@@ -54,13 +62,16 @@ class MixModel:
         rank = np.argsort(order, axis=1, kind="stable")
         return out + (rank < PARTS - out.sum(axis=1, keepdims=True))
 
-    def rates(self, parts):
-        """The rates of posteriors after all gradient steps: from one, down the gradient, never below zero."""
+    def rates(self, parts, rate=None, done: int = 0):
+        """The rates of posteriors after all gradient steps: from one, down the gradient, never below zero.
+
+        ``rate`` are the rates after the first ``done`` steps, where they are known.
+        """
         import numpy as np
 
         p = np.asarray(parts, np.float64) / PARTS
-        rate = np.ones(len(p))
-        for residual in self.residuals:
+        rate = np.ones(len(p)) if rate is None else rate
+        for residual in self.residuals[done:]:
             rate = np.maximum(0, rate - self.step * (p @ residual))
         return rate
 
@@ -122,7 +133,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domain_col: str, id_col: s
 
 
 def domain_posteriors(docs: DataFrame, model: MixModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words between white space) and parts, the posterior in 256ths, of every whole text."""
+    """doc_id, n_tokens (words between white space) and parts, the posterior in 256ths, of every whole text.
+
+    One row for each row of ``docs``: null and empty texts have no tokens and the posterior of
+    a text without words, null and repeated identifiers are carried as they are, other columns
+    are not read, and an empty table gives an empty result.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -151,17 +167,21 @@ def fit_rates(posteriors: DataFrame, model: MixModel, targets: dict[str, float]
     table; the gradient of a document is its posterior times the weighted residuals, so a
     rate follows from the posterior and the residuals of all rounds, which the driver keeps. Documents with equal posteriors
     have equal rates: their tokens are added up once, and the rounds run over these cells,
-    which stay distributed.
+    which stay distributed. Every ``CARRY`` rounds the cells are written with the rates reached,
+    so a round takes ``CARRY`` steps a cell at most, however many went before.
 
     Without ``targets`` each domain's weight is its share to the power ``tempering``.
-    Weights of unknown domains are ignored, missing ones are zero. With ``keep_all`` the
+    Weights of unknown domains are ignored and named in ``ignored``, missing ones are zero. With ``keep_all`` the
     total is as large as the most reduced domain needs to stay whole; otherwise it is the
-    total there is. Without tokens all rates are one.
+    total there is. Without tokens all rates are one. A fit ends when all totals are met within
+    TOLERANCE, no longer move, or after ROUNDS; ``missed`` of the result tells how far off each is.
     """
     import numpy as np
 
     k = len(model.domains)
-    cells = settled(posteriors.where("n_tokens > 0").groupBy("parts").agg(F.sum("n_tokens").alias("n")), "cells")
+    model.ignored = sorted(set(targets or {}) - set(model.domains))
+    cells = posteriors.where("n_tokens > 0").groupBy("parts").agg(F.sum("n_tokens").alias("n"))
+    cells, carried = settled(cells.withColumn("rate", F.lit(1.0)), "cells"), 0
 
     def moments(batches):
         import pyarrow as pa
@@ -172,10 +192,14 @@ def fit_rates(posteriors: DataFrame, model: MixModel, targets: dict[str, float]
             n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             total += n @ p
             squares += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, squares.reshape(-1)]).tolist()], pa.list_(pa.float64()))], names=["m"])
-
-    parts = cells.mapInArrow(moments, "m array<double>").collect()
-    both = sum((np.array(r["m"]) for r in parts), np.zeros(k + k * k))
+        found = np.concatenate([total, squares.reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)), pa.int32()), pa.array(found)], names=["i", "m"])
+
+    # Added up by Spark, in decimals so that the order does not matter: the driver gets k + k x k numbers, not as many a partition.
+    sums = cells.mapInArrow(moments, "i int, m double").groupBy("i").agg(F.sum(F.col("m").cast("decimal(38,9)")).cast("double").alias("m")).collect()
+    both = np.zeros(k + k * k)
+    for r in sums:
+        both[r["i"]] = r["m"]
     total, all_tokens = both[:k], both[:k].sum()
     if all_tokens == 0:
         return model
@@ -190,22 +214,34 @@ def fit_rates(posteriors: DataFrame, model: MixModel, targets: dict[str, float]
     # The step is one over the largest curvature.
     curvature = both[k:].reshape(k, k) / all_tokens * np.sqrt(np.outer(scale, scale))
     model.step, model.residuals, last = 1 / float(np.linalg.eigvalsh(curvature)[-1]), [(share - goal) * scale], share - goal
-    for _ in range(ROUNDS):
+    for turn in range(1, ROUNDS + 1):
         shared = cells.sparkSession.sparkContext.broadcast(model)
 
-        def totals(batches, shared=shared):
+        def totals(batches, shared=shared, carried=carried):
             import pyarrow as pa
 
             own = np.zeros(k)
             for batch in batches:
                 p = np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, k)
-                own += (shared.value.rates(p) * batch.column(1).to_numpy(zero_copy_only=False)) @ p / PARTS
+                own += (shared.value.rates(p, batch.column(2).to_numpy(), carried) * batch.column(1).to_numpy(zero_copy_only=False)) @ p / PARTS
             yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float64()))], names=["m"])
 
         now = sum((np.array(r["m"]) for r in cells.mapInArrow(totals, "m array<double>").collect()), np.zeros(k)) / all_tokens
         residual = now - goal
-        if np.abs(residual).max() <= TOLERANCE * goal.sum() or np.abs(residual - last).max() <= STALL:
+        model.missed = dict(zip(model.domains, residual.tolist()))
+        if turn == ROUNDS or np.abs(residual).max() <= TOLERANCE * goal.sum() or np.abs(residual - last).max() <= STALL:
             break
+        if turn % CARRY == 0:
+
+            def advance(batches, shared=shared, carried=carried):
+                import pyarrow as pa
+
+                for batch in batches:
+                    p = np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, k)
+                    rate = shared.value.rates(p, batch.column(2).to_numpy(), carried)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rate)], names=["parts", "n", "rate"])
+
+            cells, carried = settled(cells.mapInArrow(advance, cells.schema), "cells"), len(model.residuals)
         model.residuals.append(residual * scale)
         last = residual
     return model
@@ -222,7 +258,10 @@ def _copies(rates, keys):
 
 
 def document_rates(posteriors: DataFrame, model: MixModel) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate and copies of every document."""
+    """doc_id, n_tokens, posterior, rate and copies of every row of ``posteriors``; none for an empty table.
+
+    Equal posteriors have equal rates, rows without tokens too; rows with one identifier are drawn alike.
+    """
     shared = posteriors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -247,7 +286,7 @@ def mix(docs: DataFrame, model: MixModel, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` as often as their copies say, with all their columns as they are.
 
     A null text counts as empty. The draw of a document depends on its identifier alone,
-    so rows with one identifier and like texts are drawn alike. One pass, no shuffle.
+    so rows with one identifier and like texts are drawn alike. An empty table stays empty. One pass, no shuffle.
     """
     bound_batches(docs.sparkSession)
     shared, at, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.columns.index(id_col)

@@ -238,6 +238,7 @@ def test_mixing_odd(spark, odd_docs, stored):
     model = mixing.fit_domains(docs, docs.select("doc_id", "lang"), "lang")
     assert model.domains == ["de", "en", "es", "fr"]
     fitted = mixing.fit_rates(common.settled(mixing.domain_posteriors(docs, model), "p"), model, {"en": 1.0, "fr": 1.0, "xx": 5.0})
+    assert fitted.ignored == ["xx"] and sorted(fitted.missed) == model.domains
     mixed = mixing.mix(docs, fitted)
     assert mixed.columns == docs.columns and mixed.count() > 0
     rates = mixing.document_rates(mixing.domain_posteriors(docs, model), fitted).collect()
@@ -259,6 +260,26 @@ def test_rates_reach_targets(spark):
     assert abs(sum(r.copies for r in got) / sum(r.rate for r in got) - 1) < 0.1
 
 
+def test_carried_rates_and_misses(spark, monkeypatch):
+    """Rates written beside the cells change no result, and targets that cannot be met are reported."""
+    rng = np.random.default_rng(8)
+    parts = [[int(x) for x in rng.multinomial(mixing.PARTS, d)] for d in rng.dirichlet([0.3, 0.3], 80)]
+    posteriors = spark.createDataFrame([(k, 50 + k, p) for k, p in enumerate(parts)], "doc_id long, n_tokens long, parts array<int>").coalesce(1)
+    fits = []
+    for carry in (2, 10**6):
+        monkeypatch.setattr(mixing, "CARRY", carry)
+        fits.append(mixing.fit_rates(posteriors, mixing.MixModel(["a", "b"]), {"a": 1.0, "b": 9.0}, keep_all=False))
+    assert len(fits[0].residuals) == len(fits[1].residuals) > 4
+    rates = [np.array([r.rate for r in mixing.document_rates(posteriors, m).collect()]) for m in fits]
+    assert np.allclose(rates[0], rates[1], atol=1e-9) and fits[0].missed.keys() == {"a", "b"}
+    totals = np.array([np.array(p) / mixing.PARTS * (50 + k) for k, p in enumerate(parts)])
+    assert np.allclose(list(fits[0].missed.values()), rates[0] @ totals / totals.sum() - [0.1, 0.9], atol=1e-9)
+    # All posteriors alike: no rates can move the domains apart.
+    alike = spark.createDataFrame([(k, 10, [128, 128]) for k in range(4)], "doc_id long, n_tokens long, parts array<int>")
+    stuck = mixing.fit_rates(alike, mixing.MixModel(["a", "b"]), {"a": 1.0}, keep_all=False)
+    assert stuck.missed["a"] < -0.4 and stuck.missed["b"] > 0.4
+
+
 # -- MinHash ------------------------------------------------------------------------------------
 
 
