@@ -4,10 +4,12 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from alertloom.llm.queries import QUERIES, SQL, tokenizer_file
 from checks.compare import compare, duck
@@ -94,6 +96,33 @@ def test_op5(spark, sf, con):
     assert np.mean([domains[int(np.argmax(r.posterior))] == langs[r.doc_id] for r in rows]) > 0.9
 
 
+def line_buckets(lines):
+    """Numbers of the lines that hold each pair of sampled words."""
+    buckets = defaultdict(list)
+    for i, x in enumerate(lines):
+        order = {(15 - (0 if w < "a" else min(len(w), 15))) << 59 | xxhash.xxh64_intdigest(w, 42) >> 5: 0 for w in x.split(" ")}
+        for pair in combinations(sorted(order)[:4], 2):
+            buckets[pair].append(i)
+    return buckets
+
+
+def test_op6_recall(spark, sf, texts):
+    """Of all pairs of different lines at edit similarity 0.8 or more, at least 0.9 end in one group."""
+    from alertloom.llm.line_dedup import line_groups
+
+    docs = spark.createDataFrame([(d, t) for d, t in texts], "doc_id long, text string").coalesce(1)
+    lines = sorted({n for _, t in texts for line in t.split("\n") if (n := " ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()) if w))})
+    one = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "a int, x string").repartition(8)
+    other = one.selectExpr("a as b", "x as y")
+    limit = "cast(floor(0.2 * greatest(length(x), length(y)) + 1e-9) as int)"
+    near = one.join(other, F.expr(f"a < b and abs(length(x) - length(y)) <= {limit}")).where(f"levenshtein(x, y, {limit}) >= 0").collect()
+    _, repeats = line_groups(docs)
+    stay = {r.key: r.stay for r in repeats.collect()}
+    key = lambda x: hashlib.md5(x.encode()).digest()
+    found = [key(r.x) in stay and stay[key(r.x)] == stay.get(key(r.y)) for r in near]
+    assert len(found) >= 10 and sum(found) >= 0.9 * len(found)
+
+
 def test_op6(spark, sf, texts):
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -112,8 +141,8 @@ def test_op6(spark, sf, texts):
             if normal:
                 places[normal].append((r, k))
     lines = list(places)
-    pairs = close([majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in x.split()]) for x in lines])
-    links = [(i, j) for i, j in pairs if distance(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)]
+    met = {p for b in line_buckets(lines).values() for p in combinations(b, 2)}
+    links = [(i, j) for i, j in met if distance(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)]
     members = defaultdict(list)
     for i, g in enumerate(groups(len(lines), links)):
         members[g] += places[lines[i]]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -392,19 +393,52 @@ def test_short_and_unspaced_lines(spark, stored):
     assert {n for n, _ in got.values()} == {5, 6} and sum(r for _, r in got.values()) == 3
 
 
-def test_line_widths(spark):
-    import xxhash
+def line_sample(normal):
+    """The words that stand for a line, by the rule's statement."""
+    order = {(15 - (0 if w < "a" else min(len(w), 15))) << 59 | xxhash.xxh64_intdigest(w, 42) >> 5 for w in normal.split(" ") if w}
+    return sorted(order)[:4]
 
-    lines = [" ".join(f"w{k * k % (n + 3)}" for k in range(n)) for n in (1, 5, 128, 400, 33_000)]
-    df = spark.createDataFrame([(x, len(x.split())) for x in lines], "x string, n int")
-    for r in line_dedup.with_simhash(df, ["x"], "x", "n").collect():
-        hashes = [xxhash.xxh64_intdigest(w, 42) for w in r.x.split()]
-        assert r.fp & 2**64 - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
+def test_line_samples(spark):
+    lines = ["one", "two two two", "a b c d e f g", " ".join(f"w{k * k % 403}" for k in range(33_000)), "2024 01 01 started the server again", "éé zwölf boxkämpfer jagen viktor"]
+    for r in spark.createDataFrame([(x,) for x in lines], "x string").select("x", line_dedup.sampled_words("x").alias("s")).collect():
+        assert r.s == line_sample(r.x)
+    row = spark.createDataFrame([("今天天气",)], "x string").select(line_dedup.sampled_words("x").alias("s")).first()
+    assert row.s == line_sample("今 天 气")
 
-def test_word_letters(spark):
-    row = spark.createDataFrame([("a bb a ccc",)], "x string").select(line_dedup._word_letters("x").alias("x")).first()
-    assert len(row.x) == 4 and row.x[0] == row.x[2] and len(set(row.x)) == 3
+
+def test_like_lines_are_found(spark, stored):
+    """Lines with one or two changed words are found at every length, and unlike lines that share words stay."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    rows, pairs = [], []
+    for n in (8, 12, 20, 40, 900):
+        for k in range(40 if n < 900 else 4):
+            words = [word() for _ in range(n)]
+            other = list(words)
+            for at in rng.sample(range(n), 1 if n < 12 else 2):
+                spot = rng.randrange(len(words[at]))
+                other[at] = words[at][:spot] + "0" + words[at][spot + 1 :]
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    # Two of the sampled words are the same, the rest is not; long lines are judged by characters too.
+    for n in (10, 300):
+        for _ in range(2):
+            rows.append((len(rows), " ".join(["internationalisation", "notwithstanding", *["".join(rng.choices("abcdefghijklm", k=5)) for _ in range(n)]])))
+    for _ in range(2):
+        rows.append((len(rows), "one blob of two thousand and five hundred letters " + "".join(rng.choices("abcdefghijklmnop", k=2500))))
+    gone = {r.doc_id for r in line_dedup.dedup_lines(stored(spark.createDataFrame(rows, "doc_id long, text string"))).where("n_removed = 1").collect()}
+    assert all(len(gone & {a, b}) == 1 for a, b in pairs) and len(gone) == len(pairs)
+
+
+def test_large_bucket_in_tiles(spark, stored, monkeypatch):
+    """A bucket of many different lines, cut into tiles, still gives every like pair."""
+    monkeypatch.setattr(line_dedup, "TILE", 4)
+    rng = random.Random(6)
+    bodies = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(20)) for _ in range(30)]
+    lines = [f"internationalisation notwithstanding {b}{end}" for end in ("", " x") for b in bodies]
+    docs = stored(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert line_dedup.dedup_lines(docs).where("n_removed = 1").count() == 30
 
 
 def test_crowd_of_like_lines(spark, stored):
