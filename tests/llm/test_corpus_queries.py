@@ -96,14 +96,16 @@ def test_op5(spark, sf, con):
     assert np.mean([domains[int(np.argmax(r.posterior))] == langs[r.doc_id] for r in rows]) > 0.9
 
 
-def line_buckets(lines):
-    """Numbers of the lines that hold each pair of sampled words."""
-    buckets = defaultdict(list)
+def line_pairs(lines):
+    """Pairs of lines that share two of four sampled words and half of their prints' bits."""
+    buckets, prints = defaultdict(list), []
     for i, x in enumerate(lines):
-        order = {(15 - (0 if w < "a" else min(len(w), 15))) << 59 | xxhash.xxh64_intdigest(w, 42) >> 5: 0 for w in x.split(" ")}
-        for pair in combinations(sorted(order)[:4], 2):
+        sample = sorted({(15 - (0 if w < "a" else min(len(w), 15))) << 59 | xxhash.xxh64_intdigest(w, 42) >> 5 for w in x.split(" ")})[:16]
+        prints.append({w % 64 for w in sample})
+        for pair in combinations(sample[:4], 2):
             buckets[pair].append(i)
-    return buckets
+    met = {p for b in buckets.values() for p in combinations(b, 2)}
+    return [(i, j) for i, j in met if 2 * len(prints[i] & prints[j]) + 1 >= max(len(prints[i]), len(prints[j]))]
 
 
 def test_op6_recall(spark, sf, texts):
@@ -141,8 +143,7 @@ def test_op6(spark, sf, texts):
             if normal:
                 places[normal].append((r, k))
     lines = list(places)
-    met = {p for b in line_buckets(lines).values() for p in combinations(b, 2)}
-    links = [(i, j) for i, j in met if distance(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)]
+    links = [(i, j) for i, j in line_pairs(lines) if distance(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)]
     members = defaultdict(list)
     for i, g in enumerate(groups(len(lines), links)):
         members[g] += places[lines[i]]
