@@ -121,7 +121,8 @@ def j1_unusable(spark, sf):
         line = F.when(F.col("event_id") % 16 == k, F.concat(F.lit(before), F.col("event_id").cast("string"), F.lit(after))).otherwise(line)
     path = scratch_path(spark, "rules")
     inputs.table(spark, sf, "events").select(line.alias("value")).write.text(path)
-    rules = read_rules(spark, path)
+    # Matched and listed, so read once.
+    rules = settle(read_rules(spark, path), "rules")
     fired = joins.match_rules(inputs.packets(spark, sf), rules).groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
     return joins.unusable_rules(rules).join(fired, "sid", "left").select("sid", "reason", F.coalesce("n", F.lit(0)).alias("matches"))
 

@@ -198,3 +198,19 @@ def test_sketched_terms(spark, monkeypatch):
     assert terms(rows, 30, sketch=True) == terms(rows, 30)
     few = spark.createDataFrame([("aa bb",), ("aa",), (None,)], "message string")
     assert terms(few, 5, sketch=True) == [("aa", 2, 2), ("bb", 1, 1)] and terms(few.limit(0), 5, sketch=True) == []
+
+
+def test_the_forest_holds_a_bounded_part_of_the_rows_in_a_task(spark, monkeypatch):
+    """What a task keeps for the forest follows the setting and not the size of the files, and each row is dealt once."""
+    from pyspark.ml.linalg import Vectors
+
+    from alertloom.models import classifier
+    from alertloom.runtime import settle
+
+    table = settle(spark.createDataFrame([(Vectors.dense([float(k % 7), 1.0]), float(k % 2), k) for k in range(5000)], ["features", "label", "_at"]).coalesce(1))
+    assert classifier._dealt(table, 10).rdd.getNumPartitions() == table.rdd.getNumPartitions()
+    monkeypatch.setattr(classifier, "TASK_BYTES", 112 * 250)
+    dealt = classifier._dealt(table, 10)
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 20 and sum(sizes) == 5000 and max(sizes) < 500
+    assert dealt.rdd.glom().collect() == classifier._dealt(table, 10).rdd.glom().collect()
