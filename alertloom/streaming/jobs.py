@@ -160,6 +160,8 @@ class VerifyStream:
 
     def judge(self, batch: DataFrame, version: int) -> None:
         keep = ("line",) if self.pos is None else ("line", self.pos)
+        # A file may be one task however large it is, and a batch has few: its lines are dealt out to all cores first.
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
         typed = typed_alerts(parse_alerts(batch.withColumn("line", F.col("value")), keep=keep), self.year, self.zone, keep=keep)
         order = F.struct("event_ts", "line") if self.pos is None else F.col(self.pos).cast(self.pos_type)
         alerts = typed.where("event_ts IS NOT NULL").select("sid", "event_ts", "line", order.alias("_order"))

@@ -355,3 +355,44 @@ def test_grams_lose_no_match(spark, sf, monkeypatch):
     plain = pairs(joins.match_rules(packets, rules))
     monkeypatch.setattr(joins, "INDEX_FROM", 1)
     assert pairs(joins.match_rules(packets, rules)) == plain and plain
+
+
+def test_copies_of_a_large_rule_table_are_not_broadcast(spark, sf, monkeypatch):
+    """Files of rules are far smaller than their salted copies, so what Spark makes of the files must not decide."""
+    packets, rules = inputs.packets(spark, sf), inputs.rules(spark)
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
+    plan = joins._looked_up(
+        packets.withColumns({"_text": F.col("payload").cast("string"), "_dst": F.lit(1), "_src": F.lit(1)}), joins.settle(joins._resolved(rules, joins.HOME_NET)),
+        F.col("protocol") == F.col("r_proto"), F.lit(True), 4,
+    )._jdf.queryExecution().executedPlan().toString()
+    assert [word for word in plan.replace("(", " ").split() if word.endswith("Join")][0] == "SortMergeJoin"
+
+
+def test_many_rules_are_found_by_their_heads(spark, monkeypatch):
+    """Networks of all sizes on both sides, ports, protocols and contents too short or foreign for a gram: equal to a test of every pair."""
+    nets = ["any", "10.0.0.0/8", "10.1.0.0/16", "10.1.2.0/24", "10.1.2.3", "0.0.0.0/0", "$HOME_NET", "172.16.0.0/12"]
+    contents = ["", 'content:"ab"; ', 'content:"ééééé"; ', 'content:"evil word", nocase; ', 'content:"odd!"; ', "flags:S; "]
+    lines = [
+        f"alert {('tcp', 'udp', 'ip')[k % 3]} {nets[k % 8]} any -> {nets[k * 5 // 8 % 8]} {('any', '80', '53')[k // 7 % 3]} ({contents[k // 3 % 6]}sid:{k};)" for k in range(600)
+    ]
+    table = rules_io.rules_from_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    ips = ["10.1.2.3", "10.1.2.9", "10.9.9.9", "192.168.1.7", "8.8.8.8", None, "no address"]
+    texts = ["cab EVIL word", "odd!", "ÉÉÉÉÉ ééééé", "", None, "evil word odd! ab"]
+    rows = [(k % 90, ("tcp", "udp", "icmp", None)[k % 4], ips[k % 7], 5, ips[k // 7 % 7], (80, 53, None)[k // 5 % 3], texts[k // 3 % 6], ("S", None)[k % 2], None, None, True, True) for k in range(300)]
+    packets = packet_table(spark, rows)
+    pairs = lambda: sorted((r.packet_id, r.sid) for r in joins.match_rules(packets, table).collect())
+    by_heads = pairs()
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
+    monkeypatch.setattr(joins, "GRAMS", 1)
+    assert pairs() == by_heads
+    monkeypatch.undo()
+    monkeypatch.setattr(joins, "INDEX_FROM", 10**9)
+    assert pairs() == by_heads and len(by_heads) > 500
+
+
+def test_rules_of_networks_that_no_packet_has_cost_no_look_at_a_payload(spark, monkeypatch):
+    lines = [(f'alert tcp 9.9.9.9 any -> any any (content:" the "; sid:{k};)',) for k in range(300)]
+    table = rules_io.rules_from_lines(spark.createDataFrame(lines, "value string"))
+    packets = packet_table(spark, [(1, "tcp", "1.1.1.1", 5, "2.2.2.2", 80, "all the words", None, None, None, True, True)])
+    monkeypatch.setattr(joins, "gram_probes", None)
+    assert joins.match_rules(packets, table).count() == 0

@@ -178,3 +178,13 @@ def test_failures_become_final_behind_the_watermark(spark, tmp_path):
     assert sorted((r.expected_sid, r.event_ts) for r in expand_lines(found, ranges).collect()) == [(22, at(101)), (22, at(104)), (24, at(104)), (24, at(106))]
     stream.judge(spark.createDataFrame([(line(25, 504),), (line(22, 103),)], "value string"), 4)
     assert seen() == states[4] and stream.late_rows() == 1
+
+
+def test_lines_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    """A batch is dealt out to the cores, however few files it comes in."""
+    expected = spark.createDataFrame([(1, at(0), 5000)], "sid long, since timestamp, wait_seconds int")
+    stream = jobs.VerifyStream(expected, str(tmp_path / "state"), 2024)
+    lines = [(f'{at(1 + k).strftime("%m/%d-%H:%M:%S.%f")} [**] [1:2:1] "m" [**] {{TCP}} 1.1.1.1:5 -> 2.2.2.2:80',) for k in range(400)]
+    stream.judge(spark.createDataFrame(lines, "value string").coalesce(1), 0)
+    written = spark.read.parquet(f"{tmp_path}/state/alerts")
+    assert written.count() == 400 and len(written.inputFiles()) == spark.sparkContext.defaultParallelism
