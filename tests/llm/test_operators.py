@@ -431,6 +431,24 @@ def test_like_lines_are_found(spark, stored):
     assert all(len(gone & {a, b}) == 1 for a, b in pairs) and len(gone) == len(pairs)
 
 
+def test_lines_by_pieces(spark):
+    """The sum over pieces is never less than the distance, and tells like lines with words changed, added and dropped."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdéfg今", k=rng.randint(1, 7)))
+    rows = [("", "", True), ("a", "", False), ("a b", "b a", False), ("thor " * 400 + "end", "thor " * 440 + "end", True), ("a " * 300 + "b " * 300 + "c", "a " * 300 + "d " * 300 + "c", False)]
+    for n in (1, 5, 30, 120, 600):
+        for _ in range(6):
+            words = [word() for _ in range(n)]
+            other = list(words)
+            for at in rng.sample(range(n), n // 30):
+                other[at] = rng.choice(["", word(), f"{word()} {word()}", other[at][1:]])
+            rows.append((" ".join(words), " ".join(w for w in other if w), True))
+            rows.append((" ".join(words), " ".join(word() for _ in range(n)), False))
+    pairs = spark.createDataFrame([(x, y, like, len(x) * 2 // 5) for x, y, like in rows], "x string, y string, alike boolean, most int")
+    for r in pairs.select("alike", "most", line_dedup._by_pieces("x", "y", "most").alias("d"), F.levenshtein("x", "y").alias("exact")).collect():
+        assert r.d >= min(r.exact, r.most + 1) and (not r.alike or r.d <= r.most // 2)
+
+
 def test_large_bucket_in_tiles(spark, stored, monkeypatch):
     """A bucket of many different lines, cut into tiles, still gives every like pair."""
     monkeypatch.setattr(line_dedup, "TILE", 4)
