@@ -390,6 +390,25 @@ def test_many_rules_are_found_by_their_heads(spark, monkeypatch):
     assert pairs() == by_heads and len(by_heads) > 500
 
 
+def test_an_index_too_large_to_broadcast_goes_out_in_shares(spark, monkeypatch):
+    """No payload is shuffled however many the rules are; equal packets keep all their matches."""
+    lines = [f'alert {("tcp", "ip")[k % 2]} any any -> any any (content:"{("common", f"rare{k % 90}", "two words")[k % 3]}"{", nocase" if k % 4 else ""}; sid:{k};)' for k in range(400)]
+    table = rules_io.rules_from_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    texts = ["a COMMON word", "common RARE7 two words", "rare10 rare13", "", None, "nothing"]
+    rows = [(k % 7 or None, ("tcp", "udp", None)[k % 3], "1.1.1.1", 5, None, 80, texts[k % 6], None, None, None, True, True) for k in range(60)]
+    packets = packet_table(spark, rows)
+    pairs = lambda df: sorted((r.packet_id or 0, r.sid, r.payload) for r in df.collect())
+    whole = pairs(joins.match_rules(packets, table))
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(joins, "SAME", 20)
+    two = joins.match_rules(packets, table)
+    assert "SortMergeJoin" not in two._jdf.queryExecution().executedPlan().toString() and pairs(two) == whole and len(whole) > 1000
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 40)
+    monkeypatch.setattr(joins, "GRAMS", 40)
+    assert pairs(joins.match_rules(packets, table)) == whole
+
+
 def test_rules_of_networks_that_no_packet_has_cost_no_look_at_a_payload(spark, monkeypatch):
     lines = [(f'alert tcp 9.9.9.9 any -> any any (content:" the "; sid:{k};)',) for k in range(300)]
     table = rules_io.rules_from_lines(spark.createDataFrame(lines, "value string"))
