@@ -459,6 +459,52 @@ def test_large_bucket_in_tiles(spark, stored, monkeypatch):
     assert line_dedup.dedup_lines(docs).where("n_removed = 1").count() == 30
 
 
+def test_short_like_lines_all_meet(spark, stored):
+    """Of lines of up to 32 characters, in one word or with typos in all words, every pair at 0.8 is linked, and only chains of such pairs."""
+    rng = random.Random(6)
+    base = ["internationalisation", "la ja", "eding enin", "hello world", "abcde", "supercalifragilistic expiali", "one two three four five", "\u00fcber stra\u00dfe gr\u00fcn", "abcd"]
+    lines = set(base)
+    for x in base:
+        for _ in range(14):
+            y = list(x)
+            for _ in range(rng.randint(1, 5)):
+                at = rng.randrange(len(y))
+                y[at : at + 1] = rng.choice([[], [rng.choice("abcxyz")], [y[at], rng.choice("abcxyz")]])
+            lines.add("".join(y).strip() or "z")
+    lines = sorted({" ".join(x.split()) for x in lines})
+    lines = [x for x in lines if len(x) <= line_dedup.SHORT]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, row = row, [i]
+            for j, q in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
+        return row[-1]
+
+    root = list(range(len(lines)))
+    def top(k):
+        return k if root[k] == k else top(root[k])
+
+    for a, x in enumerate(lines):
+        for b in range(a):
+            if distance(x, lines[b]) <= int(0.2 * max(len(x), len(lines[b])) + 1e-9):
+                root[top(a)] = top(b)
+    groups = len({top(k) for k in range(len(lines))})
+    docs = stored(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert line_dedup.dedup_lines(docs).where("n_removed = 0").count() == groups < len(lines) - 30
+
+
+def test_long_lines_of_few_words_meet(spark, stored):
+    """A typo in the one long word of a line, or in each of two, does not hide its like."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = [(x, x[:k] + "q9" + x[k + 1 :]) for x, k in ((word(n), n // 3) for n in (40, 120, 3000))]
+    pairs += [(f"{x} {y}", f"{x[:9]}q9{x[10:]} {y[:7]}q9{y[8:]}") for x, y in ((word(30), word(25)), (word(200), word(90)))]
+    docs = stored(spark.createDataFrame(list(enumerate(x for pair in pairs for x in pair)), "doc_id long, text string"))
+    assert sorted(r.doc_id // 2 for r in line_dedup.dedup_lines(docs).where("n_removed = 1").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_crowd_of_like_lines(spark, stored):
     """Many like lines become one group, though the first round only meets the least of each bucket."""
     words = [f"steady{k}" for k in range(80)]
